@@ -1,0 +1,183 @@
+"""Decoding and encoding of messages."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.helpers import bag
+from tidemark.functions.text import split_list
+from tidemark.operators.messages import (
+    decode_csv,
+    decode_json,
+    decode_scored,
+    encode_csv,
+    encode_json,
+)
+from tidemark.operators.points import chart_points, chart_points_json
+from tidemark.plans.scoring import score, score_messages
+from tidemark.schema import SCORED_SCHEMA, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
+from tidemark.sources.endpoint import literal_rows
+
+NOTHING = '{"Upper_Warning":0,"Upper_Action":0}'
+MESSAGES = [
+    (
+        '{"trans_amt":"99.5","city":"London"}',
+        '{"trans_amt":"99.5","city":"London","Upper_Warning":1,"Upper_Action":0}',
+    ),
+    (
+        '{"trans_amt":99.50,"zip":1e2}',
+        '{"trans_amt":"99.5","zip":"100.0","Upper_Warning":1,"Upper_Action":0}',
+    ),
+    (
+        '{"trans_amt":{"a":1},"extra":5}',
+        '{"trans_amt":"{\\"a\\":1}","Upper_Warning":0,"Upper_Action":0}',
+    ),
+    (
+        '{"trans_amt":"1","trans_amt":"2"}',
+        '{"trans_amt":"2","Upper_Warning":0,"Upper_Action":0}',
+    ),
+    ('{"trans_amt":"5"} trailing', '{"trans_amt":"5","Upper_Warning":0,"Upper_Action":0}'),
+    ('{"city":true,"zip":null}', '{"city":"true","Upper_Warning":0,"Upper_Action":0}'),
+    (
+        '{"trans_amt":"115","city":"London"}',
+        '{"trans_amt":"115","city":"London","Upper_Warning":1,"Upper_Action":1}',
+    ),
+    ('{"TRANS_AMT":"120"}', NOTHING),
+    ("1,2,approved,99.0", NOTHING),
+    ("not json", NOTHING),
+    ('{"trans_amt":"99"', NOTHING),
+    ("{}", NOTHING),
+    ("null", NOTHING),
+    ("[]", NOTHING),
+    ("", NOTHING),
+    (None, NOTHING),
+    ('[{"trans_amt":"1"},{"trans_amt":"2"}]', NOTHING),
+]
+
+
+def test_p1_p4_message_to_scored_message(spark):
+    scored = score_messages(literal_rows(spark, [m for m, _ in MESSAGES]))
+    assert scored.columns == ["value"]
+    assert [r.value for r in scored.collect()] == [out for _, out in MESSAGES]
+
+
+def test_p1_bytes_and_text_decode_alike(spark):
+    text = literal_rows(spark, [m for m, _ in MESSAGES])
+    as_bytes = text.select(F.col("value").cast("binary").alias("value"), F.lit("t").alias("topic"))
+    assert bag(score(as_bytes)) == bag(score(text))
+
+
+def test_p3_columns_are_the_fixed_fourteen(spark):
+    decoded = decode_json(literal_rows(spark, ['{"extra":1}']))
+    assert decoded.columns == list(TRANSACTION_COLUMNS)
+    assert decoded.schema == TRANSACTION_SCHEMA
+
+
+def test_s5_scored_messages_read_back(spark):
+    scored = score_messages(literal_rows(spark, [m for m, _ in MESSAGES]))
+    back = decode_scored(scored)
+    assert back.schema == SCORED_SCHEMA
+    assert bag(back) == bag(score(literal_rows(spark, [m for m, _ in MESSAGES])))
+
+
+def _transactions(spark, rows):
+    return spark.createDataFrame([tuple(r) for r in rows], TRANSACTION_SCHEMA)
+
+
+ROW = st.lists(
+    st.one_of(st.none(), st.text(alphabet=st.characters(codec="utf-8"), max_size=8)),
+    min_size=len(TRANSACTION_COLUMNS),
+    max_size=len(TRANSACTION_COLUMNS),
+)
+QUICK = settings(
+    max_examples=12,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow],
+)
+
+
+@QUICK
+@given(rows=st.lists(ROW, min_size=1, max_size=20))
+def test_json_round_trip(spark, rows):
+    transactions = _transactions(spark, rows)
+    assert bag(decode_json(encode_json(transactions))) == bag(transactions)
+
+
+@QUICK
+@given(rows=st.lists(ROW, min_size=1, max_size=20))
+def test_encoded_json_is_json_without_nulls(spark, rows):
+    encoded = encode_json(_transactions(spark, rows)).collect()
+    for row, message in zip(rows, encoded, strict=True):
+        present = {c: v for c, v in zip(TRANSACTION_COLUMNS, row, strict=True) if v is not None}
+        assert json.loads(message.value) == present
+
+
+@QUICK
+@given(rows=st.lists(ROW, min_size=1, max_size=20))
+def test_csv_round_trip_without_commas(spark, rows):
+    plain = [[v if v is None else v.replace(",", ";") for v in row] for row in rows]
+    kept = [[None if v == "null" else v for v in row] for row in plain]
+    transactions = _transactions(spark, kept)
+    assert bag(decode_csv(encode_csv(transactions))) == bag(transactions)
+
+
+def test_p6_line_is_the_plain_join(spark):
+    row = ["007", None, "", 'say "hi"', " x ", *["v"] * 9]
+    line = encode_csv(_transactions(spark, [row])).first().value
+    assert line == ",".join("null" if v is None else v for v in row)
+
+
+def test_p7_short_and_long_lines(spark):
+    decoded = decode_csv(literal_rows(spark, ["0001,x", ",".join("abcdefghijklmnop"), "", None]))
+    first, second, third, fourth = [list(r) for r in decoded.collect()]
+    assert first == ["0001", "x"] + [None] * 12
+    assert second == list("abcdefghijklmn")
+    assert third == [""] + [None] * 13
+    assert fourth == [None] * 14
+
+
+def test_csv_amounts_are_scored(spark):
+    line = "1,2,approved,99.0,0,credit,3,4,retail,London,WC1V,0,NA,NA"
+    row = score(literal_rows(spark, [line]), wire="csv").first()
+    assert (row.trans_amt, row.Upper_Warning, row.Upper_Action) == ("99.0", 1, 0)
+
+
+@pytest.mark.parametrize(
+    ("text", "items"),
+    [
+        ("a,b", ["a", "b"]),
+        (" a , b ", [" a ", " b "]),
+        ("a,,b", ["a", "", "b"]),
+        (",,a,,", ["", "", "a"]),
+        ("abc", ["abc"]),
+        ("", [""]),
+        (",", []),
+        (",,,", []),
+        ("a, ", ["a", " "]),
+        (None, None),
+    ],
+)
+def test_p10_split_list(spark, text, items):
+    assert literal_rows(spark, [text]).select(split_list(F.col("value"))).first()[0] == items
+
+
+def test_p9_points_tolerate_missing_fields(spark):
+    messages = literal_rows(
+        spark, ['{"trans_time":"17","trans_amt":"9.5","city":"x"}', NOTHING, "broken"]
+    )
+    scored = decode_scored(messages)
+    assert [tuple(r) for r in chart_points(scored).collect()] == [
+        ("17", "9.5"),
+        (None, None),
+        (None, None),
+    ]
+    assert [json.loads(r.value) for r in chart_points_json(scored).collect()] == [
+        {"x": ["17"], "y": ["9.5"]},
+        {"x": [None], "y": [None]},
+        {"x": [None], "y": [None]},
+    ]

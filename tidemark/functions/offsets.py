@@ -51,6 +51,18 @@ def offset_at(offset_json: Column, topic: Column, partition: Column) -> Column:
     return F.when(topic.isNull(), offset_json.try_cast("bigint")).otherwise(listed)
 
 
+def reported_latest(message: Column, topic: str, partition: int) -> Column:
+    """The latest offset that a progress message reports for one topic partition.
+
+    Looks at the first source; one without topics reports a plain number. Null
+    where the source reports nothing.
+    """
+    offset_json = F.get_json_object(message, "$.sources[0].latestOffset")
+    return F.coalesce(
+        offset_at(offset_json, F.lit(topic), F.lit(partition)), offset_json.try_cast("bigint")
+    )
+
+
 def lag(latest: Column, end: Column) -> Column:
     """How far ``end`` is behind ``latest``, never negative; null where one is unknown."""
     return F.when(latest.isNotNull() & end.isNotNull(), F.greatest(latest - end, F.lit(0)))

@@ -28,13 +28,16 @@ def with_latest_offset(progress: DataFrame, latest: Column, value: str = "value"
     """Progress messages with a top-level ``"latestOffset":{"latestOffset":N}``.
 
     All other fields are kept, known or not; an earlier field of that name is
-    replaced. A message that is no JSON object becomes null.
+    replaced. Where ``latest`` is null the message stays as it is, and one that is
+    no JSON object becomes null.
     """
     fields = F.from_json(named(value), "map<string,variant>")
     others = F.map_filter(fields, lambda name, _: name != LATEST_OFFSET)
     added = F.parse_json(F.to_json(F.struct(latest.cast("bigint").alias(LATEST_OFFSET))))
     merged = F.map_concat(others, F.create_map(F.lit(LATEST_OFFSET), added))
-    return progress.withColumn(value, F.to_json(merged))
+    return progress.withColumn(
+        value, F.to_json(F.when(latest.isNull(), fields).otherwise(merged))
+    )
 
 
 def progress_rows(progress: DataFrame, value: str = "value") -> DataFrame:

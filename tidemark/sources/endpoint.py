@@ -66,7 +66,7 @@ class Endpoint:
         Without a ``trigger`` micro-batches follow each other as fast as they can.
         """
         if not checkpoint:
-            raise ValueError("a stream needs a checkpoint location of its own")
+            raise ValueError("a stream needs a checkpoint folder of its own")
         writer = (
             rows.writeStream.format(self.format)
             .options(**self.options)

@@ -52,10 +52,13 @@ def _offset() -> Column:
     return F.expr(f"event_id div {PARTITIONS}")
 
 
-def _since_epoch(unit: str) -> Column:
-    """Time of a timestamp without time zone since the epoch, whatever the session's zone."""
-    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-    return F.timestamp_diff(unit, epoch, F.col("ts"))
+def _since_epoch(step: str) -> Column:
+    """Whole steps from the epoch to a timestamp without time zone.
+
+    Interval arithmetic, because ``timestampdiff`` goes through the session's time
+    zone and is an hour off where that zone skips one.
+    """
+    return F.expr(f"(ts - timestamp_ntz'1970-01-01 00:00:00') div interval '{step}' second")
 
 
 def _event_columns() -> dict[str, Column]:
@@ -64,7 +67,7 @@ def _event_columns() -> dict[str, Column]:
         "card_num": F.lpad(F.col("user_id").cast("string"), 18, "0"),
         "processing_flag": F.when(F.col("event_type") == "error", "declined").otherwise("approved"),
         "trans_amt": F.col("value").cast("string"),
-        "trans_time": _since_epoch("MILLISECOND").cast("string"),
+        "trans_time": _since_epoch("0.001").cast("string"),
         "merchant_key": F.lpad(F.get_json_object("props", "$.k"), 4, "0"),
         "category_name": F.col("event_type"),
     }
@@ -78,7 +81,7 @@ def transactions(events: DataFrame) -> DataFrame:
 def envelope(events: DataFrame) -> DataFrame:
     """Events as topic records over four partitions, in the order of their ids."""
     placed = synth_transactions(
-        events.withColumn("timestamp", F.timestamp_micros(_since_epoch("MICROSECOND"))),
+        events.withColumn("timestamp", F.timestamp_micros(_since_epoch("0.000001"))),
         "event_id",
         given=_event_columns(),
         keep=["event_id", "timestamp"],

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from tidemark.functions.offsets import reported_latest
 from tidemark.operators.messages import keyed
 from tidemark.operators.progress import with_latest_offset
-from tidemark.sources.endpoint import Endpoint, literal_rows
+from tidemark.sources.endpoint import INPUT_TOPIC, Endpoint, literal_rows
 
 LIFECYCLE_SCHEMA = "event string, id string, runId string"
 # Fixed value: the key of every progress message.
@@ -71,20 +72,26 @@ class ProgressLog(StreamingQueryListener):
             self._lifecycle.clear()
         return taken
 
-    def flush(self, spark: SparkSession, sink: Endpoint, latest_offset: int | None = None) -> int:
+    def flush(
+        self,
+        spark: SparkSession,
+        sink: Endpoint,
+        topic: str = INPUT_TOPIC,
+        partition: int = 0,
+    ) -> int:
         """K5: write the noted progress messages, keyed, in one job; returns how many.
 
-        With ``latest_offset`` each message gets that offset as a further field.
-        Messages of a failed write are noted again.
+        Each message gets the latest offset that its source reports for the given
+        topic partition as a further field. Messages of a failed write are noted
+        again.
         """
         taken = self.take_progress()
         if not taken:
             return 0
         messages = literal_rows(spark, taken)
-        if latest_offset is not None:
-            messages = with_latest_offset(messages, F.lit(latest_offset))
+        latest = reported_latest(F.col("value"), topic, partition)
         try:
-            sink.write(keyed(messages, F.lit(PROGRESS_KEY)))
+            sink.write(keyed(with_latest_offset(messages, latest), F.lit(PROGRESS_KEY)))
         except Exception:
             with self._changed:
                 self._progress.extendleft(reversed(taken))

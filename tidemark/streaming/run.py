@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sources.endpoint import Endpoint
 from tidemark.streaming.observe import ProgressLog
 
+logger = logging.getLogger(__name__)
+
 FLUSH_SECONDS = 30
 
 
@@ -19,18 +23,20 @@ def run_available(rows: DataFrame, sink: Endpoint, checkpoint: str) -> Streaming
 
 
 def run_until_stopped(
+    spark: SparkSession,
     query: StreamingQuery,
-    log: ProgressLog | None = None,
-    progress_sink: Endpoint | None = None,
-    spark: SparkSession | None = None,
+    log: ProgressLog,
+    progress_sink: Endpoint,
+    flush_seconds: float = FLUSH_SECONDS,
 ) -> None:
-    """Block until a query ends, meanwhile writing out its progress from time to time."""
-    if log is None or progress_sink is None or spark is None:
-        query.awaitTermination()
-        return
-    try:
-        while not query.awaitTermination(FLUSH_SECONDS):
+    """Block until a query ends, meanwhile writing out its progress from time to time.
+
+    Scoring goes on when progress cannot be written; the notes wait for the next try.
+    """
+    while not query.awaitTermination(flush_seconds):
+        try:
             log.flush(spark, progress_sink)
-    finally:
-        log.wait_ended(query)
-        log.flush(spark, progress_sink)
+        except Exception:
+            logger.warning("progress was not written, will try again", exc_info=True)
+    log.wait_ended(query)
+    log.flush(spark, progress_sink)
