@@ -6,6 +6,8 @@ import json
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.helpers import bag
@@ -60,6 +62,29 @@ def test_p8_unknown_offset_leaves_the_message(spark):
     assert [r.value for r in merged.collect()] == ['{"a":1}', "{}"]
 
 
+VALUES = st.recursive(
+    st.none() | st.booleans() | st.integers(-(2**60), 2**60)
+    | st.text(st.characters(codec="utf-8", exclude_categories=["Cc"]), max_size=5),
+    lambda inner: st.lists(inner, max_size=3)
+    | st.dictionaries(st.sampled_from("abc"), inner, max_size=3),
+    max_leaves=8,
+)
+NAMES = st.sampled_from(["id", "sources", "a b", "latestOffset", "\u00e9"])
+
+
+@settings(
+    max_examples=15,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow],
+)
+@given(objects=st.lists(st.dictionaries(NAMES, VALUES, max_size=4), min_size=1, max_size=20))
+def test_p8_merges_any_object(spark, objects):
+    messages = literal_rows(spark, [json.dumps(o) for o in objects])
+    merged = with_latest_offset(messages, F.lit(9)).collect()
+    for before, after in zip(objects, merged, strict=True):
+        assert json.loads(after.value) == {**before, "latestOffset": {"latestOffset": 9}}
+
+
 def test_t6_typed_progress(spark):
     message = _progress(4, 9, numInputRows=12, durationMs={"addBatch": 3}, unknown=[1])
     row = progress_rows(literal_rows(spark, [message])).first()

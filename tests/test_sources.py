@@ -142,6 +142,12 @@ def test_s7_paced_transactions(spark):
     assert times[-1] - times[0] >= 900
 
 
+def test_s7_offered_rate():
+    assert feeding.offered_rate() == 500
+    assert feeding.offered_rate("#load\nconcurrency=90\n\nthrottle=3") == 30
+    assert feeding.offered_rate("concurrency=1") == 1
+
+
 def test_new_folder_is_below_the_shared_one(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = new_folder(spark, "x"), new_folder(spark, "x")

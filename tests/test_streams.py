@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from tests.helpers import bag
 from tidemark.operators.messages import decode_scored
 from tidemark.operators.progress import input_lag, latest_offsets, progress_rows
-from tidemark.plans import reporting, scoring
+from tidemark.plans import queries, reporting, scoring
 from tidemark.plans.workspace import new_folder
 from tidemark.schema import SCORED_SCHEMA
 from tidemark.sources.endpoint import Endpoint, files, literal_rows
-from tidemark.sources.events import envelope, table
-from tidemark.streaming import ProgressLog, lifecycle_rows, progress_messages, run_until_stopped
+from tidemark.sources.events import envelope, events_stream, table
+from tidemark.streaming import (
+    ProgressLog,
+    lifecycle_rows,
+    progress_messages,
+    run_available,
+    run_until_stopped,
+)
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -105,6 +111,26 @@ def test_batch_job_equals_stream_job(spark, records):
     assert bag(output.read(spark)) == bag(scoring.score_messages(records))
 
 
+def test_events_as_a_folder_of_files(spark, data_dir):
+    folder = new_folder(spark, "data")
+    events = table(spark, data_dir, "events")
+    events.repartition(3).write.parquet(f"{folder}/events.parquet")
+    events.limit(5).write.parquet(f"{folder}/events_old.parquet")
+    streamed = queries.stream_score_transactions(spark, folder)
+    assert bag(streamed) == bag(queries.score_transactions(spark, folder))
+    assert bag(queries.stream_progress(spark, folder)) == {(1000,): 1}
+
+
+def test_events_in_limited_batches(spark, data_dir):
+    folder = new_folder(spark, "data")
+    table(spark, data_dir, "events").repartition(3).write.parquet(f"{folder}/events.parquet")
+    scored = scoring.score_messages(envelope(events_stream(spark, folder, 1000)))
+    output = _output(spark)
+    query = run_available(scored, output, new_folder(spark, "checkpoint"))
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 3
+    assert output.read(spark).count() == 1000
+
+
 def test_points_of_a_stream(spark, records):
     scored, points = _output(spark), _output(spark)
     scored.write(scoring.score_messages(records))

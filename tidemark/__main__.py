@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 
 from tidemark.operators.synth import SynthConfig
 from tidemark.plans import feeding, reporting, scoring
-from tidemark.sources.endpoint import ROWS_PER_SECOND, Endpoint
+from tidemark.sources.endpoint import Endpoint
 from tidemark.streaming.observe import ProgressLog
 from tidemark.streaming.run import run_until_stopped
 
@@ -70,7 +70,8 @@ def _parser() -> argparse.ArgumentParser:
     _add_endpoint(feed, "sink")
     feed.add_argument("--wire", choices=sorted(feeding.WIRE_FORMS), default="json")
     feed.add_argument("--rows", type=int, help="write so many rows at once")
-    feed.add_argument("--rows-per-second", type=int, default=ROWS_PER_SECOND)
+    feed.add_argument("--rows-per-second", type=int)
+    feed.add_argument("--load-properties", type=Path, help="rate as concurrency and throttle")
     feed.add_argument("--checkpoint", help="folder of the endless stream without --rows")
     feed.add_argument("--properties", type=Path, help="lengths, ranges and lists to draw from")
     feed.add_argument("--seed", type=int, default=42)
@@ -115,8 +116,10 @@ def _feed(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.rows is not None:
         feeding.run_batch(spark, sink, args.rows, args.wire, config, args.seed)
         return
+    load = args.load_properties.read_text() if args.load_properties else ""
+    rate = args.rows_per_second or feeding.offered_rate(load)
     query = feeding.start_stream(
-        spark, sink, args.checkpoint, args.rows_per_second, args.wire, config, args.seed
+        spark, sink, args.checkpoint, rate, args.wire, config, args.seed
     )
     query.awaitTermination()
 

@@ -5,50 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOPIC_OFFSETS = "map<string,map<string,bigint>>"
-_POSITIONS = "array<struct<topic:string,partition:int,offset:bigint>>"
+_PART_OFFSETS = "map<string,bigint>"
+_TOPIC_OFFSETS = f"map<string,{_PART_OFFSETS}>"
+_POSITIONS = "array<struct<topic:string,partition:int,end_offset:bigint,latest_offset:bigint>>"
 
 
-def positions(offset_json: Column) -> Column:
-    """An offset's JSON as an array of ``(topic, partition, offset)``.
+def positions(end_json: Column, latest_json: Column) -> Column:
+    """Two offsets' JSON as one array of ``(topic, partition, end_offset, latest_offset)``.
 
-    A Kafka offset gives one entry for each topic partition. A plain number (rate
-    source) and an object with ``logOffset`` (file source) give one entry without
-    topic and partition. Null gives an empty array.
+    A Kafka offset gives one entry for each topic partition of the end offset. A
+    plain number (rate source) and an object with ``logOffset`` (file source) give
+    one entry without topic and partition. Null gives an empty array.
+
+    Each text is parsed once and the two maps are zipped, so the work grows with
+    the number of partitions and not with its square.
     """
-    by_topic = F.from_json(offset_json, _TOPIC_OFFSETS)
+    ends = F.from_json(end_json, _TOPIC_OFFSETS)
+    latest = F.coalesce(
+        F.from_json(latest_json, _TOPIC_OFFSETS), F.create_map().cast(_TOPIC_OFFSETS)
+    )
+    zipped = F.map_zip_with(
+        ends,
+        latest,
+        lambda topic, end, known: F.map_zip_with(
+            end,
+            F.coalesce(known, F.create_map().cast(_PART_OFFSETS)),
+            lambda partition, at, last: F.struct(at.alias("end"), last.alias("latest")),
+        ),
+    )
+    topics = F.filter(F.map_entries(zipped), lambda topic: topic["value"].isNotNull())
     kafka = F.flatten(
         F.transform(
-            F.map_entries(by_topic),
+            topics,
             lambda topic: F.transform(
-                F.map_entries(topic["value"]),
+                F.filter(
+                    F.map_entries(topic["value"]), lambda part: part["value"]["end"].isNotNull()
+                ),
                 lambda part: F.struct(
-                    topic["key"].alias("topic"),
-                    part["key"].try_cast("int").alias("partition"),
-                    part["value"].alias("offset"),
+                    topic["key"], part["key"].try_cast("int"), part["value"]["end"],
+                    part["value"]["latest"],
                 ),
             ),
         )
     ).cast(_POSITIONS)
-    number = F.coalesce(
-        offset_json.try_cast("bigint"),
-        F.get_json_object(offset_json, "$.logOffset").try_cast("bigint"),
+    end = F.coalesce(
+        end_json.try_cast("bigint"),
+        F.get_json_object(end_json, "$.logOffset").try_cast("bigint"),
     )
     single = F.array(
         F.struct(
-            F.lit(None).cast("string").alias("topic"),
-            F.lit(None).cast("int").alias("partition"),
-            number.alias("offset"),
+            F.lit(None).cast("string"),
+            F.lit(None).cast("int"),
+            end,
+            latest_json.try_cast("bigint"),
         )
     ).cast(_POSITIONS)
-    return F.coalesce(kafka, F.when(number.isNotNull(), single), F.array().cast(_POSITIONS))
-
-
-def offset_at(offset_json: Column, topic: Column, partition: Column) -> Column:
-    """The offset of one topic partition, or the plain number where there are no topics."""
-    by_topic = F.from_json(offset_json, _TOPIC_OFFSETS)
-    listed = F.try_element_at(F.try_element_at(by_topic, topic), partition.cast("string"))
-    return F.when(topic.isNull(), offset_json.try_cast("bigint")).otherwise(listed)
+    return F.coalesce(kafka, F.when(end.isNotNull(), single), F.array().cast(_POSITIONS))
 
 
 def reported_latest(message: Column, topic: str, partition: int) -> Column:
@@ -58,8 +70,9 @@ def reported_latest(message: Column, topic: str, partition: int) -> Column:
     where the source reports nothing.
     """
     offset_json = F.get_json_object(message, "$.sources[0].latestOffset")
+    parts = F.try_element_at(F.from_json(offset_json, _TOPIC_OFFSETS), F.lit(topic))
     return F.coalesce(
-        offset_at(offset_json, F.lit(topic), F.lit(partition)), offset_json.try_cast("bigint")
+        F.try_element_at(parts, F.lit(str(partition))), offset_json.try_cast("bigint")
     )
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import named
-from tidemark.functions.offsets import lag, offset_at, positions
+from tidemark.functions.offsets import lag, positions
 from tidemark.schema import PROGRESS_SCHEMA
 
 LATEST_OFFSET = "latestOffset"
+LAG_SALTS = 16
+_EVENT = ("id", "runId", "batchId", "source")
 
 
 def latest_offsets(envelope: DataFrame) -> DataFrame:
@@ -46,7 +48,10 @@ def progress_rows(progress: DataFrame, value: str = "value") -> DataFrame:
 
 
 def input_lag(
-    progress: DataFrame, latest: DataFrame | None = None, value: str = "value"
+    progress: DataFrame,
+    latest: DataFrame | None = None,
+    value: str = "value",
+    salts: int = LAG_SALTS,
 ) -> DataFrame:
     """The lag of every source partition at every progress event.
 
@@ -54,36 +59,29 @@ def input_lag(
     it, and otherwise that of ``latest``, a result of :func:`latest_offsets`. A
     source that reports no offsets keeps one row with a null lag.
 
-    The join has no broadcast hint, because nothing bounds the number of topic
-    partitions. Adaptive execution broadcasts ``latest`` when its real size allows
-    and otherwise splits skewed keys.
+    Every event brings a row for the same few topic partitions, so the join key is
+    salted and ``latest``, which has one row for each of them, is repeated for each
+    salt. There is no broadcast hint, because nothing bounds the number of topic
+    partitions; adaptive execution broadcasts ``latest`` when its real size allows.
     """
     events = progress_rows(progress, value).select(
         "id", "runId", "batchId", F.posexplode_outer("sources").alias("source", "s")
     )
-    ends = events.select(
-        "id",
-        "runId",
-        "batchId",
-        "source",
-        F.col("s.latestOffset").alias("latest_json"),
-        F.explode_outer(positions(F.col("s.endOffset"))).alias("end"),
-    ).select("*", "end.topic", "end.partition", F.col("end.offset").alias("end_offset"))
-    reported = offset_at(F.col("latest_json"), F.col("topic"), F.col("partition"))
-    keys = ["topic", "partition"]
-    rows = ends.withColumn("reported", reported)
-    if latest is None:
-        rows = rows.withColumn("latest_offset", F.col("reported"))
-    else:
-        probed = latest.select(*keys, F.col("latest_offset").alias("probed"))
-        rows = rows.join(probed, keys, "left").withColumn(
-            "latest_offset", F.coalesce("reported", "probed")
+    offsets = positions(F.col("s.endOffset"), F.col("s.latestOffset"))
+    rows = events.withColumn("at", F.explode_outer(offsets)).select(*_EVENT, "at.*")
+    if latest is not None:
+        salt = F.pmod(F.xxhash64(*_EVENT), F.lit(salts)).cast("int")
+        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        probed = latest.select(
+            "topic", "partition", F.col("latest_offset").alias("probed"), every_salt.alias("salt")
+        )
+        rows = (
+            rows.withColumn("salt", salt)
+            .join(probed, ["topic", "partition", "salt"], "left")
+            .withColumn("latest_offset", F.coalesce("latest_offset", "probed"))
         )
     return rows.select(
-        "id",
-        "runId",
-        "batchId",
-        "source",
+        *_EVENT,
         "topic",
         "partition",
         "end_offset",

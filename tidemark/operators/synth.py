@@ -66,6 +66,16 @@ def _items(text: str) -> tuple[str, ...]:
     return tuple(text.split(","))
 
 
+def read_properties(text: str) -> dict[str, str]:
+    """``name=value`` lines with ``#`` comments; of a repeated name the last value counts."""
+    parser = configparser.ConfigParser(
+        delimiters=("=",), comment_prefixes=("#",), interpolation=None, strict=False
+    )
+    parser.optionxform = str
+    parser.read_string("[properties]\n" + text)
+    return dict(parser["properties"])
+
+
 @dataclass(frozen=True)
 class SynthConfig:
     """Lengths, ranges and value lists of the generator."""
@@ -82,13 +92,8 @@ class SynthConfig:
 
     @classmethod
     def from_properties(cls, text: str) -> SynthConfig:
-        """Read ``name=value`` lines with ``#`` comments; what is not given keeps its default."""
-        parser = configparser.ConfigParser(
-            delimiters=("=",), comment_prefixes=("#",), interpolation=None, strict=False
-        )
-        parser.optionxform = str
-        parser.read_string("[synth]\n" + text)
-        given = dict(parser["synth"])
+        """The settings in a properties text; what is not given keeps its default."""
+        given = read_properties(text)
         lists = {name: _items(given.get(name, text)) for name, text in _LISTS.items()}
         zips = {}
         for city in lists["cityList"]:

@@ -10,12 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.columns import named
 from tidemark.operators.messages import csv_value, json_value
-from tidemark.operators.synth import SynthConfig, synth_transactions
+from tidemark.operators.synth import SynthConfig, read_properties, synth_transactions
 from tidemark.schema import TRANSACTION_COLUMNS
-from tidemark.sources.endpoint import ROWS_PER_SECOND, Endpoint, paced
+from tidemark.sources.endpoint import Endpoint, paced
 
 WIRE_FORMS = {"json": json_value, "csv": csv_value}
 
+# How many records are offered at once, and every how many seconds.
+CONCURRENCY = 1000
+THROTTLE_SECONDS = 2
+
+
+def offered_rate(properties: str = "") -> int:
+    """Rows per second from the ``concurrency`` and ``throttle`` of a properties text."""
+    given = read_properties(properties)
+    records = int(given.get("concurrency", CONCURRENCY))
+    return max(1, records // int(given.get("throttle", THROTTLE_SECONDS)))
+
 
 def feed_messages(
     transactions: DataFrame, wire: str = "json", key: Column | str | None = "card_num"
@@ -51,7 +62,7 @@ def start_stream(
     spark: SparkSession,
     sink: Endpoint,
     checkpoint: str,
-    rows_per_second: int = ROWS_PER_SECOND,
+    rows_per_second: int | None = None,
     wire: str = "json",
     config: SynthConfig | None = None,
     seed: int = 42,
@@ -59,7 +70,7 @@ def start_stream(
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Write synthetic transactions at a steady rate, each with the time of its making."""
-    ticks = paced(rows_per_second).read_stream(spark)
+    ticks = paced(rows_per_second or offered_rate()).read_stream(spark)
     made = synth_transactions(ticks, "value", config, seed, time_col="timestamp")
     return sink.write_stream(feed_messages(made, wire, key), checkpoint, trigger)
 

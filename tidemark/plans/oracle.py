@@ -51,6 +51,7 @@ def _pick(drawn: str, values: str) -> str:
     return f"([{listed}])[CAST({drawn} % {len(items)} + 1 AS INTEGER)]"
 
 
+# The same lists, lengths and ranges as the generator's defaults.
 _CITY = _pick(_narrow("merchant", 0), "London,Manchester,Cardiff")
 _ZIP = f"""CASE {_CITY}
   WHEN 'London' THEN {_pick(_narrow("merchant", 1), "WC1V,EC1R,EC1M,EC2A,EC4Y")}

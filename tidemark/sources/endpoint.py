@@ -11,12 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import ENVELOPE_SCHEMA
 
-# Topic names, rate limit and offered load of the original deployment.
+# Topic names and records per micro-batch.
 INPUT_TOPIC = "input"
 OUTPUT_TOPIC = "output"
 PROGRESS_TOPIC = "test"
 MAX_OFFSETS_PER_TRIGGER = 10_000
-ROWS_PER_SECOND = 500
 
 
 @dataclass(frozen=True)
@@ -136,7 +135,7 @@ def files(
     )
 
 
-def paced(rows_per_second: int = ROWS_PER_SECOND, **options: object) -> Endpoint:
+def paced(rows_per_second: int, **options: object) -> Endpoint:
     """A stream of ``(timestamp, value)`` rows at a steady rate; ``value`` counts up."""
     return Endpoint("rate", {"rowsPerSecond": str(rows_per_second), **_texts(options)})
 

@@ -17,6 +17,7 @@ from tidemark.sources.endpoint import INPUT_TOPIC
 
 PARTITIONS = 4
 ROWS_PER_BATCH = 1_000
+BYTES_PER_TRIGGER = 256 * 2**30
 
 # Fixed value: the columns of the events table, for streaming reads.
 EVENTS_SCHEMA = (
@@ -31,17 +32,17 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def events_stream(
-    spark: SparkSession, data_dir: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, data_dir: str, max_bytes_per_trigger: int = BYTES_PER_TRIGGER
 ) -> DataFrame:
     """The events table, one file or a folder of them, as a file stream.
 
     The path is written as a pattern that matches only this table, because the
-    file source takes a plain path for a folder.
+    file source takes a plain path for a folder. The limit keeps a micro-batch, and
+    so what a restart has to do again, to a part of a large table.
     """
     reader = spark.readStream.schema(EVENTS_SCHEMA)
-    if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(f"{data_dir}/{{events}}.parquet")
+    limited = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    return limited.parquet(f"{data_dir}/{{events}}.parquet")
 
 
 def _partition() -> Column:
