@@ -132,6 +132,26 @@ def test_flag_name_collision(spark):
     assert [tuple(r) for r in replaced.collect()] == [("90", 1)]
 
 
+def test_replaced_flags_keep_the_order_of_the_models(spark):
+    rows = spark.createDataFrame([("90",)], "trans_amt string")
+    models = [
+        ThresholdModel.of("trans_amt", "a", 7.0, 5.5),
+        ThresholdModel.of("a", "b", 0.0, 0.25),
+        ThresholdModel.of("trans_amt", "A", 10.0, 7.0),
+        ThresholdModel.of("A", "c", 0.0, 0.25),
+    ]
+    row = flag(rows, models, replace=True).first().asDict()
+    assert {k.lower(): v for k, v in row.items()} == {"trans_amt": "90", "a": 0, "b": 1, "c": 0}
+
+
+def test_many_models_share_one_projection(spark):
+    rows = spark.createDataFrame([("90.5",)], "trans_amt string")
+    models = [ThresholdModel.of("trans_amt", f"f{i}", 0.0, i / 2) for i in range(300)]
+    flagged = flag(rows, models)
+    assert list(flagged.first())[1:] == [int(90.5 > i) for i in range(300)]
+    assert flag(rows, []).columns == ["trans_amt"]
+
+
 def test_rows_are_flagged_never_dropped_and_action_implies_warning(spark):
     rng = random.Random(7)
     values = [rng.choice([None, "x", "", repr(rng.uniform(-50, 200))]) for _ in range(2000)]

@@ -73,6 +73,22 @@ def test_restart_reads_only_what_is_new(spark, records):
     assert output.read(spark).count() == 1007
 
 
+def test_interrupted_stream_ends_with_the_same_rows(spark, records):
+    topic, output = _topic_of(spark, records, parts=6), _output(spark)
+    checkpoint = new_folder(spark, "checkpoint")
+    query = scoring.start_stream(spark, topic, output, checkpoint)
+    for _ in range(100):
+        query.awaitTermination(0.1)
+        if query.lastProgress and query.lastProgress.batchId >= 1:
+            break
+    query.stop()
+    done = sum(p.numInputRows for p in query.recentProgress)
+    assert done > 0
+    query = scoring.start_stream(spark, topic, output, checkpoint, trigger=AVAILABLE_NOW)
+    query.awaitTermination()
+    assert bag(output.read(spark)) == bag(scoring.score_messages(records))
+
+
 def test_bad_messages_do_not_stop_a_stream(spark):
     values = ["not json", "", None, '{"trans_amt":"abc"}', '{"trans_amt":"99"}', "1,2,3"]
     topic = files(new_folder(spark, "input"), schema="value string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tidemark.functions.columns import exceeds, named
 from tidemark.schema import UPPER_ACTION, UPPER_WARNING
@@ -60,14 +60,19 @@ def flag(
 
     Column names are checked before anything runs. A flag that would overwrite a
     column, which Spark matches without regard to case, is refused unless
-    ``replace`` is set.
+    ``replace`` is set. Models that do not read each other's flags share one
+    projection, so a long list of them stays a short plan.
     """
+    present = list(rows.columns)
+    pending: dict[str, Column] = {}
     for model in models:
-        present = rows.columns
         if model.input_col not in present:
             raise ValueError(f"column {model.input_col!r} is not among {present}")
         taken = [c for c in present if c.lower() == model.output_col.lower()]
         if taken and not replace:
             raise ValueError(f"flag {model.output_col!r} would overwrite column {taken[0]!r}")
-        rows = rows.withColumn(model.output_col, exceeds(named(model.input_col), model.threshold))
-    return rows
+        if pending.keys() & {model.input_col, *taken}:
+            rows, pending = rows.withColumns(pending), {}
+        pending[model.output_col] = exceeds(named(model.input_col), model.threshold)
+        present = [c for c in present if c not in taken] + [model.output_col]
+    return rows.withColumns(pending) if pending else rows

@@ -16,6 +16,9 @@ from tidemark.sources.endpoint import Endpoint, paced
 
 WIRE_FORMS = {"json": json_value, "csv": csv_value}
 
+# Some 300 MB of JSON text.
+ROWS_PER_TASK = 1_000_000
+
 # How many records are offered at once, and every how many seconds.
 CONCURRENCY = 1000
 THROTTLE_SECONDS = 2
@@ -52,10 +55,10 @@ def run_batch(
     seed: int = 42,
     key: Column | str | None = "card_num",
 ) -> None:
-    """Write ``rows`` synthetic transactions."""
-    sink.write(
-        feed_messages(synth_transactions(spark.range(rows), "id", config, seed), wire, key)
-    )
+    """Write ``rows`` synthetic transactions, in tasks of a bounded size."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    made = synth_transactions(spark.range(0, rows, 1, tasks), "id", config, seed)
+    sink.write(feed_messages(made, wire, key))
 
 
 def start_stream(
