@@ -55,6 +55,20 @@ def test_feed_with_properties(spark, tmp_path):
     assert {r[0] for r in cards.collect()} == {"gold", "silver"}
 
 
+@pytest.mark.parametrize(
+    "argv",
+    [
+        ["feed", "--sink", "noop"],
+        ["score", "--source", "rate", "--sink", "noop", "--available-now"],
+        ["score", "--source", "rate", "--sink", "noop", "--progress", "noop"],
+    ],
+)
+def test_streams_need_a_checkpoint(argv, capsys):
+    with pytest.raises(SystemExit):
+        main(argv)
+    assert "--checkpoint" in capsys.readouterr().err
+
+
 def test_bad_option_is_refused(capsys):
     with pytest.raises(SystemExit):
         main(["feed", "--sink", "parquet", "--sink-option", "path"])

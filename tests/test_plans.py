@@ -18,7 +18,14 @@ from tidemark.plans.workspace import new_folder
 from tidemark.sources.endpoint import files
 from tidemark.sources.events import envelope, progress_messages, table, transactions
 
-SHUFFLED = {"latest_offsets", "progress_merge", "progress_rows", "input_lag", "stream_progress"}
+SHUFFLED = {
+    "latest_offsets",
+    "progress_merge",
+    "progress_rows",
+    "input_lag",
+    "input_lag_reported",
+    "stream_progress",
+}
 STREAMS = {name for name in QUERIES if name.startswith("stream_")}
 
 

@@ -144,7 +144,12 @@ _JOBS = {"score": _score, "feed": _feed, "points": _points, "lag": _lag}
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
+    if args.job == "score" and not args.checkpoint and (args.progress or args.available_now):
+        parser.error("--progress and --available-now are for streams, which need --checkpoint")
+    if args.job == "feed" and args.rows is None and not args.checkpoint:
+        parser.error("give --rows, or --checkpoint for an endless stream")
     spark = SparkSession.builder.appName(f"tidemark-{args.job}").getOrCreate()
     _JOBS[args.job](spark, args)
 

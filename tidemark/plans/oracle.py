@@ -53,10 +53,11 @@ def _pick(drawn: str, values: str) -> str:
 
 # The same lists, lengths and ranges as the generator's defaults.
 _CITY = _pick(_narrow("merchant", 0), "London,Manchester,Cardiff")
-_ZIP = f"""CASE {_CITY}
+_ZIP_OF = f"""
   WHEN 'London' THEN {_pick(_narrow("merchant", 1), "WC1V,EC1R,EC1M,EC2A,EC4Y")}
   WHEN 'Manchester' THEN {_pick(_narrow("merchant", 1), "M45,M61,M30,M23")}
   WHEN 'Cardiff' THEN {_pick(_narrow("merchant", 1), "CF15,CF14")} END"""
+_ZIP_CITY = _pick(_narrow("card", 1), "London,Manchester,Cardiff")
 
 _DRAWN = {
     "unique_transact_id": _digits(_wide("transaction", 0), 9),
@@ -72,7 +73,7 @@ _DRAWN = {
         _narrow("transaction", 1), "leisure,public_sector,prof_services,retail,transport"
     ),
     "city": _CITY,
-    "zip": _ZIP,
+    "zip": f"CASE {_CITY} {_ZIP_OF}",
     "chrgbck_amt": _amount(_wide("charge", 0), 0.0, 50.0),
     "chargeback_cat": _pick(
         _narrow("charge", 0),
@@ -81,14 +82,18 @@ _DRAWN = {
     "chargeback_res": _pick(_narrow("charge", 1), "charged_back,open,represented,NA"),
 }
 
+# Whole milliseconds; epoch_ms would round.
+_EVENT_MILLIS = "CAST(epoch_us(ts) // 1000 AS VARCHAR)"
+
+_TIMED = {**_DRAWN, "trans_time": _EVENT_MILLIS, "zip": f"CASE {_ZIP_CITY} {_ZIP_OF}"}
+
 _FROM_EVENT = {
     **_DRAWN,
     "unique_transact_id": "lpad(CAST(event_id AS VARCHAR), 9, '0')",
     "card_num": "lpad(CAST(user_id AS VARCHAR), 18, '0')",
     "processing_flag": "CASE WHEN event_type = 'error' THEN 'declined' ELSE 'approved' END",
     "trans_amt": _double_text("value"),
-    # Whole milliseconds; epoch_ms would round.
-    "trans_time": "CAST(epoch_us(ts) // 1000 AS VARCHAR)",
+    "trans_time": _EVENT_MILLIS,
     "merchant_key": "lpad(json_extract_string(props, '$.k'), 4, '0')",
     "category_name": "event_type",
 }
@@ -118,7 +123,8 @@ _OFFSETS = """offsets AS (
 _BATCH_ENDS = """ends AS (
   SELECT event_id // 1000 AS batchId, CAST(event_id % 4 AS INTEGER) AS partition,
     max(event_id // 4) + 1 AS end_offset
-  FROM events GROUP BY 1, 2)"""
+  FROM events GROUP BY 1, 2),
+sizes AS (SELECT event_id // 1000 AS batchId, count(*) AS n FROM events GROUP BY 1)"""
 _BATCHES = """batches AS (
   SELECT event_id // 1000 AS batchId, count(*) AS n,
     max(CASE WHEN event_id % 4 = 0 THEN event_id // 4 END) + 1 AS e0,
@@ -127,6 +133,16 @@ _BATCHES = """batches AS (
     max(CASE WHEN event_id % 4 = 3 THEN event_id // 4 END) + 1 AS e3
   FROM events GROUP BY 1)"""
 
+_ITEMS = """
+  WITH items AS (
+    SELECT doc_id, CAST(place AS INTEGER) AS position, parts[place + 1] AS item
+    FROM (
+      SELECT doc_id, parts, unnest(range(len(parts))) AS place
+      FROM (
+        SELECT doc_id, CASE WHEN text <> '' AND rtrim(text, ',') = '' THEN []
+          ELSE string_split(rtrim(text, ','), ',') END AS parts
+        FROM documents)))"""
+
 ORACLE_SQL: dict[str, str] = {
     "score_transactions": f"{_TX} SELECT *, {_FLAGS} FROM tx",
     "score_single_warning": f"{_TX} SELECT *, {_WARNING} FROM tx",
@@ -177,18 +193,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT batchId, 0 AS source, topic, partition, end_offset, latest_offset,
           greatest(latest_offset - end_offset, 0) AS lag
         FROM ends LEFT JOIN offsets USING (partition)""",
+    "input_lag_reported": f"""
+        WITH {_BATCH_ENDS}
+        SELECT batchId, 0 AS source, 'input' AS topic, partition, end_offset,
+          end_offset + n // 4 AS latest_offset, n // 4 AS lag
+        FROM ends JOIN sizes USING (batchId)""",
     "synth_transactions": f"{_SYNTH} SELECT * FROM tx",
+    "synth_timed": _rows(_TIMED),
     "feed_json": f"{_SYNTH} SELECT {_JSON} FROM tx",
     "feed_csv": f"{_SYNTH} SELECT 'key' AS key, {_CSV} FROM tx",
     "feed_keyed": f"{_TX} SELECT card_num AS key, {_JSON} FROM tx",
-    "split_lists": """
-        SELECT doc_id, CAST(position AS INTEGER) AS position, items[position + 1] AS item
-        FROM (
-          SELECT doc_id, items, unnest(range(len(items))) AS position
-          FROM (
-            SELECT doc_id, CASE WHEN text <> '' AND rtrim(text, ',') = '' THEN []
-              ELSE string_split(rtrim(text, ','), ',') END AS items
-            FROM documents))""",
+    "split_lists": f"{_ITEMS} SELECT doc_id, position, item FROM items",
+    "score_items": f"""
+        {_ITEMS} SELECT doc_id, position, item,
+          CASE WHEN TRY_CAST(item AS DOUBLE) > 81.0 THEN 1 ELSE 0 END AS high_item
+        FROM items""",
     "written_messages": f"{_SYNTH} SELECT * FROM tx",
     "stream_score_transactions": f"{_TX} SELECT *, {_FLAGS} FROM tx",
     "stream_progress": "SELECT count(*) AS rows_read FROM events",

@@ -38,6 +38,7 @@ from tidemark.sources.events import (
     events_stream,
     progress_messages,
     table,
+    timed,
     transactions,
 )
 from tidemark.streaming.observe import ProgressLog
@@ -54,6 +55,7 @@ _LINE_MODELS = (
     ThresholdModel.of("l_extendedprice", "high_price", 2.0, 2.5, mean=20_000.0, std=8_000.0),
     ThresholdModel.of("l_quantity", "high_quantity", 1.0, 10.0, mean=20.0, std=1.5),
 )
+_ITEM_MODELS = (ThresholdModel.of("item", "high_item", 7.0, 5.5),)
 
 
 def _events(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -103,6 +105,11 @@ def score_lineitem(spark: SparkSession, data_dir: str) -> DataFrame:
     return flag(lines, _LINE_MODELS)
 
 
+def score_items(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Parts of prose as amounts: most of them no numbers at all."""
+    return flag(split_lists(spark, data_dir), _ITEM_MODELS)
+
+
 def decode_json_messages(spark: SparkSession, data_dir: str) -> DataFrame:
     return decode_json(_envelope(spark, data_dir))
 
@@ -164,6 +171,18 @@ def input_lag_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     return lags.drop("id", "runId")
 
 
+def input_lag_reported(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The lag by the latest offsets that the progress itself reports."""
+    return input_lag(progress_messages(_events(spark, data_dir), reported=True)).drop("id", "runId")
+
+
+def synth_timed(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Transactions with given times, and a zip that is drawn apart from the city."""
+    return synth_transactions(
+        timed(_events(spark, data_dir)), "event_id", time_col="timestamp", independent_zip=True
+    )
+
+
 def synth_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     return _synth(spark, data_dir)
 
@@ -226,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "score_csv": score_csv,
     "score_orders": score_orders,
     "score_lineitem": score_lineitem,
+    "score_items": score_items,
     "decode_json": decode_json_messages,
     "encode_json": encode_json_messages,
     "encode_csv": encode_csv_messages,
@@ -239,7 +259,9 @@ QUERIES: dict[str, Query] = {
     "progress_merge": progress_merge,
     "progress_rows": progress_table,
     "input_lag": input_lag_rows,
+    "input_lag_reported": input_lag_reported,
     "synth_transactions": synth_rows,
+    "synth_timed": synth_timed,
     "feed_json": feed_json,
     "feed_csv": feed_csv,
     "feed_keyed": feed_keyed,

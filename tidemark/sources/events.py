@@ -79,10 +79,15 @@ def transactions(events: DataFrame) -> DataFrame:
     return synth_transactions(events, "event_id", given=_event_columns())
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Events with their time as a timestamp with time zone, in ``timestamp``."""
+    return events.withColumn("timestamp", F.timestamp_micros(_since_epoch("0.000001")))
+
+
 def envelope(events: DataFrame) -> DataFrame:
     """Events as topic records over four partitions, in the order of their ids."""
     placed = synth_transactions(
-        events.withColumn("timestamp", F.timestamp_micros(_since_epoch("0.000001"))),
+        timed(events),
         "event_id",
         given=_event_columns(),
         keep=["event_id", "timestamp"],
@@ -98,25 +103,34 @@ def envelope(events: DataFrame) -> DataFrame:
     )
 
 
-def progress_messages(events: DataFrame) -> DataFrame:
+def progress_messages(events: DataFrame, reported: bool = False) -> DataFrame:
     """Progress as a stream over these records would report it, one message per 1,000 ids.
 
-    One grouping on the batch number; the end offset of every topic partition is
-    a maximum, so all of it is combined within the tasks first.
+    With ``reported`` each message also has latest offsets: those after as many rows
+    again. One grouping on the batch number; the end offset of every topic partition
+    is a maximum, so all of it is combined within the tasks first.
     """
     names = [str(p) for p in range(PARTITIONS)]
     ends = [
-        (F.max(F.when(_partition() == p, _offset())) + 1).alias(name) for p, name in enumerate(names)
+        (F.max(F.when(_partition() == p, _offset())) + 1).alias(name)
+        for p, name in enumerate(names)
     ]
     batches = events.groupBy(F.expr(f"event_id div {ROWS_PER_BATCH}").alias("batchId")).agg(
         F.count("*").alias("numInputRows"), *ends
     )
-    source = F.struct(
+    fields = [
         F.lit("events").alias("description"),
         F.struct(F.struct(*names).alias(INPUT_TOPIC)).alias("endOffset"),
-        "numInputRows",
-    )
+        F.col("numInputRows"),
+    ]
+    if reported:
+        ahead = F.expr(f"numInputRows div {PARTITIONS}")
+        latest = F.struct(*[(F.col(name) + ahead).alias(name) for name in names])
+        fields.append(F.struct(latest.alias(INPUT_TOPIC)).alias("latestOffset"))
     message = F.struct(
-        F.lit("score").alias("name"), "batchId", "numInputRows", F.array(source).alias("sources")
+        F.lit("score").alias("name"),
+        "batchId",
+        "numInputRows",
+        F.array(F.struct(*fields)).alias("sources"),
     )
     return batches.select(F.to_json(message).alias("value"))
