@@ -67,6 +67,13 @@ def test_latest_offsets_reads_three_columns_and_combines_first(stored):
     assert text.count("Exchange") >= 1
 
 
+def test_merge_parses_once_and_looks_up_the_offset_once(spark, data_dir):
+    text = plan(QUERIES["progress_merge"](spark, data_dir))
+    assert text.count("from_json(") == 1
+    # One scan for the messages and one for the offset.
+    assert len(_read_schema(text)) == 2
+
+
 def test_lag_join_is_not_a_cross_join(spark, data_dir, stored):
     progress = progress_messages(table(spark, data_dir, "events"))
     text = plan(input_lag(progress, latest_offsets(stored)))

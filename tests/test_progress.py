@@ -52,7 +52,9 @@ def test_p8_replaces_an_earlier_field(spark):
     assert json.loads(merged.first().value) == {"a": 2, "latestOffset": {"latestOffset": 5}}
 
 
-@pytest.mark.parametrize("message", ["not json", "[1]", "3", None])
+@pytest.mark.parametrize(
+    "message", ["not json", "[1]", "3", None, '{"a":1', '{"a":1,"a":2}', '{"a":{"b":1,"b":2}}']
+)
 def test_p8_what_is_no_object_becomes_null(spark, message):
     assert with_latest_offset(literal_rows(spark, [message]), F.lit(5)).first().value is None
 

@@ -43,7 +43,7 @@ def test_s3_rate_limit_can_be_lifted():
 
 
 def test_k1_kafka_sink_options():
-    sink = kafka_sink("a:9092").with_options(includeHeaders=True)
+    sink = kafka_sink("a:9092", includeHeaders=True)
     assert dict(sink.options) == {
         "kafka.bootstrap.servers": "a:9092",
         "topic": "output",

@@ -1,0 +1 @@
+"""Threshold scoring of card transactions on tables and streams."""

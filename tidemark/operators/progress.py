@@ -11,6 +11,7 @@ from tidemark.schema import PROGRESS_SCHEMA
 
 LATEST_OFFSET = "latestOffset"
 LAG_SALTS = 16
+_FIELDS, _OFFSET = "_fields", "_latest_offset"
 _EVENT = ("id", "runId", "batchId", "source")
 
 
@@ -30,16 +31,25 @@ def with_latest_offset(progress: DataFrame, latest: Column, value: str = "value"
     """Progress messages with a top-level ``"latestOffset":{"latestOffset":N}``.
 
     All other fields are kept, known or not; an earlier field of that name is
-    replaced. Where ``latest`` is null the message stays as it is, and one that is
-    no JSON object becomes null.
+    replaced. Where ``latest`` is null the message stays as it is. One that is no
+    JSON object, or repeats a name, becomes null and fails nothing.
     """
-    fields = F.from_json(named(value), "map<string,variant>")
-    others = F.map_filter(fields, lambda name, _: name != LATEST_OFFSET)
-    added = F.parse_json(F.to_json(F.struct(latest.cast("bigint").alias(LATEST_OFFSET))))
-    merged = F.map_concat(others, F.create_map(F.lit(LATEST_OFFSET), added))
-    return progress.withColumn(
-        value, F.to_json(F.when(latest.isNull(), fields).otherwise(merged))
+    # A projection of their own, so that the message is parsed once and a subquery
+    # for the offset runs once.
+    parsed = progress.withColumns(
+        {
+            _FIELDS: F.from_json(named(value), "map<string,variant>"),
+            _OFFSET: latest.cast("bigint"),
+        }
     )
+    names = F.map_keys(_FIELDS)
+    others = F.map_filter(_FIELDS, lambda name, _: name != LATEST_OFFSET)
+    added = F.parse_json(F.to_json(F.struct(F.col(_OFFSET).alias(LATEST_OFFSET))))
+    merged = F.when(F.col(_OFFSET).isNull(), F.col(_FIELDS)).when(
+        F.size(F.array_distinct(names)) == F.size(names),
+        F.map_concat(others, F.create_map(F.lit(LATEST_OFFSET), added)),
+    )
+    return parsed.withColumn(value, F.to_json(merged)).drop(_FIELDS, _OFFSET)
 
 
 def progress_rows(progress: DataFrame, value: str = "value") -> DataFrame:
