@@ -72,6 +72,35 @@ def test_p1_bytes_and_text_decode_alike(spark):
     assert bag(score(as_bytes)) == bag(score(text))
 
 
+def test_p1_bytes_that_are_no_text_fail_nothing(spark):
+    good = '{"trans_amt":"99"}'
+    payloads = [
+        b"\xff\xfe", b"\x00", good.encode("utf-16"), good.encode("utf-32"),
+        b'{"city":"\xff\xfeA","trans_amt":"99"}', good.encode() + b"\x00",
+    ]
+    messages = spark.createDataFrame([(bytearray(p),) for p in payloads], "value binary")
+    assert [r.trans_amt for r in score(messages).collect()] == [None] * 4 + ["99"] * 2
+
+
+def test_p2_very_long_fields_are_read_whole(spark):
+    length = 25_000_000
+    long = literal_rows(spark, ["x"]).select(
+        F.concat(
+            F.lit('{"trans_amt":"99","city":"'), F.repeat("value", F.lit(length)), F.lit('"}')
+        ).alias("value")
+    )
+    row = score(long).select("trans_amt", F.length("city"), "Upper_Warning").first()
+    assert tuple(row) == ("99", length, 1)
+
+
+@pytest.mark.parametrize(
+    "field",
+    ['{"a":' + "[" * 3000 + "]" * 3000, '{"a":' + "1" * 5000, '{"city":' + "[" * 3000 + "]" * 3000],
+)
+def test_p2_deep_or_long_values_leave_other_fields(spark, field):
+    assert score(literal_rows(spark, [field + ',"trans_amt":"99"}'])).first().trans_amt == "99"
+
+
 def test_p3_columns_are_the_fixed_fourteen(spark):
     decoded = decode_json(literal_rows(spark, ['{"extra":1}']))
     assert decoded.columns == list(TRANSACTION_COLUMNS)

@@ -8,13 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import plan
-from tidemark.operators.messages import decode_json, encode_json
 from tidemark.operators.detect import flag
+from tidemark.operators.messages import decode_json, encode_json
+from tidemark.operators.points import chart_points
 from tidemark.operators.progress import input_lag, latest_offsets
 from tidemark.operators.synth import synth_transactions
 from tidemark.plans.queries import QUERIES
 from tidemark.plans.scoring import score, score_messages
 from tidemark.plans.workspace import new_folder
+from tidemark.schema import POINT_SCHEMA
 from tidemark.sources.endpoint import files
 from tidemark.sources.events import envelope, progress_messages, table, transactions
 
@@ -54,10 +56,11 @@ def test_thresholds_are_literals(stored):
     assert "> 81.0)" in text and "> 114.0)" in text
 
 
-def test_only_needed_json_fields_are_parsed(stored):
-    text = plan(score(stored).select("Upper_Warning"))
-    parsed = re.search(r"from_json\((.*?), cast", text).group(1)
-    assert re.findall(r"StructField\((\w+),", parsed) == ["trans_amt"]
+def test_only_the_fields_of_the_schema_are_parsed(stored):
+    text = plan(chart_points(decode_json(stored, POINT_SCHEMA)))
+    parsed = re.search(r"from_json\((.*?), \(max", text).group(1)
+    assert re.findall(r"StructField\((\w+),", parsed) == ["trans_time", "trans_amt"]
+    assert text.count("from_json(") == 1
 
 
 def test_latest_offsets_reads_three_columns_and_combines_first(stored):

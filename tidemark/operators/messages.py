@@ -13,6 +13,16 @@ from tidemark.functions.text import csv_field, csv_line
 from tidemark.schema import SCORED_SCHEMA, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
 
 
+# The parser's own limits would turn a whole record into nulls for one very long
+# field. Options rule out pruning of unused fields, so pass a smaller schema instead.
+_NO_LIMIT = str(2**31 - 1)
+_WHOLE_TEXTS = {
+    "maxStringLen": _NO_LIMIT,
+    "maxNumLen": _NO_LIMIT,
+    "maxNestingDepth": _NO_LIMIT,
+}
+
+
 def _payload(value: str) -> Column:
     return named(value).cast("string")
 
@@ -20,12 +30,12 @@ def _payload(value: str) -> Column:
 def decode_json(
     messages: DataFrame, schema: T.StructType = TRANSACTION_SCHEMA, value: str = "value"
 ) -> DataFrame:
-    """One row per message, with the columns of ``schema``.
+    """One row per message, with the columns of ``schema`` and no others parsed.
 
     A message that is not a JSON object gives a row of nulls; none is dropped and
-    none fails the query.
+    none fails the query. Texts of any length are read whole.
     """
-    parsed = messages.select(F.from_json(_payload(value), schema).alias("data"))
+    parsed = messages.select(F.from_json(_payload(value), schema, _WHOLE_TEXTS).alias("data"))
     return parsed.select("data.*")
 
 

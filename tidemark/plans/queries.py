@@ -32,6 +32,7 @@ from tidemark.operators.synth import synth_transactions
 from tidemark.plans.feeding import constant_key, feed_messages
 from tidemark.plans.scoring import score, score_messages
 from tidemark.plans.workspace import new_folder
+from tidemark.schema import POINT_SCHEMA
 from tidemark.sources.endpoint import INPUT_TOPIC, files
 from tidemark.sources.events import (
     envelope,
@@ -141,11 +142,11 @@ def misfed_documents(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def chart_points_rows(spark: SparkSession, data_dir: str) -> DataFrame:
-    return chart_points(decode_scored(score_messages(_envelope(spark, data_dir))))
+    return chart_points(decode_json(score_messages(_envelope(spark, data_dir)), POINT_SCHEMA))
 
 
 def chart_points_messages(spark: SparkSession, data_dir: str) -> DataFrame:
-    return chart_points_json(decode_scored(score_messages(_envelope(spark, data_dir))))
+    return chart_points_json(decode_json(score_messages(_envelope(spark, data_dir)), POINT_SCHEMA))
 
 
 def latest_offsets_rows(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -35,6 +35,11 @@ SCORED_SCHEMA = T.StructType(
     + [T.StructField(name, T.IntegerType(), True) for name in (UPPER_WARNING, UPPER_ACTION)]
 )
 
+# What a chart needs of a scored record.
+POINT_SCHEMA = T.StructType(
+    [T.StructField(name, T.StringType(), True) for name in ("trans_time", "trans_amt")]
+)
+
 # The columns of Spark's Kafka source; file-backed topics use the same ones.
 ENVELOPE_SCHEMA = T.StructType(
     [
