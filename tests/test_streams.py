@@ -55,6 +55,7 @@ def test_stream_and_batch_agree_over_several_batches(spark, records):
     batches = _finish(query)
     assert len(batches) == 4
     assert sum(batches) == 1000
+    assert not any(p.stateOperators for p in query.recentProgress)
     assert bag(output.read(spark)) == bag(scoring.score_messages(records))
 
 
@@ -228,7 +229,9 @@ def test_lag_job(spark, records):
     progress = files(new_folder(spark, "progress"), schema="value string")
     end = {"input": {"0": 100, "1": 250, "2": 0, "3": 260}}
     progress.write(
-        literal_rows(spark, [json.dumps({"id": "q", "batchId": 0, "sources": [{"endOffset": end}]})])
+        literal_rows(
+            spark, [json.dumps({"id": "q", "batchId": 0, "sources": [{"endOffset": end}]})]
+        )
     )
     sink = files(new_folder(spark, "lag"), schema=None)
     reporting.write_lag(spark, progress, sink, topic)

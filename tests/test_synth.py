@@ -172,6 +172,16 @@ def test_g7_empty_properties_are_the_defaults():
     assert SynthConfig.from_properties("") == SynthConfig()
 
 
+def test_g4_unlisted_city_has_no_zip(spark):
+    made = synth_transactions(spark.range(5), given={"city": F.lit("Oslo")})
+    assert bag(made, ["city", "zip"]) == {("Oslo", None): 5}
+
+
+def test_kept_columns_come_first(spark):
+    made = synth_transactions(spark.range(2), keep=["id"])
+    assert made.columns == ["id", *TRANSACTION_COLUMNS]
+
+
 def test_given_columns_must_be_known(spark):
     with pytest.raises(ValueError, match="colour"):
         synth_transactions(spark.range(1), given={"colour": F.lit("red")})
