@@ -185,6 +185,31 @@ def test_t7_many_events_on_one_partition_against_brute_force(spark):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_t7_hot_partition_is_split_without_adaptive_execution(spark):
+    messages = literal_rows(spark, [_progress(b, {"hot": {"0": b}}) for b in range(4000)])
+    probe = spark.createDataFrame(
+        [("hot", 0, 5000)], "topic string, partition int, latest_offset bigint"
+    )
+    settings_for_test = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {name: spark.conf.get(name) for name in settings_for_test}
+    for name, setting in settings_for_test.items():
+        spark.conf.set(name, setting)
+    try:
+        lags = input_lag(messages.repartition(4), probe)
+        sizes = [
+            r["count"] for r in lags.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        ]
+    finally:
+        for name, setting in before.items():
+            spark.conf.set(name, setting)
+    assert sum(sizes) == 4000
+    assert len(sizes) >= 8 and max(sizes) <= 4000 / 4
+
+
 def test_reported_latest(spark):
     messages = literal_rows(
         spark,

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import threading
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.helpers import bag
@@ -190,6 +195,36 @@ def test_t4_t5_t6_k5_every_event_is_noted_and_written(spark, records, log):
     assert lifecycle_rows(spark, log.take_lifecycle()).count() == 0
 
 
+def test_failed_stream_raises_and_leaves_its_progress(spark, records, log):
+    topic, output = _topic_of(spark, records.limit(10), parts=1), _output(spark)
+    broken = Path(topic.options["path"]) / "zz.parquet"
+    broken.write_text("this is no parquet file")
+    os.utime(broken, (time.time() + 60, time.time() + 60))
+    progress_topic = files(new_folder(spark, "progress"), schema="key string, value string")
+    query = scoring.start_stream(
+        spark, topic, output, new_folder(spark, "checkpoint"), trigger=AVAILABLE_NOW
+    )
+    with pytest.raises(StreamingQueryException):
+        run_until_stopped(spark, query, log, progress_topic, flush_seconds=0.2)
+    assert output.read(spark).count() == 10
+    events = progress_rows(progress_topic.read(spark)).collect()
+    assert [e.numInputRows for e in events if e.numInputRows] == [10]
+    assert {e for e, _, _ in log.take_lifecycle()} == {"started", "terminated"}
+
+
+def test_scoring_goes_on_without_its_progress_sink(spark, records, log, caplog):
+    topic, output = _topic_of(spark, records), _output(spark)
+    query = scoring.start_stream(spark, topic, output, new_folder(spark, "checkpoint"))
+    stopper = threading.Timer(6.0, query.stop)
+    stopper.start()
+    with pytest.raises(Exception, match="no_such_format"):
+        run_until_stopped(spark, query, log, Endpoint("no_such_format"), flush_seconds=0.5)
+    assert "will try again" in caplog.text
+    assert output.read(spark).count() == 1000
+    kept = [json.loads(m) for m in log.take_progress()]
+    assert sum(p["numInputRows"] for p in kept) == 1000
+
+
 def test_k5_messages_of_a_failed_write_are_kept(spark, log):
     log._progress.extend(['{"a":1}', '{"a":2}'])
     with pytest.raises(Exception, match="no_such_format"):

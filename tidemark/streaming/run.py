@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,11 +33,21 @@ def run_until_stopped(
     """Block until a query ends, meanwhile writing out its progress from time to time.
 
     Scoring goes on when progress cannot be written; the notes wait for the next try.
+    When the query fails, what it did before is written and the failure raised.
     """
-    while not query.awaitTermination(flush_seconds):
-        try:
-            log.flush(spark, progress_sink)
-        except Exception:
-            logger.warning("progress was not written, will try again", exc_info=True)
+    try:
+        while not query.awaitTermination(flush_seconds):
+            _try_flush(spark, log, progress_sink)
+    except StreamingQueryException:
+        log.wait_ended(query)
+        _try_flush(spark, log, progress_sink)
+        raise
     log.wait_ended(query)
     log.flush(spark, progress_sink)
+
+
+def _try_flush(spark: SparkSession, log: ProgressLog, progress_sink: Endpoint) -> None:
+    try:
+        log.flush(spark, progress_sink)
+    except Exception:
+        logger.warning("progress was not written, will try again", exc_info=True)
