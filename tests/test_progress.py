@@ -87,6 +87,13 @@ def test_p8_merges_any_object(spark, objects):
         assert json.loads(after.value) == {**before, "latestOffset": {"latestOffset": 9}}
 
 
+def test_progress_as_bytes(spark):
+    text = literal_rows(spark, [_progress(1, {"a": {"0": 10}}, {"a": {"0": 12}}), "x", None])
+    as_bytes = text.select(F.col("value").cast("binary").alias("value"))
+    assert bag(input_lag(as_bytes)) == bag(input_lag(text))
+    assert bag(with_latest_offset(as_bytes, F.lit(3))) == bag(with_latest_offset(text, F.lit(3)))
+
+
 def test_t6_typed_progress(spark):
     message = _progress(4, 9, numInputRows=12, durationMs={"addBatch": 3}, unknown=[1])
     row = progress_rows(literal_rows(spark, [message])).first()

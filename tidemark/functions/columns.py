@@ -11,6 +11,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def text_of(name: str) -> Column:
+    """The column called ``name`` as text; topics deliver bytes."""
+    return named(name).cast("string")
+
+
 def exceeds(value: Column, threshold: float) -> Column:
     """1 where ``value`` is above ``threshold``, otherwise 0, never null.
 

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import named
+from tidemark.functions.columns import named, text_of
 from tidemark.functions.text import csv_field, csv_line
 from tidemark.schema import SCORED_SCHEMA, TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
 
-
 # The parser's own limits would turn a whole record into nulls for one very long
 # field. Options rule out pruning of unused fields, so pass a smaller schema instead.
 _NO_LIMIT = str(2**31 - 1)
@@ -23,10 +22,6 @@ _WHOLE_TEXTS = {
 }
 
 
-def _payload(value: str) -> Column:
-    return named(value).cast("string")
-
-
 def decode_json(
     messages: DataFrame, schema: T.StructType = TRANSACTION_SCHEMA, value: str = "value"
 ) -> DataFrame:
@@ -35,7 +30,7 @@ def decode_json(
     A message that is not a JSON object gives a row of nulls; none is dropped and
     none fails the query. Texts of any length are read whole.
     """
-    parsed = messages.select(F.from_json(_payload(value), schema, _WHOLE_TEXTS).alias("data"))
+    parsed = messages.select(F.from_json(text_of(value), schema, _WHOLE_TEXTS).alias("data"))
     return parsed.select("data.*")
 
 
@@ -52,7 +47,7 @@ def decode_csv(
     A plain split is the exact inverse of :func:`encode_csv`. A CSV parser is not:
     it would take quotes in the data for quoting, and empty fields for nulls.
     """
-    split = messages.select(F.split(_payload(value), ",").alias("fields"))
+    split = messages.select(F.split(text_of(value), ",").alias("fields"))
     return split.select([csv_field(F.col("fields"), i).alias(c) for i, c in enumerate(columns)])
 
 

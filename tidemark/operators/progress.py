@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import named
+from tidemark.functions.columns import text_of
 from tidemark.functions.offsets import lag, positions
 from tidemark.schema import PROGRESS_SCHEMA
 
@@ -38,7 +38,7 @@ def with_latest_offset(progress: DataFrame, latest: Column, value: str = "value"
     # for the offset runs once.
     parsed = progress.withColumns(
         {
-            _FIELDS: F.from_json(named(value), "map<string,variant>"),
+            _FIELDS: F.from_json(text_of(value), "map<string,variant>"),
             _OFFSET: latest.cast("bigint"),
         }
     )
@@ -54,7 +54,7 @@ def with_latest_offset(progress: DataFrame, latest: Column, value: str = "value"
 
 def progress_rows(progress: DataFrame, value: str = "value") -> DataFrame:
     """Progress messages as typed columns, one row per event."""
-    return progress.select(F.from_json(named(value), PROGRESS_SCHEMA).alias("p")).select("p.*")
+    return progress.select(F.from_json(text_of(value), PROGRESS_SCHEMA).alias("p")).select("p.*")
 
 
 def input_lag(
