@@ -83,6 +83,20 @@ def test_lag_join_is_not_a_cross_join(spark, data_dir, stored):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_lag_join_shuffles_on_a_salted_key(spark, data_dir, stored):
+    progress = progress_messages(table(spark, data_dir, "events"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(input_lag(progress, latest_offsets(stored)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin LeftOuter" in text
+    salted = re.findall(r"hashpartitioning\(topic#\d+, partition#\d+, salt#\d+", text)
+    assert len(salted) == 2
+    assert "topic:string,partition:int,offset:bigint" in _read_schema(text)
+
+
 def test_numeric_amounts_filter_at_the_scan(spark, data_dir):
     orders = table(spark, data_dir, "orders").select("o_totalprice")
     text = plan(orders.filter(F.col("o_totalprice") > 81.0))

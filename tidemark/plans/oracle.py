@@ -112,6 +112,9 @@ _SCORED_JSON = (
     f"CAST(to_json(struct_pack({_PACKED}, Upper_Warning := Upper_Warning, "
     "Upper_Action := Upper_Action)) AS VARCHAR) AS value"
 )
+_POINT = (
+    "CAST(to_json(struct_pack(x := [trans_time], y := [trans_amt])) AS VARCHAR) AS value"
+)
 _CSV = f"concat_ws(',', {_COLUMNS}) AS value"
 _NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in TRANSACTION_COLUMNS)
 _ALL_NULL = f"SELECT {_NULLS}, 0 AS Upper_Warning, 0 AS Upper_Action"
@@ -167,10 +170,7 @@ ORACLE_SQL: dict[str, str] = {
     "misfed_csv": f"{_ALL_NULL} FROM events",
     "misfed_documents": f"{_ALL_NULL} FROM documents",
     "chart_points": f"{_TX} SELECT trans_time AS x, trans_amt AS y FROM tx",
-    "chart_points_json": (
-        f"{_TX} SELECT CAST(to_json(struct_pack(x := [trans_time], y := [trans_amt])) "
-        "AS VARCHAR) AS value FROM tx"
-    ),
+    "chart_points_json": f"{_TX} SELECT {_POINT} FROM tx",
     "latest_offsets": f"WITH {_OFFSETS} SELECT topic, partition, latest_offset FROM offsets",
     "progress_merge": f"""
         WITH {_OFFSETS}, {_BATCHES}
@@ -210,5 +210,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM items""",
     "written_messages": f"{_SYNTH} SELECT * FROM tx",
     "stream_score_transactions": f"{_TX} SELECT *, {_FLAGS} FROM tx",
+    "stream_chart_points": f"{_TX} SELECT {_POINT} FROM tx",
     "stream_progress": "SELECT count(*) AS rows_read FROM events",
 }

@@ -221,6 +221,17 @@ def stream_score_transactions(spark: SparkSession, data_dir: str) -> DataFrame:
     return decode_scored(topic.read(spark))
 
 
+def stream_chart_points(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A second stream reads the scored topic and writes its points."""
+    scored = files(new_folder(spark, "scored"), schema="value string")
+    points = files(new_folder(spark, "points"), schema="value string")
+    messages = score_messages(envelope(events_stream(spark, data_dir)))
+    run_available(messages, scored, new_folder(spark, "checkpoint"))
+    decoded = decode_json(scored.read_stream(spark), POINT_SCHEMA)
+    run_available(chart_points_json(decoded), points, new_folder(spark, "checkpoint"))
+    return points.read(spark)
+
+
 def stream_progress(spark: SparkSession, data_dir: str) -> DataFrame:
     """What the listener wrote about that stream: records read, over all its batches."""
     topic = files(new_folder(spark, "scored"), schema="value string")
@@ -269,5 +280,6 @@ QUERIES: dict[str, Query] = {
     "split_lists": split_lists,
     "written_messages": written_messages,
     "stream_score_transactions": stream_score_transactions,
+    "stream_chart_points": stream_chart_points,
     "stream_progress": stream_progress,
 }

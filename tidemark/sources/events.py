@@ -17,7 +17,7 @@ from tidemark.sources.endpoint import INPUT_TOPIC
 
 PARTITIONS = 4
 ROWS_PER_BATCH = 1_000
-BYTES_PER_TRIGGER = 256 * 2**30
+BYTES_PER_TRIGGER = 2**40
 
 # Fixed value: the columns of the events table, for streaming reads.
 EVENTS_SCHEMA = (
