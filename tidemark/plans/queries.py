@@ -246,8 +246,9 @@ def stream_progress(spark: SparkSession, data_dir: str) -> DataFrame:
         log.flush(spark, progress_topic)
     finally:
         spark.streams.removeListener(log)
-    events = progress_rows(progress_topic.read(spark))
-    return events.groupBy("id").agg(F.sum("numInputRows").alias("rows_read")).select("rows_read")
+    # The listener also hears of other streams of the session.
+    events = progress_rows(progress_topic.read(spark)).filter(F.col("id") == str(query.id))
+    return events.agg(F.sum("numInputRows").alias("rows_read"))
 
 
 QUERIES: dict[str, Query] = {
