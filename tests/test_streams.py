@@ -18,12 +18,13 @@ from tidemark.operators.progress import input_lag, latest_offsets, progress_rows
 from tidemark.plans import queries, reporting, scoring
 from tidemark.plans.workspace import new_folder
 from tidemark.schema import SCORED_SCHEMA
-from tidemark.sources.endpoint import Endpoint, files, literal_rows
+from tidemark.sources.endpoint import Endpoint, files, literal_rows, paced
 from tidemark.sources.events import envelope, events_stream, table
 from tidemark.streaming import (
     ProgressLog,
     lifecycle_rows,
     progress_messages,
+    run,
     run_available,
     run_until_stopped,
 )
@@ -226,6 +227,20 @@ def test_scoring_goes_on_without_its_progress_sink(spark, records, log, caplog):
     assert sum(p["numInputRows"] for p in kept if p["id"] == str(query.id)) == 1000
 
 
+def test_too_many_unwritten_messages_fail_the_job(spark, log, monkeypatch):
+    monkeypatch.setattr(run, "MAX_PENDING", 2)
+    query = Endpoint("noop").write_stream(
+        paced(50).read_stream(spark), new_folder(spark, "checkpoint")
+    )
+    try:
+        log._progress.extend(['{"a":1}', '{"a":2}', '{"a":3}'])
+        with pytest.raises(Exception, match="no_such_format"):
+            run_until_stopped(spark, query, log, Endpoint("no_such_format"), flush_seconds=0.2)
+        assert query.isActive and log.pending >= 3
+    finally:
+        query.stop()
+
+
 def test_k5_messages_of_a_failed_write_are_kept(spark, log):
     log._progress.extend(['{"a":1}', '{"a":2}'])
     with pytest.raises(Exception, match="no_such_format"):

@@ -58,6 +58,11 @@ class ProgressLog(StreamingQueryListener):
         with self._changed:
             return self._changed.wait_for(lambda: run_id in self._ended, timeout)
 
+    @property
+    def pending(self) -> int:
+        """How many progress messages wait to be written."""
+        return len(self._progress)
+
     def take_progress(self) -> list[str]:
         """The progress messages noted since the last call."""
         with self._changed:

@@ -14,6 +14,8 @@ from tidemark.streaming.observe import ProgressLog
 logger = logging.getLogger(__name__)
 
 FLUSH_SECONDS = 30
+# Some 300 MB of messages on the driver.
+MAX_PENDING = 100_000
 
 
 def run_available(rows: DataFrame, sink: Endpoint, checkpoint: str) -> StreamingQuery:
@@ -32,7 +34,8 @@ def run_until_stopped(
 ) -> None:
     """Block until a query ends, meanwhile writing out its progress from time to time.
 
-    Scoring goes on when progress cannot be written; the notes wait for the next try.
+    Scoring goes on when progress cannot be written; the notes wait for the next try,
+    until so many wait that the job fails rather than fill the driver's memory.
     When the query fails, what it did before is written and the failure raised.
     """
     try:
@@ -50,4 +53,6 @@ def _try_flush(spark: SparkSession, log: ProgressLog, progress_sink: Endpoint) -
     try:
         log.flush(spark, progress_sink)
     except Exception:
+        if log.pending > MAX_PENDING:
+            raise
         logger.warning("progress was not written, will try again", exc_info=True)
