@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import bag
 from tidemark.functions import draws
+from tidemark.functions.text import split_list
 from tidemark.operators.detect import flag
 from tidemark.operators.synth import SynthConfig, synth_transactions
 from tidemark.schema import TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
@@ -163,6 +164,32 @@ def test_g7_properties(spark):
     assert {r.chargeback_res for r in rows} == DOMAINS["chargeback_res"]
 
 
+@pytest.mark.parametrize("length", [0, 1, 9, 10, 19, 40])
+def test_g7_digits_of_any_length(spark, length):
+    config = SynthConfig.from_properties(
+        "".join(f"{name}={length}\n" for name in (
+            "transactionIdLength", "cardNumberLength", "merchantKeyLength", "mccDescLength"
+        ))
+    )
+    names = ["unique_transact_id", "card_num", "merchant_key", "mcc_desc"]
+    rows = synth_transactions(spark.range(200), config=config).select(names).collect()
+    assert all(re.fullmatch(rf"\d{{{length}}}", r[name]) for r in rows for name in names)
+    if length >= 9:
+        assert len({r[name] for r in rows for name in names}) == 800
+    if length == 40:
+        # No part of a long text repeats another part of the same row.
+        assert all(len({"".join(r)[i : i + 9] for i in range(0, 160, 9)}) == 18 for r in rows)
+
+
+def test_g7_lists_follow_the_rules_of_split_list(spark):
+    for text in ["a,b", " a , b", "a,,b", ",a,,", "abc", ",,"]:
+        config = SynthConfig.from_properties(f"cardTypeList={text}")
+        row = spark.createDataFrame([(text.strip(),)], "t string").select(split_list(F.col("t")))
+        assert list(config.lists["cardTypeList"]) == row.first()[0]
+    with pytest.raises(ValueError, match="no values"):
+        synth_transactions(spark.range(1), config=SynthConfig.from_properties("cityList=,"))
+
+
 def test_g7_city_without_zips():
     with pytest.raises(ValueError, match="Oslo"):
         SynthConfig.from_properties("cityList=Oslo")

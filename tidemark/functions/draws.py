@@ -21,7 +21,7 @@ _NARROW_BITS = 16
 _WIDE_BITS = 4 * _HALF_DIGITS - _NARROW_BITS
 # At most this many decimal digits come from one wide draw; the bias from the
 # remainder then stays below 1e-4.
-_DIGITS_PER_DRAW = 9
+DIGITS_PER_DRAW = 9
 
 
 def digest(seed: int, row_id: Column, tag: str) -> Column:
@@ -53,12 +53,12 @@ def digits(numbers: Sequence[Column], length: int) -> Column:
     """G1: ``length`` decimal digits as text, leading zeros kept, nine from each wide draw."""
     parts = []
     for drawn in numbers:
-        width = min(length - _DIGITS_PER_DRAW * len(parts), _DIGITS_PER_DRAW)
+        width = min(length - DIGITS_PER_DRAW * len(parts), DIGITS_PER_DRAW)
         if width > 0:
             parts.append(F.lpad((drawn % F.lit(10**width)).cast("string"), width, "0"))
-    if length > _DIGITS_PER_DRAW * len(numbers):
+    if length > DIGITS_PER_DRAW * len(numbers):
         raise ValueError(f"{length} digits need more than {len(numbers)} draws")
-    return F.concat(*parts)
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def uniform(drawn: Column, low: float, high: float) -> Column:

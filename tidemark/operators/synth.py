@@ -56,14 +56,31 @@ _ZIPS = {
 # One digest per row and subject; each serves up to four columns.
 _SUBJECTS = ("transaction", "card", "merchant", "charge")
 _DIGEST_PREFIX = "_digest_"
+# Columns of digits: their length's property, and the halves their draws come from.
+_DIGIT_COLUMNS = {
+    "unique_transact_id": ("transactionIdLength", [("transaction", 0)]),
+    "card_num": ("cardNumberLength", [("card", 0), ("card", 1)]),
+    "merchant_key": ("merchantKeyLength", [("merchant", 0)]),
+    "mcc_desc": ("mccDescLength", [("merchant", 1)]),
+}
 
 
 def _half_name(subject: str, half: int) -> str:
     return f"_half_{subject}_{half}"
 
 
+def _digit_halves(column: str, length: int) -> list[tuple[str, int]]:
+    """The halves for so many digits; beyond the column's own ones from further digests."""
+    own = _DIGIT_COLUMNS[column][1]
+    needed = -(-length // draws.DIGITS_PER_DRAW)
+    further = [(f"{column}_{i // 2}", i % 2) for i in range(needed - len(own))]
+    return (own + further)[:needed]
+
+
 def _items(text: str) -> tuple[str, ...]:
-    return tuple(text.split(","))
+    """A list property's items, by the same rules as ``split_list`` (P10)."""
+    kept = text.rstrip(",")
+    return tuple(kept.split(",")) if kept or not text else ()
 
 
 def read_properties(text: str) -> dict[str, str]:
@@ -148,8 +165,14 @@ def synth_transactions(
     def narrow(subject: str, half: int) -> Column:
         return draws.narrow(named(_half_name(subject, half)))
 
-    def digits(length: str, *numbers: Column) -> Column:
-        return draws.digits(numbers, config.lengths[length])
+    digit_halves = {
+        column: _digit_halves(column, config.lengths[length])
+        for column, (length, _) in _DIGIT_COLUMNS.items()
+    }
+
+    def digits(column: str) -> Column:
+        numbers = [wide(subject, half) for subject, half in digit_halves[column]]
+        return draws.digits(numbers, config.lengths[_DIGIT_COLUMNS[column][0]])
 
     def amount(drawn: Column, base: str, limit: str) -> Column:
         return draws.uniform(drawn, config.amounts[base], config.amounts[limit]).cast("string")
@@ -166,16 +189,16 @@ def synth_transactions(
     city = given.get("city", pick(narrow("merchant", 0), "cityList"))
     zip_city = pick(narrow("card", 1), "cityList") if independent_zip else city
     columns = {
-        "unique_transact_id": digits("transactionIdLength", wide("transaction", 0)),
-        "card_num": digits("cardNumberLength", wide("card", 0), wide("card", 1)),
+        "unique_transact_id": digits("unique_transact_id"),
+        "card_num": digits("card_num"),
         "processing_flag": pick(narrow("transaction", 0), "processingFlagList"),
         "trans_amt": amount(
             wide("transaction", 1), "baseTransactionAmount", "limitTransactionAmount"
         ),
         "trans_time": time,
         "card_type": pick(narrow("card", 0), "cardTypeList"),
-        "merchant_key": digits("merchantKeyLength", wide("merchant", 0)),
-        "mcc_desc": digits("mccDescLength", wide("merchant", 1)),
+        "merchant_key": digits("merchant_key"),
+        "mcc_desc": digits("mcc_desc"),
         "category_name": pick(narrow("transaction", 1), "categoryNameList"),
         "city": city,
         "zip": draws.pick_for(narrow("merchant", 1), zip_city, config.zips),
@@ -184,14 +207,15 @@ def synth_transactions(
         "chargeback_res": pick(narrow("charge", 1), "chargebackResolutionList"),
         **given,
     }
+    used = dict.fromkeys([(subject, half) for subject in _SUBJECTS for half in (0, 1)])
+    used.update(dict.fromkeys(pair for pairs in digit_halves.values() for pair in pairs))
     digests = {
         _DIGEST_PREFIX + subject: draws.digest(seed, named(id_col), subject)
-        for subject in _SUBJECTS
+        for subject, _ in used
     }
     halves = {
-        _half_name(subject, i): draws.half(named(_DIGEST_PREFIX + subject), i)
-        for subject in _SUBJECTS
-        for i in (0, 1)
+        _half_name(subject, half): draws.half(named(_DIGEST_PREFIX + subject), half)
+        for subject, half in used
     }
     drawn = ids.withColumns(digests).withColumns(halves)
     return drawn.select(
