@@ -190,6 +190,20 @@ def test_g7_lists_follow_the_rules_of_split_list(spark):
         synth_transactions(spark.range(1), config=SynthConfig.from_properties("cityList=,"))
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "cardNumberLength=-1",
+        "baseTransactionAmount=150.0",
+        "limitChargebackAmount=-1",
+        "eventEndTimestamp=2017-08-01 00:00:00",
+    ],
+)
+def test_g7_impossible_settings_are_refused(spark, text):
+    with pytest.raises(ValueError):
+        synth_transactions(spark.range(1), config=SynthConfig.from_properties(text))
+
+
 def test_g7_city_without_zips():
     with pytest.raises(ValueError, match="Oslo"):
         SynthConfig.from_properties("cityList=Oslo")

@@ -51,6 +51,8 @@ def narrow(number: Column) -> Column:
 
 def digits(numbers: Sequence[Column], length: int) -> Column:
     """G1: ``length`` decimal digits as text, leading zeros kept, nine from each wide draw."""
+    if length < 0:
+        raise ValueError(f"a text of {length} digits")
     parts = []
     for drawn in numbers:
         width = min(length - DIGITS_PER_DRAW * len(parts), DIGITS_PER_DRAW)
@@ -63,6 +65,8 @@ def digits(numbers: Sequence[Column], length: int) -> Column:
 
 def uniform(drawn: Column, low: float, high: float) -> Column:
     """A double in [low, high) from a wide draw."""
+    if not low < high:
+        raise ValueError(f"no values between {low} and {high}")
     return F.lit(float(low)) + drawn / F.lit(float(2**_WIDE_BITS)) * F.lit(float(high) - float(low))
 
 

@@ -182,6 +182,8 @@ def synth_transactions(
 
     if time_col is None:
         start, end = config.millis("eventStartTimestamp"), config.millis("eventEndTimestamp")
+        if not start < end:
+            raise ValueError(f"no times between {config.times}")
         time = (F.lit(start) + wide("charge", 1) % F.lit(end - start)).cast("string")
     else:
         time = draws.epoch_millis(named(time_col))
