@@ -9,8 +9,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tidemark.plans import oracle, queries
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = queries.QUERIES, oracle.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry(spark):
     flagged = contract.entry(spark)
     assert len(flagged.columns) == 16
