@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat_format import format_chats, masked_text, read_back
 from tidemark.llm.common import table
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.token_count import count_tokens
 from tidemark.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +34,30 @@ def op1_url_filter(spark: SparkSession, data_dir: str) -> DataFrame:
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed with the production tokenizer; one row per piece, without ids."""
+    pieces = pack_documents(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+        keep_ids=False,
+    )
+    return pieces.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op4_pack(spark: SparkSession, data_dir: str) -> DataFrame:
+    return packed(table(spark, data_dir, "documents"))
+
+
+def op8_token_count(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op10_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
     given = table(spark, data_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = [(-1, 0, "user", HOSTILE_TEXT), (-1, 1, "assistant", HOSTILE_TEXT)]
@@ -54,5 +81,7 @@ def op10_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op4_pack": op4_pack,
+    "op8_token_count": op8_token_count,
     "op10_chat_format": op10_chat_format,
 }
