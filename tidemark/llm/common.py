@@ -42,7 +42,7 @@ def arrow_map(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema, timezone="UTC")
+        kinds = to_arrow_schema(schema)
         for batch in batches:
             if batch.num_rows:
                 columns = work(batch)

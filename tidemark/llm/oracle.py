@@ -45,7 +45,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+_WORDS = r"""
+    SELECT {key}, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM {table}"""
+
+_DECONTAMINATE = f"""
+WITH docs AS ({_WORDS.format(key="doc_id", table="documents")}
+), items AS (
+    SELECT * FROM ({_WORDS.format(key="item_id", table="benchmark")}) WHERE len(words) > 0
+), windows AS (
+    SELECT DISTINCT item_id, least(len(words), 10) AS size,
+           array_to_string(list_slice(words, k, k + least(len(words), 10) - 1), ' ') AS gram
+    FROM items, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS starts(k)
+), sizes AS (SELECT DISTINCT size FROM windows
+), grams AS (
+    SELECT doc_id, k, size, array_to_string(list_slice(words, k, k + size - 1), ' ') AS gram
+    FROM docs, sizes, unnest(range(1, len(words) - size + 2)) AS starts(k)
+), hits AS (
+    SELECT doc_id, k, grams.size, item_id FROM grams JOIN windows USING (gram)
+    WHERE grams.size = windows.size
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT k + i) AS n_hit
+    FROM hits, unnest(range(0, size)) AS offsets(i) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _URL_FILTER,
+    "op5_decontaminate": _DECONTAMINATE,
     "op10_chat_format": _CHAT_FORMAT,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat_format import format_chats, masked_text, read_back
 from tidemark.llm.common import table
+from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.token_count import count_tokens
 from tidemark.llm.url_filter import filter_urls
@@ -52,6 +53,19 @@ def op4_pack(spark: SparkSession, data_dir: str) -> DataFrame:
     return packed(table(spark, data_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, data_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_token_count(spark: SparkSession, data_dir: str) -> DataFrame:
     docs = table(spark, data_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -82,6 +96,7 @@ def op10_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op4_pack": op4_pack,
+    "op5_decontaminate": op5_decontaminate,
     "op8_token_count": op8_token_count,
     "op10_chat_format": op10_chat_format,
 }
