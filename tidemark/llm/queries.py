@@ -12,7 +12,9 @@ from tidemark.llm.chat_format import format_chats, masked_text, read_back
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_count import count_tokens
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,12 @@ def op1_url_filter(spark: SparkSession, data_dir: str) -> DataFrame:
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_quality(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, data_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Documents packed with the production tokenizer; one row per piece, without ids."""
     pieces = pack_documents(
@@ -66,6 +74,12 @@ def op5_decontaminate(spark: SparkSession, data_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, data_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_token_count(spark: SparkSession, data_dir: str) -> DataFrame:
     docs = table(spark, data_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -95,8 +109,10 @@ def op10_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality": op2_quality,
     "op4_pack": op4_pack,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op8_token_count": op8_token_count,
     "op10_chat_format": op10_chat_format,
 }
