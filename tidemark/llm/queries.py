@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat_format import format_chats, masked_text, read_back
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination
+from tidemark.llm.near_dedup import Settings, near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_count import count_tokens
@@ -80,6 +81,11 @@ def op6_toxicity(spark: SparkSession, data_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_near_dedup(spark: SparkSession, data_dir: str) -> DataFrame:
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, Settings(words=2))
+
+
 def op8_token_count(spark: SparkSession, data_dir: str) -> DataFrame:
     docs = table(spark, data_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -113,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op4_pack": op4_pack,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_count": op8_token_count,
     "op10_chat_format": op10_chat_format,
 }
