@@ -46,8 +46,12 @@ def arrow_map(
         for batch in batches:
             if batch.num_rows:
                 columns = work(batch)
-                arrays = [pa.array(columns[f.name], f.type) for f in kinds]
+                arrays = [_array(columns[f.name], f.type) for f in kinds]
                 yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
     bound_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
+
+
+def _array(values: list | pa.Array, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat_format import format_chats, masked_text, read_back
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination
+from tidemark.llm.html_extract import extract_text
 from tidemark.llm.near_dedup import Settings, near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, score_quality
@@ -44,6 +45,10 @@ def op2_quality(spark: SparkSession, data_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_extract(spark: SparkSession, data_dir: str) -> DataFrame:
+    return extract_text(table(spark, data_dir, "pages").select("page_id", "url", "html"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Documents packed with the production tokenizer; one row per piece, without ids."""
     pieces = pack_documents(
@@ -116,6 +121,7 @@ def op10_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
+    "op3_extract": op3_extract,
     "op4_pack": op4_pack,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
