@@ -13,6 +13,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.near_dedup import Settings, near_duplicates
+from tidemark.llm.neighbours import nearest_neighbours
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_count import count_tokens
@@ -97,6 +98,11 @@ def op8_token_count(spark: SparkSession, data_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_neighbours(spark: SparkSession, data_dir: str) -> DataFrame:
+    vectors = table(spark, data_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op10_chat_format(spark: SparkSession, data_dir: str) -> DataFrame:
     given = table(spark, data_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = [(-1, 0, "user", HOSTILE_TEXT), (-1, 1, "assistant", HOSTILE_TEXT)]
@@ -127,5 +133,6 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_count": op8_token_count,
+    "op9_neighbours": op9_neighbours,
     "op10_chat_format": op10_chat_format,
 }
