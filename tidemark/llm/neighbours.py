@@ -20,10 +20,8 @@ SHARD_ROWS, SHARD_BYTES = 8192, 8 << 20
 #: Bytes of query vectors that every task gets at a time.
 QUERY_BYTES = 8 << 20
 BLOCK = 256
-INDEX = StructType.fromDDL(
-    "shard int, dim int, ids binary, vectors binary, layers array<struct<size:int,links:binary>>"
-)
-HITS = StructType.fromDDL("query_id long, vec_id long, score double")
+INDEX = "shard int, dim int, ids binary, vectors binary, layers array<struct<size:int,links:binary>>"
+HITS = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -47,6 +45,8 @@ def build_index(vectors: DataFrame) -> DataFrame:
     size = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (dim or 1))))
     shards = max(1, -(-count // size))
 
+    schema = StructType.fromDDL(INDEX)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, list] = defaultdict(list)
         for batch in batches:
@@ -71,12 +71,12 @@ def build_index(vectors: DataFrame) -> DataFrame:
         columns = [[shard] * len(made), *map(list, zip(*made, strict=True))] if made else [[]] * 5
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(INDEX)
+        kinds = to_arrow_schema(schema)
         arrays = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
     bound_batches(vectors.sparkSession)
-    return stored(rows.repartition(shards).mapInArrow(index, INDEX), "index")
+    return stored(rows.repartition(shards).mapInArrow(index, schema), "index")
 
 
 class _Shard:
@@ -115,6 +115,8 @@ def _hits(index: DataFrame, queries: list, k: int, width: int) -> DataFrame:
         for dim, own in by_dim.items()
     }
     shared = index.sparkSession.sparkContext.broadcast(packed)
+    schema = StructType.fromDDL(HITS)
+    names = schema.names
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +128,9 @@ def _hits(index: DataFrame, queries: list, k: int, width: int) -> DataFrame:
                 for low in range(0, len(ids), BLOCK):
                     some = slice(low, low + BLOCK)
                     found = shard.search(ids[some], values[some], k, width)
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=HITS.names)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=names)
 
-    return index.mapInArrow(search, HITS)
+    return index.mapInArrow(search, schema)
 
 
 def nearest_neighbours(
