@@ -92,23 +92,23 @@ def _set_digest(hashes: np.ndarray) -> bytes:
 
 
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, n_shingles, digest, signature`` of every row; nulls without shingles."""
+    """``doc_id, text_hash, n_shingles, digest, signature`` of every row; nulls without shingles."""
+    given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     added = "n_shingles long, digest binary, signature array<long>"
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(added).fields])
+    schema = StructType([*given.schema.fields[:2], *StructType.fromDDL(added).fields])
 
     def sign(batch: pa.RecordBatch) -> dict[str, list]:
         multipliers = settings.multipliers
         rows: dict[str, list] = {n: [] for n in schema.names}
-        for text in batch.column(1):
+        for text in batch.column(2):
             hashes = shingle_hashes(words_of(text.as_py() or ""), settings.words)
             rows["n_shingles"].append(len(hashes))
             rows["digest"].append(_set_digest(hashes) if len(hashes) else None)
             values = signature(hashes, multipliers).view(np.int64) if len(hashes) else None
             rows["signature"].append(values)
-        rows["doc_id"] = batch.column(0)
-        return rows
+        return rows | {"doc_id": batch.column(0), "text_hash": batch.column(1)}
 
-    return arrow_map(docs.select("doc_id", "text"), sign, schema)
+    return arrow_map(given, sign, schema)
 
 
 def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
@@ -273,18 +273,10 @@ def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame
     return near.select("a", "b").union(found.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
+def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id, n_shingles, digest, text_hash, component`` of every row.
 
-    Words are what white space (ASCII) divides after A-Z are lower-cased; a set holds the
-    distinct shingles, for fewer words the whole sequence. Rows are linked where common
-    shingles are at least ``percent`` of all; ``component_id`` is the smallest doc_id that
-    links reach, and ``kept`` says that it is the row's own. Rows without words, null texts
-    among them, have an empty set and are their own component. Equal sets are one class,
-    so repeated rows share a component, and are both kept if they share the smallest id. A
-    null doc_id counts as larger than all others; other columns are ignored.
-
-    No step collects documents, links or components, and none makes all pairs of a list.
+    ``component`` is the digest that names the row's component, null without shingles.
     """
     rows = stored(_signed(docs, settings), "signed")
     classes = stored(
@@ -298,12 +290,55 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         "classes",
     )
     parts = connected_components(_links(docs, classes, settings))
-    parts = parts.withColumnRenamed("node", "digest")
-    named = classes.select("digest", "doc_id").join(parts, "digest", "left")
-    named = named.withColumn("component", F.coalesce("component", "digest"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = named.join(smallest, "component").select("digest", "component_id")
-    joined = rows.join(final, "digest", "left")
+    moved = parts.filter("node <> component").withColumnRenamed("node", "digest")
+    return (
+        rows.drop("signature")
+        .join(moved, "digest", "left")
+        .withColumn("component", F.coalesce("component", "digest"))
+    )
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
+
+    Words are what white space (ASCII) divides after A-Z are lower-cased; a set holds the
+    distinct shingles, for fewer words the whole sequence. Rows are linked where common
+    shingles are at least ``percent`` of all; ``component_id`` is the smallest doc_id that
+    links reach, and ``kept`` says that it is the row's own. Rows without words, null texts
+    among them, have an empty set and are their own component. Equal sets are one class,
+    so repeated rows share a component, and are both kept if they share the smallest id. A
+    null doc_id counts as larger than all others; other columns are ignored.
+
+    No step collects documents, links or components, and none makes all pairs of a list.
+    """
+    rows = _judged(docs, settings)
+    named = rows.filter("component IS NOT NULL").groupBy("component")
+    smallest = named.agg(F.min("doc_id").alias("component_id"))
+    joined = rows.join(smallest, "component", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     result = joined.select("doc_id", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component, with all their columns.
+
+    Of a component the row with the smallest doc_id stays, null last, of several such rows
+    one of the text with the smallest hash. Rows without words all stay.
+    """
+    judged = _judged(docs, settings).filter("component IS NOT NULL")
+    texts = stored(
+        judged.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows")), "texts"
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = texts.groupBy("component").agg(F.min(rank).alias("_first"))
+    placed = texts.join(first, "component").withColumn("stays", rank == F.col("_first"))
+    # Only texts that go, or that stay but are repeated, need a second look.
+    decided = placed.filter("NOT stays OR rows > 1").select(
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "stays"
+    )
+    decided = stored(decided, "decided")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    untouched = docs.join(decided, same, "left_anti")
+    repeated = docs.join(decided.filter("stays"), same).select(*docs.columns, "_hash")
+    return untouched.union(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -40,6 +40,17 @@ def fit_quality(
     return fit(matrix, np.array([r[1] for r in rows], float))
 
 
+def quality_score(model: AdditiveModel, text: Column) -> Column:
+    """The score (0 to 1) of each whole text; null counts as empty."""
+
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        rows = np.array([quality_features(t) for t in texts], float)
+        return pd.Series(model.score(rows.reshape(len(texts), len(QUALITY_FEATURES))))
+
+    return score(F.coalesce(text, F.lit("")))
+
+
 def score_quality(
     docs: DataFrame, model: AdditiveModel, *, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -50,14 +61,8 @@ def score_quality(
     ``held_out`` marks the fold that is never learned from, false for a null id. Columns
     called like the added ones are replaced; other columns and repeated rows stay.
     """
-
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        rows = np.array([quality_features(t) for t in texts], float)
-        return pd.Series(model.score(rows.reshape(len(texts), len(QUALITY_FEATURES))))
-
     bound_batches(docs.sparkSession)
-    scored = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    scored = docs.withColumn("score", quality_score(model, F.col("text")))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.withColumns({"held_out": held, "predicted": predicted})

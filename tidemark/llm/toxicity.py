@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -104,6 +104,18 @@ def fit_toxicity(
     return ToxicityModel(weights, fit(matrix, np.array([r[1] for r in rows], float)))
 
 
+def toxicity_score(model: ToxicityModel, text: Column) -> Column:
+    """The score (0 to 1) of each whole text; null counts as empty."""
+
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        lexicon = _lexicon(model)
+        rows = np.array([toxicity_features(t, lexicon) for t in texts], float)
+        return pd.Series(model.trees.score(rows.reshape(len(texts), len(TOXICITY_FEATURES))))
+
+    return score(F.coalesce(text, F.lit("")))
+
+
 def score_toxicity(
     docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -114,15 +126,8 @@ def score_toxicity(
     ``held_out`` marks the fold that is never learned from, false for a null id. Columns
     called like the added ones are replaced; other columns and repeated rows stay.
     """
-
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        lexicon = _lexicon(model)
-        rows = np.array([toxicity_features(t, lexicon) for t in texts], float)
-        return pd.Series(model.trees.score(rows.reshape(len(texts), len(TOXICITY_FEATURES))))
-
     bound_batches(docs.sparkSession)
-    scored = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    scored = docs.withColumn("score", toxicity_score(model, F.col("text")))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.withColumns({"held_out": held, "predicted": predicted})
