@@ -1,0 +1,85 @@
+"""Chat formatting: exact round trips."""
+
+from __future__ import annotations
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.llm.chat_format import SEGMENT_TURNS, escaped, format_chats, masked_text, read_back, unescaped
+
+TURNS = "conv_id long, turn long, role string, text string, formatted int"
+HARD = st.text(alphabet="<|~im_startendsepnl>\n\\é$1", max_size=30)
+
+
+def formatted(spark, rows):
+    chats = format_chats(spark.createDataFrame([(*r, 0) for r in rows], TURNS))
+    read = chats.select(
+        "conv_id",
+        "formatted",
+        read_back(F.col("formatted")).alias("turns"),
+        masked_text(F.col("segments")).alias("loss"),
+        F.array_join(F.transform("segments", lambda s: s.text), "").alias("joined"),
+    )
+    return {r.conv_id: r for r in read.collect()}
+
+
+def test_template(spark):
+    rows = [(1, 2, "user", "c"), (1, 0, "user", "a"), (1, 1, "user", "b"), (1, 3, "assistant", "d")]
+    row = formatted(spark, rows)[1]
+    assert row.formatted == (
+        "<|im_start|>user\na<|im_sep|>b<|im_sep|>c<|im_end|>\n<|im_start|>assistant\nd<|im_end|>\n"
+    )
+    assert row.joined == row.formatted
+    assert row.loss == "d"
+
+
+def expected(rows):
+    key = [(t is not None, t or 0, r or "", x or "") for _, t, r, x in rows]
+    return [k[2:] for k in sorted(key)]
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from([None, 0, 1, -5, 300, 1000]),
+            st.sampled_from([None, "user", "assistant", "a\n<|im_end|>", "<~|"]),
+            st.none() | HARD,
+        ),
+        min_size=1,
+        max_size=12,
+    )
+)
+def test_round_trip(spark, turns):
+    rows = [(7, *t) for t in turns]
+    row = formatted(spark, rows)[7]
+    wanted = expected(rows)
+    assert [tuple(t) for t in row.turns] == wanted
+    assert row.loss == "".join(x for r, x in wanted if r == "assistant")
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(HARD, min_size=1, max_size=20))
+def test_escapes(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", escaped(F.col("t")).alias("e"), unescaped(escaped(F.col("t"))).alias("u")).collect():
+        assert r.u == r.t
+        assert "<|" not in r.e
+
+
+def test_long_conversation_null_id_and_empty_table(spark):
+    n = 5 * SEGMENT_TURNS + 3
+    rows = [(3, k, ("user", "assistant")[k // 5 % 2], f"t{k}") for k in range(n)]
+    rows += [(None, 0, "assistant", None), (None, 1, "assistant", "x" * 200_000)]
+    found = formatted(spark, rows)
+    assert [t.text for t in found[3].turns] == [f"t{k}" for k in range(n)]
+    assert found[3].loss == "".join(f"t{k}" for k in range(n) if k // 5 % 2)
+    assert found[None].loss == "x" * 200_000
+    assert len(found[None].turns) == 2
+    assert formatted(spark, []) == {}
+
+
+def test_repeated_rows_stay(spark):
+    row = formatted(spark, [(1, 0, "assistant", "x")] * 3)[1]
+    assert row.loss == "xxx"

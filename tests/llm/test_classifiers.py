@@ -1,0 +1,154 @@
+"""The classifiers: fits, calibration, and held-out accuracy."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import additive_model, boosted_trees, quality, queries, toxicity
+from tidemark.llm.labelled import training_sample
+from tidemark.llm.text_features import (
+    QUALITY_FEATURES,
+    TOXICITY_FEATURES,
+    Lexicon,
+    class_counts,
+    quality_features,
+    toxicity_features,
+)
+
+#: Enough labelled rows to hold some out.
+DATA = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, score string"
+ODD = ["", " \n ", "a", "!!! ***", "日本語", "\U0001f600" * 5, "x" * 300_000, "a b " * 100_000]
+
+
+@pytest.fixture(scope="module")
+def blobs():
+    draws = np.random.Generator(np.random.PCG64(1))
+    rows = draws.normal(size=(3000, 4))
+    # Neither a single feature nor a sum of them tells the label.
+    chance = 1 / (1 + np.exp(-4 * np.sign(rows[:, 0] * rows[:, 1]) - rows[:, 2]))
+    return rows, (draws.random(3000) < chance).astype(float)
+
+
+def test_pairs_are_found(blobs):
+    rows, labels = blobs
+    model = additive_model.fit(rows[:2000], labels[:2000])
+    assert (1, 0) in model.pairs
+    scores = model.score(rows[2000:])
+    assert ((scores > 0.5) == labels[2000:]).mean() > 0.9
+    by_hand = model.intercept
+    for k, table in enumerate(model.tables):
+        by_hand += table[(model.cuts[k] <= rows[0, k]).sum()]
+    for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+        i, j = ((model.pair_cuts[k] <= rows[0, k]).sum() for k in (a, b))
+        by_hand += table[i, j]
+    assert model.score(rows[:1])[0] == pytest.approx(1 / (1 + np.exp(-by_hand)))
+
+
+def test_trees_and_calibration(blobs):
+    rows, labels = blobs
+    model = boosted_trees.fit(rows[:2000], labels[:2000])
+    scores = model.score(rows[2000:])
+    assert ((scores > 0.5) == labels[2000:]).mean() > 0.9
+    for low, high in ((0, 0.2), (0.8, 1)):
+        own = (scores >= low) & (scores <= high)
+        assert abs(scores[own].mean() - labels[2000:][own].mean()) < 0.06
+
+
+def test_isotonic_rises():
+    draws = np.random.Generator(np.random.PCG64(2))
+    margin = draws.normal(size=500)
+    curve = boosted_trees.isotonic(margin, (draws.random(500) < 0.5).astype(float))
+    assert (np.diff(curve.chances) >= 0).all()
+    assert (np.diff(curve(np.linspace(-4, 4, 99))) >= 0).all()
+
+
+@pytest.mark.parametrize("fit", [additive_model.fit, boosted_trees.fit])
+def test_one_label_or_none_gives_one_score(fit):
+    for n in (0, 5):
+        model = fit(np.ones((n, 3)), np.zeros(n))
+        scores = model.score(np.array([[0.0, 1, 2], [3, 4, 5]]))
+        assert scores[0] == scores[1]
+        assert 0 <= scores[0] <= 1
+
+
+def test_features_of_odd_texts():
+    lexicon = Lexicon({"bad": 3.0, "worse~": 2.0})
+    for text in ODD:
+        assert len(quality_features(text)) == len(QUALITY_FEATURES)
+        assert np.isfinite(quality_features(text)).all()
+        assert len(toxicity_features(text, lexicon)) == len(TOXICITY_FEATURES)
+        assert np.isfinite(toxicity_features(text, lexicon)).all()
+    assert class_counts("Éa1 !")[:5].tolist() == [1, 1, 1, 1, 1]
+
+
+def test_toxicity_features_see_masks_and_people():
+    lexicon = Lexicon({"stupid": 3.0, "mor~": 2.0})
+    value = dict(zip(TOXICITY_FEATURES, toxicity_features("You are st*pid !", lexicon), strict=True))
+    assert value["lexicon_density"] == 0  # a star hides a letter for good
+    value = dict(zip(TOXICITY_FEATURES, toxicity_features("You are 5tup1d here now", lexicon), strict=True))
+    assert value["obfuscated_words"] == pytest.approx(0.2)
+    assert value["masked_hits"] == pytest.approx(0.2)
+    assert value["second_person_near_hits"] == 1
+    assert toxicity_features("Stupid.", lexicon)[3] == 3.0
+
+
+def accuracy(rows, labels, folds, held_out):
+    held = [r for r in rows if r.doc_id in labels and r.held_out]
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held_out)
+        assert 0 <= r.score <= 1
+        assert r.predicted == (r.score >= 0.3)
+    assert len(held) > 40
+    return sum(r.predicted == labels[r.doc_id] for r in held) / len(held)
+
+
+@pytest.mark.parametrize(
+    ("query", "label", "folds", "held_out", "least"),
+    [(queries.op2_quality, "quality", 5, 0, 0.95), (queries.op6_toxicity, "toxic", 4, 2, 0.85)],
+)
+def test_held_out_accuracy(spark, query, label, folds, held_out, least):
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    rows = query(spark, DATA).collect()
+    assert len(rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert accuracy(rows, labels, folds, held_out) >= least
+
+
+def test_sample_leaves_out_what_it_must(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", "") for k in [*range(60), 1, 2, 2]] + [(None, "n", "")], DOCS)
+    labels = [(k, k % 2) for k in range(50)] + [(4, 1), (6, None), (8, 7), (1, 1), (None, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.text for r in training_sample(docs, labels, "quality", folds=5, held_out=0).collect()}
+    usable = set(range(50)) - {4, 8}
+    assert got == {f"t{k}" for k in usable if zlib.crc32(str(k).encode()) % 5}
+    few = training_sample(docs, labels, "quality", folds=5, held_out=0, rows=7)
+    assert few.count() == 7
+
+
+def test_scores_of_odd_rows(spark):
+    rows = [(k, t, "old") for k, t in enumerate(ODD)] + [(None, None, "old"), (0, "", "old")]
+    docs = spark.createDataFrame(rows, DOCS)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, none))
+    assert [r.score for r in scored.collect()] == [0.5] * len(rows)
+    toxic = toxicity.fit_toxicity(docs, none)
+    assert toxic.weights == {}
+    scored = toxicity.score_toxicity(docs, toxic).collect()
+    assert len({r.score for r in scored}) == 1
+    assert not scored[-2].held_out
+    assert quality.score_quality(docs.limit(0), quality.fit_quality(docs, none)).collect() == []
+
+
+def test_lexicon_counts_copies_once(spark):
+    copies = [("alpha beta gamma delta", 1)] * 40
+    spread = [(f"w{k} nasty v{k}", 1) for k in range(40)]
+    clean = [(f"w{k} v{k} fine", 0) for k in range(200)]
+    sample = spark.createDataFrame(copies + spread + clean, "text string, label int")
+    weights = toxicity.learn_lexicon(sample)
+    assert "nasty" in weights
+    assert "beta" not in weights
+    assert toxicity.learn_lexicon(sample.filter(F.lit(False))) == {}

@@ -1,0 +1,155 @@
+"""Near-duplicates against all pairs, and components against a union-find."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from tidemark.llm import queries
+from tidemark.llm.components import connected_components
+from tidemark.llm.near_dedup import Settings, near_duplicates, without_near_duplicates
+
+DOCS = "doc_id long, text string, digest int"
+
+
+class Union:
+    def __init__(self, nodes):
+        self.up = {n: n for n in nodes}
+
+    def find(self, n):
+        while self.up[n] != n:
+            n = self.up[n] = self.up[self.up[n]]
+        return n
+
+    def join(self, a, b):
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up[b] = a
+
+
+def shingles(text, size):
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", folded)
+    if 0 < len(words) < size:
+        return {tuple(words)}
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
+
+
+def brute(docs, size, percent=80):
+    """By place in ``docs``: the size of the set, and the smallest place that links reach."""
+    sets = [shingles(t, size) for _, t in docs]
+    union = Union(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                union.join(a, b)
+    return sets, [union.find(k) for k in range(len(docs))]
+
+
+def compare(spark, docs, size):
+    """``docs`` must have distinct rising ids."""
+    rows = near_duplicates(
+        spark.createDataFrame([(i, t, 0) for i, t in docs], DOCS), Settings(words=size)
+    ).collect()
+    sets, parts = brute(docs, size)
+    assert len(rows) == len(docs)
+    for r, (doc_id, _), own, part in zip(
+        sorted(rows, key=lambda r: r.doc_id), docs, sets, parts, strict=True
+    ):
+        assert r.doc_id == doc_id
+        assert r.n_shingles == len(own)
+        assert r.component_id == docs[part][0]
+        assert r.kept == (r.component_id == r.doc_id)
+
+
+def varied(chance, words, changes):
+    words = list(words)
+    for _ in range(changes):
+        words[chance.randrange(len(words))] = f"z{chance.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_copies_variants_and_templates(spark, size):
+    chance = random.Random(size)
+    texts = []
+    for _ in range(12):
+        base = [f"w{chance.randrange(3000)}" for _ in range(chance.choice((8, 40, 150)))]
+        texts += [" ".join(base).upper()] * chance.choice((1, 2, 30))
+        texts += [varied(chance, base, c) for c in (0, 1, 1, 2, 3, 6, 12, 20)]
+    # Many texts with a common half, and short ones of very common words.
+    half = [f"c{k}" for k in range(60)]
+    texts += [" ".join(half + [f"u{chance.randrange(10**6)}" for _ in range(45)]) for _ in range(60)]
+    texts += [" ".join(chance.choices("abc", k=chance.randint(1, 5))) for _ in range(80)]
+    chance.shuffle(texts)
+    compare(spark, list(enumerate(texts)), size)
+
+
+def test_a_chain_is_one_component(spark):
+    words = [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(40)]
+    compare(spark, docs, 2)
+
+
+def test_large_group_of_variants_makes_no_pairs(spark):
+    chance = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    docs = [(k, varied(chance, base, 3)) for k in range(400)]
+    compare(spark, docs, 2)
+
+
+def test_odd_rows(spark):
+    docs = [
+        (0, None), (1, ""), (2, " \n\t "), (3, None), (4, "One"), (5, "ONE"), (6, "one two"),
+        (7, "one two"), (8, "x " * 100_000), (9, "x x"), (10, "é"), (11, "É"),
+    ]
+    compare(spark, docs, 2)
+    assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    text, other = "a b c d e f g h", "q r s t u v w x"
+    rows = [(5, text, 1), (5, text, 2), (5, other, 3), (3, other, 4), (None, text, 5)]
+    rows += [(None, "lone text here now then", 6)] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    found = sorted(
+        ((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str
+    )
+    assert found == sorted(
+        [(5, 5, True), (5, 5, True), (5, 3, False), (3, 3, True), (None, 5, False)]
+        + [(None, None, True)] * 2,
+        key=str,
+    )
+    left = without_near_duplicates(docs).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in left) == [
+        (-1, "lone text here now then"), (3, other), (5, text)
+    ]
+    assert left[0].asDict().keys() == {"doc_id", "text", "digest"}
+
+
+def test_components(spark):
+    chance = random.Random(8)
+    links = [(chance.randrange(300), chance.randrange(300)) for _ in range(170)]
+    links += [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(4000, 4300)]
+    links += [(7, 7), (7, None), (None, 9)]
+    union = Union({n for e in links for n in e if n is not None})
+    for a, b in links:
+        if None not in (a, b):
+            union.join(a, b)
+    found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == {
+        n: union.find(n) for a, b in links if a != b and None not in (a, b) for n in (a, b)
+    }
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_query(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()
+    docs = sorted((r.doc_id, r.text) for r in docs)
+    sets, parts = brute(docs, 2)
+    found = {r.doc_id: r for r in queries.op7_near_dedup(spark, data_dir).collect()}
+    for (doc_id, _), own, part in zip(docs, sets, parts, strict=True):
+        assert found[doc_id].component_id == docs[part][0]
+        assert found[doc_id].n_shingles == len(own)
