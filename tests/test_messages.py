@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.helpers import bag
 from tidemark.functions.text import split_list
 from tidemark.operators.messages import (
+    csv_exact,
     decode_csv,
     decode_json,
     decode_scored,
@@ -210,3 +211,9 @@ def test_p9_points_tolerate_missing_fields(spark):
         {"x": [None], "y": [None]},
         {"x": [None], "y": [None]},
     ]
+
+
+def test_p7_lines_with_other_fields_are_told(spark):
+    lines = spark.createDataFrame([("a,b",), ("a,b,c",), ("a",), ("a,",)], "value string")
+    got = lines.select("value", csv_exact(["x", "y"]).alias("exact")).collect()
+    assert [r.exact for r in got] == [True, False, False, True]

@@ -20,7 +20,7 @@ from tidemark.sources.endpoint import (
     literal_rows,
     paced,
 )
-from tidemark.sources.events import envelope, table
+from tidemark.sources.events import envelope, table, transactions
 
 
 def test_s1_s3_kafka_source_options():
@@ -153,3 +153,32 @@ def test_new_folder_is_below_the_shared_one(spark):
     first, second = new_folder(spark, "x"), new_folder(spark, "x")
     assert first != second
     assert first.startswith(base) and second.startswith(base)
+
+
+def test_new_folder_needs_a_shared_one_on_a_cluster(spark, monkeypatch):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_folder(Session(), "x")
+    Session.sparkContext.master = "local[4]"
+    assert "tidemark" in new_folder(Session(), "x")
+
+
+def test_ids_of_any_length_stay_apart(spark):
+    ids = [7, 1_234_567_890, 1_234_567_891, 9_223_372_036_854_775_806]
+    events = spark.createDataFrame(
+        [(i, i, "view", 1.0, '{"k": %d}' % (i % 10**7)) for i in ids],
+        "event_id bigint, user_id bigint, event_type string, value double, props string",
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    rows = transactions(events).collect()
+    assert [r.unique_transact_id for r in rows] == [
+        "000000007", "1234567890", "1234567891", "9223372036854775806"
+    ]
+    assert rows[3].card_num == "9223372036854775806"
+    assert [r.merchant_key for r in rows] == ["0007", "4567890", "4567891", "4775806"]
+    wide = rows[1].asDict()
+    assert wide["mcc_desc"] == "7890"
+    assert wide["city"] == ("London", "Manchester", "Cardiff")[1_234_567_890 % 3]
+    assert wide["chrgbck_amt"] == "0.25"

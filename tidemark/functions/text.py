@@ -31,3 +31,8 @@ def csv_field(fields: Column, position: int) -> Column:
     """One field of a split line; null where it is absent or the null word."""
     field = F.get(fields, position)
     return F.when(field != NULL_TEXT, field)
+
+
+def padded(text: Column, width: int) -> Column:
+    """Zeros before ``text`` up to ``width`` characters; longer texts stay whole."""
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)

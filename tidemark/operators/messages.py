@@ -44,13 +44,20 @@ def decode_csv(
 ) -> DataFrame:
     """One row per comma-separated line; missing fields are null, extra ones ignored.
 
-    A plain split is the exact inverse of :func:`encode_csv`. A CSV parser is not:
-    it would take quotes in the data for quoting, and empty fields for nulls.
+    A plain split reverses :func:`encode_csv` for fields that have no comma and aren't the
+    word ``null``: the wire form has no escapes. :func:`csv_exact` tells which lines have as
+    many fields as columns. A CSV parser would take quotes in the data for quoting, and
+    empty fields for nulls.
     """
     split = messages.select(F.split(text_of(value), ",").alias("fields"))
     return split.select([csv_field(F.col("fields"), i).alias(c) for i, c in enumerate(columns)])
 
 
+def csv_exact(columns: Sequence[str] = TRANSACTION_COLUMNS, value: str = "value") -> Column:
+    """Whether a line has exactly one field for each column, so that none was cut or missed."""
+    return F.size(F.split(text_of(value), ",")) == len(columns)
+
+
 def encode_json(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Each row as one JSON object in ``value``; null fields are left out."""
     return rows.select(json_value(columns or rows.columns).alias("value"))
@@ -58,7 +65,7 @@ def encode_json(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def encode_csv(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Each row as one comma-separated line in ``value``."""
-    return rows.select(csv_line([named(c) for c in columns or rows.columns]).alias("value"))
+    return rows.select(csv_value(columns or rows.columns).alias("value"))
 
 
 def json_value(columns: Sequence[str]) -> Column:

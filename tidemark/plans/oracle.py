@@ -4,29 +4,14 @@ from __future__ import annotations
 
 from tidemark.schema import TRANSACTION_COLUMNS
 
-_SEED = 42
 _COLUMNS = ", ".join(TRANSACTION_COLUMNS)
 _WARNING = "CASE WHEN TRY_CAST(trans_amt AS DOUBLE) > 81.0 THEN 1 ELSE 0 END AS Upper_Warning"
 _ACTION = "CASE WHEN TRY_CAST(trans_amt AS DOUBLE) > 114.0 THEN 1 ELSE 0 END AS Upper_Action"
 _FLAGS = f"{_WARNING}, {_ACTION}"
 
 
-def _half(subject: str, which: int) -> str:
-    first = 1 + 15 * which
-    text = f"substr(md5(concat('{_SEED}:', event_id, ':{subject}')), {first}, 15)"
-    return f"CAST('0x' || {text} AS BIGINT)"
-
-
-def _wide(subject: str, which: int) -> str:
-    return f"({_half(subject, which)} >> 16)"
-
-
-def _narrow(subject: str, which: int) -> str:
-    return f"({_half(subject, which)} & 65535)"
-
-
-def _digits(drawn: str, length: int) -> str:
-    return f"lpad(CAST({drawn} % {10**length} AS VARCHAR), {length}, '0')"
+def _padded(text: str, width: int) -> str:
+    return f"CASE WHEN length({text}) < {width} THEN lpad({text}, {width}, '0') ELSE {text} END"
 
 
 def _double_text(value: str) -> str:
@@ -41,61 +26,38 @@ def _double_text(value: str) -> str:
       ELSE {point} || 'E-' || CAST({exponent} AS VARCHAR) END"""
 
 
-def _amount(drawn: str, low: float, high: float) -> str:
-    return _double_text(f"({low} + CAST({drawn} AS DOUBLE) / {float(2**44)!r} * {high - low})")
-
-
-def _pick(drawn: str, values: str) -> str:
-    items = values.split(",")
-    listed = ", ".join(f"'{v}'" for v in items)
-    return f"([{listed}])[CAST({drawn} % {len(items)} + 1 AS INTEGER)]"
-
-
-# The same lists, lengths and ranges as the generator's defaults.
-_CITY = _pick(_narrow("merchant", 0), "London,Manchester,Cardiff")
-_ZIP_OF = f"""
-  WHEN 'London' THEN {_pick(_narrow("merchant", 1), "WC1V,EC1R,EC1M,EC2A,EC4Y")}
-  WHEN 'Manchester' THEN {_pick(_narrow("merchant", 1), "M45,M61,M30,M23")}
-  WHEN 'Cardiff' THEN {_pick(_narrow("merchant", 1), "CF15,CF14")} END"""
-_ZIP_CITY = _pick(_narrow("card", 1), "London,Manchester,Cardiff")
-
-_DRAWN = {
-    "unique_transact_id": _digits(_wide("transaction", 0), 9),
-    "card_num": _digits(_wide("card", 0), 9) + " || " + _digits(_wide("card", 1), 9),
-    "processing_flag": _pick(_narrow("transaction", 0), "approved,declined"),
-    "trans_amt": _amount(_wide("transaction", 1), 10.0, 150.0),
-    # 2017-08-01 to 2017-08-31, in milliseconds.
-    "trans_time": f"CAST(1501545600000 + {_wide('charge', 1)} % 2592000000 AS VARCHAR)",
-    "card_type": _pick(_narrow("card", 0), "credit,debit"),
-    "merchant_key": _digits(_wide("merchant", 0), 4),
-    "mcc_desc": _digits(_wide("merchant", 1), 4),
-    "category_name": _pick(
-        _narrow("transaction", 1), "leisure,public_sector,prof_services,retail,transport"
-    ),
-    "city": _CITY,
-    "zip": f"CASE {_CITY} {_ZIP_OF}",
-    "chrgbck_amt": _amount(_wide("charge", 0), 0.0, 50.0),
-    "chargeback_cat": _pick(
-        _narrow("charge", 0),
-        "cancelled,fraud,non_receipt_goods,processing_error,request_for_info,NA",
-    ),
-    "chargeback_res": _pick(_narrow("charge", 1), "charged_back,open,represented,NA"),
-}
+def _one_of(values: str, number: str) -> str:
+    listed = values.split(",")
+    quoted = ", ".join(f"'{v}'" for v in listed)
+    return f"([{quoted}])[CAST({number} % {len(listed)} + 1 AS INTEGER)]"
+
+
+# The same lists as the fixture's.
+_CITY = _one_of("London,Manchester,Cardiff", "user_id")
 
 # Whole milliseconds; epoch_ms would round.
 _EVENT_MILLIS = "CAST(epoch_us(ts) // 1000 AS VARCHAR)"
 
-_TIMED = {**_DRAWN, "trans_time": _EVENT_MILLIS, "zip": f"CASE {_ZIP_CITY} {_ZIP_OF}"}
-
 _FROM_EVENT = {
-    **_DRAWN,
-    "unique_transact_id": "lpad(CAST(event_id AS VARCHAR), 9, '0')",
-    "card_num": "lpad(CAST(user_id AS VARCHAR), 18, '0')",
+    "unique_transact_id": _padded("CAST(event_id AS VARCHAR)", 9),
+    "card_num": _padded("CAST(user_id AS VARCHAR)", 18),
     "processing_flag": "CASE WHEN event_type = 'error' THEN 'declined' ELSE 'approved' END",
     "trans_amt": _double_text("value"),
     "trans_time": _EVENT_MILLIS,
-    "merchant_key": "lpad(json_extract_string(props, '$.k'), 4, '0')",
+    "card_type": _one_of("credit,debit", "user_id"),
+    "merchant_key": _padded("json_extract_string(props, '$.k')", 4),
+    "mcc_desc": _padded("CAST(user_id % 10000 AS VARCHAR)", 4),
     "category_name": "event_type",
+    "city": _CITY,
+    "zip": f"""CASE {_CITY}
+      WHEN 'London' THEN {_one_of("WC1V,EC1R,EC1M,EC2A,EC4Y", "event_id")}
+      WHEN 'Manchester' THEN {_one_of("M45,M61,M30,M23", "event_id")}
+      WHEN 'Cardiff' THEN {_one_of("CF15,CF14", "event_id")} END""",
+    "chrgbck_amt": _double_text("(value / 4)"),
+    "chargeback_cat": _one_of(
+        "cancelled,fraud,non_receipt_goods,processing_error,request_for_info,NA", "event_id"
+    ),
+    "chargeback_res": _one_of("charged_back,open,represented,NA", "event_id"),
 }
 
 
@@ -105,7 +67,6 @@ def _rows(columns: dict[str, str]) -> str:
 
 
 _TX = f"WITH tx AS ({_rows(_FROM_EVENT)})"
-_SYNTH = f"WITH tx AS ({_rows(_DRAWN)})"
 _PACKED = ", ".join(f"{c} := {c}" for c in TRANSACTION_COLUMNS)
 _JSON = f"CAST(to_json(struct_pack({_PACKED})) AS VARCHAR) AS value"
 _SCORED_JSON = (
@@ -118,6 +79,7 @@ _POINT = (
 _CSV = f"concat_ws(',', {_COLUMNS}) AS value"
 _NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in TRANSACTION_COLUMNS)
 _ALL_NULL = f"SELECT {_NULLS}, 0 AS Upper_Warning, 0 AS Upper_Action"
+_SCORED_ROWS = f"SELECT {_COLUMNS}, {_FLAGS} FROM tx"
 
 _OFFSETS = """offsets AS (
   SELECT 'input' AS topic, CAST(event_id % 4 AS INTEGER) AS partition,
@@ -136,6 +98,15 @@ _BATCHES = """batches AS (
     max(CASE WHEN event_id % 4 = 3 THEN event_id // 4 END) + 1 AS e3
   FROM events GROUP BY 1)"""
 
+_SOURCE = """struct_pack(
+            description := 'events',
+            startOffset := struct_pack(input := struct_pack(
+              "0" := greatest(e0 - 250, 0), "1" := greatest(e1 - 250, 0),
+              "2" := greatest(e2 - 250, 0), "3" := greatest(e3 - 250, 0))),
+            endOffset := struct_pack(
+              input := struct_pack("0" := e0, "1" := e1, "2" := e2, "3" := e3)),
+            numInputRows := n, inputRowsPerSecond := n / 8, processedRowsPerSecond := n / 4)"""
+
 _ITEMS = """
   WITH items AS (
     SELECT doc_id, CAST(place AS INTEGER) AS position, parts[place + 1] AS item
@@ -167,27 +138,43 @@ ORACLE_SQL: dict[str, str] = {
     "encode_csv": f"{_TX} SELECT {_CSV} FROM tx",
     "decode_csv": f"{_TX} SELECT * FROM tx",
     "decode_scored": f"{_TX} SELECT *, {_FLAGS} FROM tx",
-    "misfed_csv": f"{_ALL_NULL} FROM events",
-    "misfed_documents": f"{_ALL_NULL} FROM documents",
+    "misfed_csv": f"{_TX} {_ALL_NULL} FROM events UNION ALL {_SCORED_ROWS}",
+    "misfed_documents": f"{_TX} {_ALL_NULL} FROM documents UNION ALL {_SCORED_ROWS}",
     "chart_points": f"{_TX} SELECT trans_time AS x, trans_amt AS y FROM tx",
     "chart_points_json": f"{_TX} SELECT {_POINT} FROM tx",
     "latest_offsets": f"WITH {_OFFSETS} SELECT topic, partition, latest_offset FROM offsets",
     "progress_merge": f"""
         WITH {_OFFSETS}, {_BATCHES}
-        SELECT CAST(to_json(struct_pack(
-          name := 'score', batchId := batchId, numInputRows := n,
-          sources := [struct_pack(
-            description := 'events',
-            endOffset := struct_pack(
-              input := struct_pack("0" := e0, "1" := e1, "2" := e2, "3" := e3)),
-            numInputRows := n)],
+        SELECT regexp_replace(CAST(to_json(struct_pack(
+          id := '00000000-0000-0000-0000-000000000001',
+          runId := '00000000-0000-0000-0000-000000000002',
+          name := 'score', "timestamp" := '2024-01-01T00:00:00.000Z',
+          batchId := batchId, numInputRows := n,
+          inputRowsPerSecond := n / 8, processedRowsPerSecond := n / 4,
+          durationMs := struct_pack(triggerExecution := batchId + 7),
+          sources := [{_SOURCE}],
+          sink := struct_pack(description := 'sink', b := 200.0::DOUBLE,
+            a := '#' || CAST(1000000000000000000000000000000::HUGEINT + batchId AS VARCHAR) || '#'),
           latestOffset := struct_pack(latestOffset :=
-            (SELECT latest_offset FROM offsets WHERE partition = 0))
-        )) AS VARCHAR) AS value
+            (SELECT latest_offset FROM offsets WHERE partition = 0)),
+          latestOffsets := struct_pack(input := struct_pack(
+            "0" := (SELECT latest_offset FROM offsets WHERE partition = 0),
+            "1" := (SELECT latest_offset FROM offsets WHERE partition = 1),
+            "2" := (SELECT latest_offset FROM offsets WHERE partition = 2),
+            "3" := (SELECT latest_offset FROM offsets WHERE partition = 3)))
+        )) AS VARCHAR), '"#([0-9]+)#"', '\\1') AS value
         FROM batches""",
     "progress_rows": f"""
-        WITH {_BATCHES}
-        SELECT 'score' AS name, batchId, n AS numInputRows, 1 AS sources FROM batches""",
+        WITH {_BATCHES}, sources AS (SELECT *, {_SOURCE} AS source FROM batches)
+        SELECT '00000000-0000-0000-0000-000000000001' AS id,
+          '00000000-0000-0000-0000-000000000002' AS "runId",
+          'score' AS name, '2024-01-01T00:00:00.000Z' AS timestamp, batchId, n AS numInputRows,
+          n / 8 AS inputRowsPerSecond, n / 4 AS processedRowsPerSecond,
+          batchId + 7 AS trigger_millis, 1 AS sources, source.description AS description,
+          CAST(to_json(source.startOffset) AS VARCHAR) AS start_offset,
+          CAST(to_json(source.endOffset) AS VARCHAR) AS end_offset,
+          n AS source_rows, n / 8 AS source_rate
+        FROM sources""",
     "input_lag": f"""
         WITH {_OFFSETS}, {_BATCH_ENDS}
         SELECT batchId, 0 AS source, topic, partition, end_offset, latest_offset,
@@ -198,18 +185,40 @@ ORACLE_SQL: dict[str, str] = {
         SELECT batchId, 0 AS source, 'input' AS topic, partition, end_offset,
           end_offset + n // 4 AS latest_offset, n // 4 AS lag
         FROM ends JOIN sizes USING (batchId)""",
-    "synth_transactions": f"{_SYNTH} SELECT * FROM tx",
-    "synth_timed": _rows(_TIMED),
-    "feed_json": f"{_SYNTH} SELECT {_JSON} FROM tx",
-    "feed_csv": f"{_SYNTH} SELECT 'key' AS key, {_CSV} FROM tx",
+    "input_lag_as_of": f"""
+        WITH {_BATCH_ENDS}, records AS (
+          SELECT ts, CAST(event_id % 4 AS INTEGER) AS partition, event_id // 4 AS "offset" FROM events
+        ), batch_times AS (
+          SELECT event_id // 1000 AS batchId, max(ts) AS made FROM events GROUP BY 1
+        )
+        SELECT batchId, 0 AS source, 'input' AS topic, partition, end_offset, latest_offset,
+          CASE WHEN latest_offset > end_offset THEN latest_offset - end_offset
+            WHEN latest_offset IS NOT NULL THEN 0 END AS lag
+        FROM (
+          SELECT batchId, ends.partition, end_offset, max("offset") + 1 AS latest_offset
+          FROM ends JOIN batch_times USING (batchId)
+          LEFT JOIN records ON records.partition = ends.partition
+            AND records.ts <= date_trunc('milliseconds', batch_times.made)
+          GROUP BY ALL)""",
+    "feed_json": f"{_TX} SELECT {_JSON} FROM tx",
+    "feed_csv": f"{_TX} SELECT card_num AS key, {_CSV} FROM tx",
     "feed_keyed": f"{_TX} SELECT card_num AS key, {_JSON} FROM tx",
     "split_lists": f"{_ITEMS} SELECT doc_id, position, item FROM items",
     "score_items": f"""
-        {_ITEMS} SELECT doc_id, position, item,
-          CASE WHEN TRY_CAST(item AS DOUBLE) > 81.0 THEN 1 ELSE 0 END AS high_item
-        FROM items""",
-    "written_messages": f"{_SYNTH} SELECT * FROM tx",
+        SELECT event_id, CAST(place AS INTEGER) AS position, parts[place + 1] AS item,
+          CASE WHEN TRY_CAST(parts[place + 1] AS DOUBLE) > 81.0 THEN 1 ELSE 0 END AS high_item
+        FROM (
+          SELECT event_id, parts, unnest(range(len(parts))) AS place
+          FROM (
+            SELECT event_id,
+              [{_double_text("value")}, event_type, json_extract_string(props, '$.k')] AS parts
+            FROM events))""",
+    "written_messages": f"{_TX} SELECT * FROM tx",
     "stream_score_transactions": f"{_TX} SELECT *, {_FLAGS} FROM tx",
     "stream_chart_points": f"{_TX} SELECT {_POINT} FROM tx",
-    "stream_progress": "SELECT count(*) AS rows_read FROM events",
+    "stream_progress": """
+        SELECT 'counted' AS name, count(*) AS rows_read, 1 AS sources FROM events GROUP BY event_type""",
+    "stream_lifecycle": """
+        SELECT event, count(*) AS events FROM (VALUES ('started'), ('terminated')) AS seen(event)
+        JOIN (SELECT DISTINCT event_type FROM events LIMIT 1) ON true GROUP BY event""",
 }

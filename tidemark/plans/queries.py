@@ -20,30 +20,32 @@ from tidemark.operators.messages import (
     decode_scored,
     encode_csv,
     encode_json,
+    json_value,
 )
 from tidemark.operators.points import chart_points, chart_points_json
 from tidemark.operators.progress import (
     input_lag,
     latest_offsets,
+    offsets_by_time,
+    offsets_json,
     progress_rows,
+    with_field,
     with_latest_offset,
 )
-from tidemark.operators.synth import synth_transactions
-from tidemark.plans.feeding import constant_key, feed_messages
+from tidemark.plans.feeding import feed_messages
 from tidemark.plans.scoring import score, score_messages
 from tidemark.plans.workspace import new_folder
-from tidemark.schema import POINT_SCHEMA
-from tidemark.sources.endpoint import INPUT_TOPIC, files
+from tidemark.schema import POINT_SCHEMA, TRANSACTION_COLUMNS
+from tidemark.sources.endpoint import INPUT_TOPIC, Endpoint, files
 from tidemark.sources.events import (
     envelope,
     events_stream,
     progress_messages,
     table,
-    timed,
     transactions,
 )
-from tidemark.streaming.observe import ProgressLog
-from tidemark.streaming.run import run_available
+from tidemark.streaming.observe import ALL_OFFSETS, ProgressLog
+from tidemark.streaming.run import run_available, run_until_stopped
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +58,7 @@ _LINE_MODELS = (
     ThresholdModel.of("l_extendedprice", "high_price", 2.0, 2.5, mean=20_000.0, std=8_000.0),
     ThresholdModel.of("l_quantity", "high_quantity", 1.0, 10.0, mean=20.0, std=1.5),
 )
-_ITEM_MODELS = (ThresholdModel.of("item", "high_item", 7.0, 5.5),)
+_ITEM_MODELS = (ThresholdModel.of("item", "high_item", 1.0, 0.5, mean=80.0, std=2.0),)
 
 
 def _events(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -71,8 +73,9 @@ def _envelope(spark: SparkSession, data_dir: str) -> DataFrame:
     return envelope(_events(spark, data_dir))
 
 
-def _synth(spark: SparkSession, data_dir: str) -> DataFrame:
-    return synth_transactions(_events(spark, data_dir), "event_id")
+def _scored(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Messages as the scored topic holds them."""
+    return encode_json(flag(_transactions(spark, data_dir)))
 
 
 def score_transactions(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -107,8 +110,12 @@ def score_lineitem(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def score_items(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Parts of prose as amounts: most of them no numbers at all."""
-    return flag(split_lists(spark, data_dir), _ITEM_MODELS)
+    """Parts of lists as amounts: numbers above and below, and words."""
+    line = F.concat_ws(
+        ",", F.col("value").cast("string"), "event_type", F.get_json_object("props", "$.k")
+    )
+    items = F.posexplode(split_list(line)).alias("position", "item")
+    return flag(_events(spark, data_dir).select("event_id", items), _ITEM_MODELS)
 
 
 def decode_json_messages(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -128,25 +135,27 @@ def decode_csv_messages(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def decode_scored_messages(spark: SparkSession, data_dir: str) -> DataFrame:
-    return decode_scored(score_messages(_envelope(spark, data_dir)))
+    return decode_scored(_scored(spark, data_dir))
 
 
 def misfed_csv(spark: SparkSession, data_dir: str) -> DataFrame:
-    """CSV lines read as JSON: all columns null, no flag set, no row lost."""
-    return score(encode_csv(_transactions(spark, data_dir)))
+    """A topic of CSV lines and JSON messages read as JSON: the lines become rows of nulls."""
+    rows = _transactions(spark, data_dir)
+    return score(encode_csv(rows).union(encode_json(rows)))
 
 
 def misfed_documents(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Whole prose texts read as JSON messages."""
-    return score(table(spark, data_dir, "documents"), value="text")
+    """Whole prose texts among JSON messages."""
+    texts = table(spark, data_dir, "documents").select("text")
+    return score(texts.union(encode_json(_transactions(spark, data_dir))), value="text")
 
 
 def chart_points_rows(spark: SparkSession, data_dir: str) -> DataFrame:
-    return chart_points(decode_json(score_messages(_envelope(spark, data_dir)), POINT_SCHEMA))
+    return chart_points(decode_json(_scored(spark, data_dir), POINT_SCHEMA))
 
 
 def chart_points_messages(spark: SparkSession, data_dir: str) -> DataFrame:
-    return chart_points_json(decode_json(score_messages(_envelope(spark, data_dir)), POINT_SCHEMA))
+    return chart_points_json(decode_json(_scored(spark, data_dir), POINT_SCHEMA))
 
 
 def latest_offsets_rows(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -154,16 +163,28 @@ def latest_offsets_rows(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def progress_merge(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Every progress message with the latest offset of the input topic's first partition."""
+    """Every progress message with the latest offsets of the input topic, all partitions."""
     latest = latest_offsets(_envelope(spark, data_dir))
     first = latest.filter((F.col("topic") == INPUT_TOPIC) & (F.col("partition") == 0))
     messages = progress_messages(_events(spark, data_dir))
-    return with_latest_offset(messages, first.select("latest_offset").scalar())
+    merged = with_latest_offset(messages, first.select("latest_offset").scalar())
+    return with_field(merged, ALL_OFFSETS, offsets_json(latest).scalar())
 
 
 def progress_table(spark: SparkSession, data_dir: str) -> DataFrame:
     rows = progress_rows(progress_messages(_events(spark, data_dir)))
-    return rows.select("name", "batchId", "numInputRows", F.size("sources").alias("sources"))
+    source = F.get("sources", F.lit(0))
+    return rows.select(
+        *("id", "runId", "name", "timestamp", "batchId", "numInputRows"),
+        *("inputRowsPerSecond", "processedRowsPerSecond"),
+        F.try_element_at("durationMs", F.lit("triggerExecution")).alias("trigger_millis"),
+        F.size("sources").alias("sources"),
+        source.description.alias("description"),
+        source.startOffset.alias("start_offset"),
+        source.endOffset.alias("end_offset"),
+        source.numInputRows.alias("source_rows"),
+        source.inputRowsPerSecond.alias("source_rate"),
+    )
 
 
 def input_lag_rows(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -172,28 +193,24 @@ def input_lag_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     return lags.drop("id", "runId")
 
 
+def input_lag_as_of(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The lag when each event was made: batches that report at the time of their last record."""
+    messages = progress_messages(_events(spark, data_dir), made=True)
+    lags = input_lag(messages, offsets_by_time(_envelope(spark, data_dir)))
+    return lags.drop("id", "runId")
+
+
 def input_lag_reported(spark: SparkSession, data_dir: str) -> DataFrame:
     """The lag by the latest offsets that the progress itself reports."""
     return input_lag(progress_messages(_events(spark, data_dir), reported=True)).drop("id", "runId")
 
 
-def synth_timed(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Transactions with given times, and a zip that is drawn apart from the city."""
-    return synth_transactions(
-        timed(_events(spark, data_dir)), "event_id", time_col="timestamp", independent_zip=True
-    )
-
-
-def synth_rows(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _synth(spark, data_dir)
-
-
 def feed_json(spark: SparkSession, data_dir: str) -> DataFrame:
-    return feed_messages(_synth(spark, data_dir), "json", key=None)
+    return feed_messages(_transactions(spark, data_dir), "json", key=None)
 
 
 def feed_csv(spark: SparkSession, data_dir: str) -> DataFrame:
-    return feed_messages(_synth(spark, data_dir), "csv", constant_key())
+    return feed_messages(_transactions(spark, data_dir), "csv")
 
 
 def feed_keyed(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -209,7 +226,7 @@ def split_lists(spark: SparkSession, data_dir: str) -> DataFrame:
 def written_messages(spark: SparkSession, data_dir: str) -> DataFrame:
     """Messages written to a file-backed topic, read back and decoded."""
     topic = files(new_folder(spark, "written"), schema="key string, value string")
-    topic.write(feed_messages(_synth(spark, data_dir)))
+    topic.write(feed_messages(_transactions(spark, data_dir)))
     return decode_json(topic.read(spark))
 
 
@@ -222,33 +239,60 @@ def stream_score_transactions(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def stream_chart_points(spark: SparkSession, data_dir: str) -> DataFrame:
-    """A second stream reads the scored topic and writes its points."""
+    """A stream reads a stored scored topic and writes its points."""
     scored = files(new_folder(spark, "scored"), schema="value string")
     points = files(new_folder(spark, "points"), schema="value string")
-    messages = score_messages(envelope(events_stream(spark, data_dir)))
-    run_available(messages, scored, new_folder(spark, "checkpoint"))
+    scored.write(_scored(spark, data_dir))
     decoded = decode_json(scored.read_stream(spark), POINT_SCHEMA)
     run_available(chart_points_json(decoded), points, new_folder(spark, "checkpoint"))
     return points.read(spark)
 
 
-def stream_progress(spark: SparkSession, data_dir: str) -> DataFrame:
-    """What the listener wrote about that stream: records read, over all its batches."""
-    topic = files(new_folder(spark, "scored"), schema="value string")
-    progress_topic = files(new_folder(spark, "progress"), schema="key string, value string")
-    scored = score_messages(envelope(events_stream(spark, data_dir)))
+def _observed(spark: SparkSession, data_dir: str) -> tuple[Endpoint, Endpoint, str]:
+    """The progress and the events of a stream with a micro-batch for each type of event."""
+    topic = new_folder(spark, "topic")
+    rows = _transactions(spark, data_dir)
+    messages = rows.select("category_name", json_value(TRANSACTION_COLUMNS).alias("value"))
+    # One file for each type.
+    files(topic, partition_by=["category_name"]).write(messages)
+    source = files(
+        topic, schema="value string, category_name string", max_files_per_trigger=1
+    )
+    progress, events = (
+        files(new_folder(spark, kind), schema="key string, value string")
+        for kind in ("progress", "lifecycle")
+    )
     log = ProgressLog()
     spark.streams.addListener(log)
     try:
-        query = run_available(scored, topic, new_folder(spark, "checkpoint"))
-        if not log.wait_ended(query):
-            raise TimeoutError("the stream's last event did not arrive")
-        log.flush(spark, progress_topic)
+        query = Endpoint("noop").write_stream(
+            score_messages(source.read_stream(spark)),
+            new_folder(spark, "checkpoint"),
+            {"availableNow": True},
+            name="counted",
+        )
+        run_until_stopped(spark, query, log, progress, events_sink=events)
     finally:
         spark.streams.removeListener(log)
+    return progress, events, str(query.id)
+
+
+def stream_progress(spark: SparkSession, data_dir: str) -> DataFrame:
+    """What the listener wrote about a stream: one row for each of its batches."""
+    progress, _, query_id = _observed(spark, data_dir)
     # The listener also hears of other streams of the session.
-    events = progress_rows(progress_topic.read(spark)).filter(F.col("id") == str(query.id))
-    return events.agg(F.sum("numInputRows").alias("rows_read"))
+    events = progress_rows(progress.read(spark)).filter(F.col("id") == query_id)
+    return events.filter("numInputRows > 0").select(
+        "name", F.col("numInputRows").alias("rows_read"), F.size("sources").alias("sources")
+    )
+
+
+def stream_lifecycle(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Its start and end events, as they were written."""
+    _, events, query_id = _observed(spark, data_dir)
+    fields = F.from_json("value", "event string, id string")
+    rows = events.read(spark).select(fields.alias("e")).select("e.*").filter(F.col("id") == query_id)
+    return rows.groupBy("event").agg(F.count("*").alias("events"))
 
 
 QUERIES: dict[str, Query] = {
@@ -273,8 +317,7 @@ QUERIES: dict[str, Query] = {
     "progress_rows": progress_table,
     "input_lag": input_lag_rows,
     "input_lag_reported": input_lag_reported,
-    "synth_transactions": synth_rows,
-    "synth_timed": synth_timed,
+    "input_lag_as_of": input_lag_as_of,
     "feed_json": feed_json,
     "feed_csv": feed_csv,
     "feed_keyed": feed_keyed,
@@ -283,4 +326,5 @@ QUERIES: dict[str, Query] = {
     "stream_score_transactions": stream_score_transactions,
     "stream_chart_points": stream_chart_points,
     "stream_progress": stream_progress,
+    "stream_lifecycle": stream_lifecycle,
 }
