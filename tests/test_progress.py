@@ -11,10 +11,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.helpers import bag
-from tidemark.functions.offsets import reported_latest
+from tidemark.functions.offsets import all_reported, reported_latest
 from tidemark.operators.progress import (
     input_lag,
     latest_offsets,
+    offsets_by_time,
+    offsets_json,
     progress_rows,
     with_latest_offset,
 )
@@ -47,16 +49,31 @@ def test_p8_adds_the_field_and_keeps_the_rest(spark):
     assert list(json.loads(merged)) == ["id", "batchId", "deep", "nothing", "latestOffset"]
 
 
-def test_p8_replaces_an_earlier_field(spark):
-    merged = with_latest_offset(literal_rows(spark, ['{"latestOffset":1,"a":2}']), F.lit(5))
-    assert json.loads(merged.first().value) == {"a": 2, "latestOffset": {"latestOffset": 5}}
+@pytest.mark.parametrize(
+    ("message", "rest"),
+    [
+        ('{"latestOffset":1,"a":2.0}', '{"a":2.0,'),
+        ('{"a":2.0,"latestOffset":{"latestOffset":4}}', '{"a":2.0,'),
+        ('{"b":{"latestOffset":3}, "latestOffset":"x}","a":[1, 2]}', '{"b":{"latestOffset":3},"a":[1, 2],'),
+        ('{"latestOffset":null}', "{"),
+        ('{"b":{"latestOffset":3}}', '{"b":{"latestOffset":3},'),
+        (" { } ", " {"),
+        ('{"b":200.0,"z":1e5,"a":1234567890123456789012345678901234567890,"c":{"y":1,"x":"\\u00e9}"}}\n',
+         '{"b":200.0,"z":1e5,"a":1234567890123456789012345678901234567890,"c":{"y":1,"x":"\\u00e9}"},'),
+    ],
+)
+def test_p8_leaves_the_text_of_other_fields(spark, message, rest):
+    merged = with_latest_offset(literal_rows(spark, [message]), F.lit(5)).first().value
+    assert merged == rest + '"latestOffset":{"latestOffset":5}}'
 
 
 @pytest.mark.parametrize(
-    "message", ["not json", "[1]", "3", None, '{"a":1', '{"a":1,"a":2}', '{"a":{"b":1,"b":2}}']
-)
-def test_p8_what_is_no_object_becomes_null(spark, message):
-    assert with_latest_offset(literal_rows(spark, [message]), F.lit(5)).first().value is None
+    "message",
+    ["not json", "[1]", "3", "", None, '{"a":1', '{"a":1,"a":2}', '{"a":{"b":1,"b":2}}',
+     '{"a":1} {"b":2}', '{"a":1} x', '{"latestOffset":[1]}'],
+)
+def test_p8_keeps_what_it_cannot_merge(spark, message):
+    assert with_latest_offset(literal_rows(spark, [message]), F.lit(5)).first().value == message
 
 
 def test_p8_unknown_offset_leaves_the_message(spark):
@@ -65,13 +82,14 @@ def test_p8_unknown_offset_leaves_the_message(spark):
 
 
 VALUES = st.recursive(
-    st.none() | st.booleans() | st.integers(-(2**60), 2**60)
+    st.none() | st.booleans() | st.integers(-(10**30), 10**30)
+    | st.floats(allow_nan=False, allow_infinity=False)
     | st.text(st.characters(codec="utf-8", exclude_categories=["Cc"]), max_size=5),
     lambda inner: st.lists(inner, max_size=3)
     | st.dictionaries(st.sampled_from("abc"), inner, max_size=3),
     max_leaves=8,
 )
-NAMES = st.sampled_from(["id", "sources", "a b", "latestOffset", "\u00e9"])
+NAMES = st.sampled_from(["id", "sources", "a b", "z", "\u00e9"])
 
 
 @settings(
@@ -218,9 +236,52 @@ def test_t7_hot_partition_is_split_without_adaptive_execution(spark):
 
 
 def test_reported_latest(spark):
+    sources = [{"latestOffset": {"other": {"0": 3}}}, {"latestOffset": {"input": {"0": 8}}}]
     messages = literal_rows(
         spark,
-        [_progress(0, 1, {"input": {"0": 8, "1": 9}}), _progress(0, 1, 6), _progress(0, 1), "x"],
+        [
+            _progress(0, 1, {"input": {"0": 8, "1": 9}}),
+            _progress(0, 1, 6),
+            _progress(0, 1),
+            "x",
+            json.dumps({"sources": sources}),
+        ],
     )
     got = messages.select(reported_latest(F.col("value"), "input", 0)).collect()
-    assert [r[0] for r in got] == [8, 6, None, None]
+    assert [r[0] for r in got] == [8, 6, None, None, 8]
+    other = messages.select(reported_latest(F.col("value"), "other", 0)).collect()
+    assert other[-1][0] == 3
+    listed = [r[0] and json.loads(r[0]) for r in messages.select(all_reported(F.col("value"))).collect()]
+    assert listed == [
+        [{"input": {"0": 8, "1": 9}}], [6], None, None, [{"other": {"0": 3}}, {"input": {"0": 8}}]
+    ]
+
+
+def test_offsets_json(spark):
+    rows = [("b", 10, 4), ("b", 2, 5), ('a"\\', 0, 7)]
+    latest = spark.createDataFrame(rows, "topic string, partition int, latest_offset bigint")
+    text = offsets_json(latest).first().offsets
+    assert json.loads(text) == {"b": {"2": 5, "10": 4}, 'a"\\': {"0": 7}}
+
+
+def test_lag_as_of_the_events_time(spark):
+    def at(seconds):
+        return f"2024-05-0{1 + seconds // 86400}T{seconds // 3600 % 24:02}:{seconds // 60 % 60:02}:{seconds % 60:02}Z"
+
+    rng = random.Random(11)
+    records = [(p, o, rng.randrange(170_000)) for p in (0, 1) for o in range(300)]
+    envelope = spark.createDataFrame(
+        [("t", p, o, at(s)) for p, o, s in records],
+        "topic string, partition int, offset bigint, at string",
+    ).withColumn("timestamp", F.col("at").cast("timestamp"))
+    times = [rng.randrange(170_000) for _ in range(40)]
+    messages = literal_rows(
+        spark, [_progress(k, {"t": {"0": 5, "1": 150}}, timestamp=at(s)) for k, s in enumerate(times)]
+    )
+    rows = input_lag(messages, offsets_by_time(envelope)).collect()
+    assert len(rows) == 80
+    for r in rows:
+        seen = [o for p, o, s in records if p == r.partition and s <= times[r.batchId]]
+        latest = max(seen, default=None)
+        assert r.latest_offset == (None if latest is None else latest + 1)
+        assert r.lag == (None if latest is None else max(0, latest + 1 - r.end_offset))

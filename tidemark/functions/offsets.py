@@ -63,17 +63,42 @@ def positions(end_json: Column, latest_json: Column) -> Column:
     return F.coalesce(kafka, F.when(end.isNotNull(), single), F.array().cast(_POSITIONS))
 
 
+_LATEST_OF_SOURCES = "sources array<struct<latestOffset:string>>"
+
+
+def _latest_texts(message: Column) -> Column:
+    sources = F.from_json(message, _LATEST_OF_SOURCES).sources
+    return F.transform(sources, lambda source: source.latestOffset)
+
+
 def reported_latest(message: Column, topic: str, partition: int) -> Column:
     """The latest offset that a progress message reports for one topic partition.
 
-    Looks at the first source; one without topics reports a plain number. Null
-    where the source reports nothing.
+    Taken from the first source that reports it; a source without topics reports a plain
+    number, which counts where no source names the topic. Null where none reports.
     """
-    offset_json = F.get_json_object(message, "$.sources[0].latestOffset")
-    parts = F.try_element_at(F.from_json(offset_json, _TOPIC_OFFSETS), F.lit(topic))
-    return F.coalesce(
-        F.try_element_at(parts, F.lit(str(partition))), offset_json.try_cast("bigint")
+    texts = _latest_texts(message)
+
+    def of_topic(text: Column) -> Column:
+        parts = F.try_element_at(F.from_json(text, _TOPIC_OFFSETS), F.lit(topic))
+        return F.try_element_at(parts, F.lit(str(partition)))
+
+    named = F.filter(F.transform(texts, of_topic), lambda x: x.isNotNull())
+    plain = F.filter(
+        F.transform(texts, lambda text: text.try_cast("bigint")), lambda x: x.isNotNull()
     )
+    return F.coalesce(F.get(named, F.lit(0)), F.get(plain, F.lit(0)))
+
+
+def all_reported(message: Column) -> Column:
+    """What every source reports as its latest offset, all topics and partitions, as a JSON list.
+
+    Null where no source reports any.
+    """
+    texts = _latest_texts(message)
+    listed = F.array_join(F.transform(texts, lambda t: F.coalesce(t, F.lit("null"))), ",")
+    known = F.exists(texts, lambda t: t.isNotNull())
+    return F.when(known, F.concat(F.lit("["), listed, F.lit("]")))
 
 
 def lag(latest: Column, end: Column) -> Column:
