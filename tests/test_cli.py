@@ -7,7 +7,7 @@ import json
 import pytest
 
 from tests.helpers import bag
-from tidemark.__main__ import main
+from tidemark.__main__ import _parser, _source, main
 from tidemark.operators.messages import decode_csv, decode_scored
 from tidemark.operators.synth import synth_transactions
 from tidemark.plans.scoring import score
@@ -55,12 +55,84 @@ def test_feed_with_properties(spark, tmp_path):
     assert {r[0] for r in cards.collect()} == {"gold", "silver"}
 
 
+def test_score_with_a_schema_events_and_a_stream_of_points(spark):
+    fed, scored, points, progress, events = (
+        new_folder(spark, n) for n in ("fed", "scored", "points", "progress", "events")
+    )
+    main(["feed", *_files("sink", fed), "--rows", "50"])
+    main(
+        ["score", *_files("source", fed), *_files("sink", scored), *_files("progress", progress),
+         *_files("events", events), *_files("spill", events), "--topic", "t", "--partition", "2",
+         "--schema", "trans_time string, trans_amt string",
+         "--checkpoint", new_folder(spark, "checkpoint"), "--available-now"]
+    )
+    kept = [json.loads(r.value) for r in spark.read.parquet(scored).collect()]
+    assert {frozenset(m) for m in kept} == {
+        frozenset(("trans_time", "trans_amt", "Upper_Warning", "Upper_Action"))
+    }
+    noted = [json.loads(r.value)["event"] for r in spark.read.parquet(events).collect()]
+    assert sorted(set(noted)) == ["started", "terminated"]
+    main(["points", *_files("source", scored), *_files("sink", points),
+          "--checkpoint", new_folder(spark, "checkpoint"), "--available-now"])
+    assert spark.read.parquet(points).count() == 50
+
+
+def test_sources_that_are_no_files_bring_their_schema(spark):
+    out = new_folder(spark, "scored")
+    main(["score", "--source", "rate", "--source-option", "rowsPerSecond=5",
+          *_files("sink", out), "--checkpoint", new_folder(spark, "checkpoint"),
+          "--available-now"])
+
+
+def test_lag_now_and_as_of(spark):
+    topic, progress = new_folder(spark, "topic"), new_folder(spark, "progress")
+    rows = [("input", 0, k, f"2024-01-01 00:00:{k:02}") for k in range(20)]
+    given = spark.createDataFrame(rows, "topic string, partition int, offset bigint, at string")
+    given.withColumn("timestamp", given["at"].cast("timestamp")).write.parquet(topic)
+    message = {"timestamp": "2024-01-01T00:00:09Z", "batchId": 1,
+               "sources": [{"endOffset": {"input": {"0": 6}}}]}
+    spark.createDataFrame([(json.dumps(message),)], "value string").write.parquet(progress)
+    for more, lag in ((["--now", "--salts", "3"], 14), ([], 4)):
+        out = new_folder(spark, "lag")
+        main(["lag", *_files("progress", progress), *_files("topic", topic), *_files("sink", out), *more])
+        assert [r.lag for r in spark.read.parquet(out).collect()] == [lag]
+
+
+def test_kafka_streams_start_at_the_end_and_are_limited():
+    def source(*options):
+        given = [x for o in options for x in ("--source-option", o)]
+        argv = ["score", "--source", "kafka", *given, "--sink", "noop", "--checkpoint", "x"]
+        return _source(_parser().parse_args(argv), "value string")
+
+    plain = source("kafka.bootstrap.servers=a:1", "subscribe=payments")
+    assert plain.options == {"kafka.bootstrap.servers": "a:1", "subscribe": "payments"}
+    assert plain.stream_options == {"startingOffsets": "latest", "maxOffsetsPerTrigger": "10000"}
+    other = source("startingOffsets=earliest", "maxOffsetsPerTrigger=7", "failOnDataLoss=false")
+    assert other.stream_options == {"startingOffsets": "earliest", "maxOffsetsPerTrigger": "7"}
+    assert other.options["failOnDataLoss"] == "false"
+
+
+@pytest.mark.parametrize(
+    ("argv", "said"),
+    [
+        (["--source-option", "startingOffsets=latest"], "reads nothing"),
+        (["--checkpoint", "x", "--spill", "noop"], "--progress"),
+        (["--schema", "a string", "--wire", "csv"], "JSON"),
+    ],
+)
+def test_arguments_that_make_no_sense(argv, said, capsys):
+    with pytest.raises(SystemExit):
+        main(["score", "--source", "kafka", "--sink", "noop", *argv])
+    assert said in capsys.readouterr().err
+
+
 @pytest.mark.parametrize(
     "argv",
     [
         ["feed", "--sink", "noop"],
         ["score", "--source", "rate", "--sink", "noop", "--available-now"],
         ["score", "--source", "rate", "--sink", "noop", "--progress", "noop"],
+        ["points", "--source", "rate", "--sink", "noop", "--available-now"],
     ],
 )
 def test_streams_need_a_checkpoint(argv, capsys):

@@ -23,8 +23,8 @@ from tidemark.sources.events import envelope, events_stream, table
 from tidemark.streaming import (
     ProgressLog,
     lifecycle_rows,
+    observe,
     progress_messages,
-    run,
     run_available,
     run_until_stopped,
 )
@@ -141,7 +141,7 @@ def test_events_as_a_folder_of_files(spark, data_dir):
     events.limit(5).write.parquet(f"{folder}/events_old.parquet")
     streamed = queries.stream_score_transactions(spark, folder)
     assert bag(streamed) == bag(queries.score_transactions(spark, folder))
-    assert bag(queries.stream_progress(spark, folder)) == {(1000,): 1}
+    assert sum(r.rows_read for r in queries.stream_progress(spark, folder).collect()) == 1000
 
 
 def test_events_in_limited_batches(spark, data_dir):
@@ -214,31 +214,63 @@ def test_failed_stream_raises_and_leaves_its_progress(spark, records, log):
     assert lifecycle == ["started", "terminated"]
 
 
-def test_scoring_goes_on_without_its_progress_sink(spark, records, log, caplog):
+def test_scoring_goes_on_while_progress_is_spilled(spark, records, log, caplog):
     topic, output = _topic_of(spark, records), _output(spark)
+    spill = files(new_folder(spark, "spill"), schema="key string, value string")
     query = scoring.start_stream(spark, topic, output, new_folder(spark, "checkpoint"))
     stopper = threading.Timer(6.0, query.stop)
     stopper.start()
-    with pytest.raises(Exception, match="no_such_format"):
-        run_until_stopped(spark, query, log, Endpoint("no_such_format"), flush_seconds=0.5)
-    assert "will try again" in caplog.text
+    broken = Endpoint("no_such_format")
+    run_until_stopped(spark, query, log, broken, 0.5, events_sink=broken, spill=spill)
+    assert "spilled" in caplog.text
     assert output.read(spark).count() == 1000
-    kept = [json.loads(m) for m in log.take_progress()]
-    assert sum(p["numInputRows"] for p in kept if p["id"] == str(query.id)) == 1000
+    kept = [(r.key, json.loads(r.value)) for r in spill.read(spark).collect()]
+    own = [(key, m) for key, m in kept if m["id"] == str(query.id)]
+    assert sum(m["numInputRows"] for key, m in own if key == "key") == 1000
+    assert {m["event"] for key, m in own if key == "lifecycle"} == {"started", "terminated"}
+    assert log.pending == 0
 
 
-def test_too_many_unwritten_messages_fail_the_job(spark, log, monkeypatch):
-    monkeypatch.setattr(run, "MAX_PENDING", 2)
+def test_a_failing_progress_sink_stops_the_query_without_a_spill(spark, log):
     query = Endpoint("noop").write_stream(
         paced(50).read_stream(spark), new_folder(spark, "checkpoint")
     )
-    try:
-        log._progress.extend(['{"a":1}', '{"a":2}', '{"a":3}'])
-        with pytest.raises(Exception, match="no_such_format"):
-            run_until_stopped(spark, query, log, Endpoint("no_such_format"), flush_seconds=0.2)
-        assert query.isActive and log.pending >= 3
-    finally:
-        query.stop()
+    log._progress.append('{"a":1}')
+    with pytest.raises(Exception, match="no_such_format"):
+        run_until_stopped(spark, query, log, Endpoint("no_such_format"), flush_seconds=0.2)
+    assert not query.isActive
+    assert log.pending >= 1
+
+
+def test_a_missing_last_event_is_an_error(spark, records, log, monkeypatch):
+    topic, output = _topic_of(spark, records), _output(spark)
+    progress_topic = files(new_folder(spark, "progress"), schema="key string, value string")
+    query = scoring.start_stream(
+        spark, topic, output, new_folder(spark, "checkpoint"), trigger=AVAILABLE_NOW
+    )
+    monkeypatch.setattr(log, "wait_ended", lambda query: False)
+    with pytest.raises(TimeoutError):
+        run_until_stopped(spark, query, log, progress_topic)
+
+
+def test_progress_names_a_topic_and_all_others(spark, log):
+    offsets = {"payments": {"0": 4, "3": 9}}
+    log._progress.append(json.dumps({"sources": [{"latestOffset": offsets}, {"latestOffset": None}]}))
+    sink = files(new_folder(spark, "progress"), schema="key string, value string")
+    log.flush(spark, sink, "payments", 3)
+    written = next(m for m in map(json.loads, (r.value for r in sink.read(spark).collect()))
+                   if "latestOffsets" in m)
+    assert written["latestOffset"] == {"latestOffset": 9}
+    assert written["latestOffsets"] == [offsets, None]
+
+
+def test_many_notes_are_written_in_parts(spark, log, monkeypatch):
+    monkeypatch.setattr(observe, "WRITE_MESSAGES", 3)
+    log._progress.extend(f'{{"a":{k}}}' for k in range(8))
+    sink = files(new_folder(spark, "progress"), schema="key string, value string")
+    assert log.flush(spark, sink, topic=None) >= 8
+    got = [json.loads(r.value) for r in sink.read(spark).collect()]
+    assert sorted(m["a"] for m in got if "a" in m) == list(range(8))
 
 
 def test_k5_messages_of_a_failed_write_are_kept(spark, log):
@@ -286,7 +318,7 @@ def test_lag_job(spark, records):
         )
     )
     sink = files(new_folder(spark, "lag"), schema=None)
-    reporting.write_lag(spark, progress, sink, topic)
+    reporting.write_lag(spark, progress, sink, topic, now=True)
     got = bag(sink.read(spark), ["partition", "end_offset", "latest_offset", "lag"])
     assert got == {
         (0, 100, 250, 150): 1, (1, 250, 250, 0): 1, (2, 0, 250, 250): 1, (3, 260, 250, 0): 1,

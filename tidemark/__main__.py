@@ -15,15 +15,21 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
+from tidemark.operators.progress import LAG_SALTS
 from tidemark.operators.synth import SynthConfig
 from tidemark.plans import feeding, reporting, scoring
-from tidemark.sources.endpoint import Endpoint
+from tidemark.schema import TRANSACTION_SCHEMA
+from tidemark.sources.endpoint import INPUT_TOPIC, Endpoint, kafka_source
 from tidemark.streaming.observe import ProgressLog
-from tidemark.streaming.run import run_until_stopped
+from tidemark.streaming.run import FLUSH_SECONDS, run_until_stopped
 
+# The sources that need a schema given; others bring their own.
+FILE_FORMATS = frozenset(("parquet", "orc", "json", "csv", "avro"))
 MESSAGE_SCHEMA = "value string"
-PARTITIONED_SCHEMA = "topic string, partition int, offset bigint"
+STREAM_OPTIONS = frozenset(("startingOffsets", "maxOffsetsPerTrigger", "minPartitions"))
+PARTITIONED_SCHEMA = "topic string, partition int, offset bigint, timestamp timestamp"
 
 
 def _option(text: str) -> tuple[str, str]:
@@ -40,14 +46,24 @@ def _add_endpoint(parser: argparse.ArgumentParser, name: str, required: bool = T
     )
 
 
-def _endpoint(
-    args: argparse.Namespace, name: str, schema: str | None = None
-) -> Endpoint | None:
+def _endpoint(args: argparse.Namespace, name: str, schema: str | None = None) -> Endpoint | None:
     format = getattr(args, name)
     if format is None:
         return None
     options = dict(getattr(args, f"{name}_option"))
-    return Endpoint(format, options, schema=None if format == "kafka" else schema)
+    return Endpoint(format, options, schema=schema if format in FILE_FORMATS else None)
+
+
+def _source(args: argparse.Namespace, schema: str) -> Endpoint:
+    """The source of a job; a Kafka stream starts and is limited as :func:`kafka_source` says."""
+    source = _endpoint(args, "source", schema)
+    if source.format != "kafka":
+        return source
+    options = dict(source.options)
+    given = {n: options.pop(n) for n in tuple(options) if n in STREAM_OPTIONS}
+    servers = options.pop("kafka.bootstrap.servers", "")
+    defaults = kafka_source(servers, options.pop("subscribe", INPUT_TOPIC))
+    return Endpoint("kafka", {**defaults.options, **options}, {**defaults.stream_options, **given})
 
 
 def _trigger(args: argparse.Namespace) -> dict[str, object] | None:
@@ -61,7 +77,11 @@ def _parser() -> argparse.ArgumentParser:
     score = jobs.add_parser("score", help="flag messages of one topic into another")
     _add_endpoint(score, "source")
     _add_endpoint(score, "sink")
-    _add_endpoint(score, "progress", required=False)
+    for name in ("progress", "events", "spill"):
+        _add_endpoint(score, name, required=False)
+    score.add_argument("--topic", help="topic whose latest offset is added to the progress")
+    score.add_argument("--partition", type=int, default=0, help="partition of that topic")
+    score.add_argument("--schema", help="columns of the JSON messages, all but these are ignored")
     score.add_argument("--wire", choices=sorted(scoring.WIRE_FORMS), default="json")
     score.add_argument("--checkpoint", help="run as a stream that resumes from this folder")
     score.add_argument("--available-now", action="store_true", help="end when caught up")
@@ -80,34 +100,57 @@ def _parser() -> argparse.ArgumentParser:
     _add_endpoint(points, "source")
     _add_endpoint(points, "sink")
     points.add_argument("--checkpoint", help="run as a stream that resumes from this folder")
+    points.add_argument("--available-now", action="store_true", help="end when caught up")
 
     lag = jobs.add_parser("lag", help="input lag at every progress event")
     _add_endpoint(lag, "progress")
     _add_endpoint(lag, "topic", required=False)
+    lag.add_argument("--salts", type=int, default=LAG_SALTS, help="parts of a partition's events")
+    lag.add_argument("--now", action="store_true", help="lag behind today's end of the topic")
     _add_endpoint(lag, "sink")
     return parser
 
 
+def _schema(args: argparse.Namespace) -> StructType:
+    return StructType.fromDDL(args.schema) if args.schema else TRANSACTION_SCHEMA
+
+
 def _score(spark: SparkSession, args: argparse.Namespace) -> None:
-    source, sink = _endpoint(args, "source", MESSAGE_SCHEMA), _endpoint(args, "sink")
+    source, sink = _source(args, MESSAGE_SCHEMA), _endpoint(args, "sink")
+    schema = _schema(args)
     if not args.checkpoint:
-        scoring.run_batch(spark, source, sink, wire=args.wire)
+        scoring.run_batch(spark, source, sink, wire=args.wire, schema=schema)
         return
     progress_sink = _endpoint(args, "progress")
     log = ProgressLog()
-    if progress_sink:
-        spark.streams.addListener(log)
+    # Registered with or without a sink: it also logs every event.
+    spark.streams.addListener(log)
     try:
         query = scoring.start_stream(
-            spark, source, sink, args.checkpoint, wire=args.wire, trigger=_trigger(args)
+            spark,
+            source,
+            sink,
+            args.checkpoint,
+            wire=args.wire,
+            trigger=_trigger(args),
+            schema=schema,
         )
         if progress_sink:
-            run_until_stopped(spark, query, log, progress_sink)
+            run_until_stopped(
+                spark,
+                query,
+                log,
+                progress_sink,
+                topic=args.topic or source.options.get("subscribe", INPUT_TOPIC),
+                partition=args.partition,
+                events_sink=_endpoint(args, "events"),
+                spill=_endpoint(args, "spill"),
+            )
         else:
-            query.awaitTermination()
+            while not query.awaitTermination(FLUSH_SECONDS):
+                log.take_progress()
     finally:
-        if progress_sink:
-            spark.streams.removeListener(log)
+        spark.streams.removeListener(log)
 
 
 def _feed(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -125,8 +168,8 @@ def _feed(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _points(spark: SparkSession, args: argparse.Namespace) -> None:
-    source = _endpoint(args, "source", MESSAGE_SCHEMA)
-    query = reporting.write_points(spark, source, _endpoint(args, "sink"), args.checkpoint)
+    source, sink = _source(args, MESSAGE_SCHEMA), _endpoint(args, "sink")
+    query = reporting.write_points(spark, source, sink, args.checkpoint, _trigger(args))
     if query is not None:
         query.awaitTermination()
 
@@ -137,17 +180,30 @@ def _lag(spark: SparkSession, args: argparse.Namespace) -> None:
         _endpoint(args, "progress", MESSAGE_SCHEMA),
         _endpoint(args, "sink"),
         _endpoint(args, "topic", PARTITIONED_SCHEMA),
+        salts=args.salts,
+        now=args.now,
     )
 
 
 _JOBS = {"score": _score, "feed": _feed, "points": _points, "lag": _lag}
 
 
+def _check(parser: argparse.ArgumentParser, args: argparse.Namespace) -> None:
+    if args.job in ("score", "points") and not args.checkpoint:
+        if getattr(args, "progress", None) or args.available_now:
+            parser.error("--progress and --available-now are for streams, which need --checkpoint")
+        if dict(args.source_option).get("startingOffsets") == "latest":
+            parser.error("startingOffsets=latest reads nothing without --checkpoint")
+    if args.job == "score" and not args.progress and (args.events or args.spill):
+        parser.error("--events and --spill go with --progress")
+    if args.job == "score" and args.schema and args.wire != "json":
+        parser.error("--schema is for JSON messages")
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = _parser()
     args = parser.parse_args(argv)
-    if args.job == "score" and not args.checkpoint and (args.progress or args.available_now):
-        parser.error("--progress and --available-now are for streams, which need --checkpoint")
+    _check(parser, args)
     if args.job == "feed" and args.rows is None and not args.checkpoint:
         parser.error("give --rows, or --checkpoint for an endless stream")
     spark = SparkSession.builder.appName(f"tidemark-{args.job}").getOrCreate()

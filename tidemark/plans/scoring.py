@@ -6,15 +6,19 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemark.operators.detect import PRESETS, ThresholdModel, flag
 from tidemark.operators.messages import decode_csv, decode_json, encode_json
+from tidemark.schema import TRANSACTION_SCHEMA
 from tidemark.sources.endpoint import Endpoint
 
-WIRE_FORMS: Mapping[str, Callable[..., DataFrame]] = {
-    "json": decode_json,
-    "csv": decode_csv,
-}
+
+def _from_csv(messages: DataFrame, value: str, schema: StructType) -> DataFrame:
+    return decode_csv(messages, schema.names, value)
+
+
+WIRE_FORMS: Mapping[str, Callable[..., DataFrame]] = {"json": decode_json, "csv": _from_csv}
 
 
 def score(
@@ -22,19 +26,27 @@ def score(
     models: Iterable[ThresholdModel] = PRESETS,
     wire: str = "json",
     value: str = "value",
+    schema: StructType = TRANSACTION_SCHEMA,
 ) -> DataFrame:
-    """Messages as flagged transaction rows; as many rows as messages."""
-    return flag(WIRE_FORMS[wire](messages, value=value), models)
+    """Messages as flagged rows; as many rows as messages.
+
+    Only the columns of ``schema`` are parsed and kept; give the few that the models and
+    the readers of the result need.
+    """
+    return flag(WIRE_FORMS[wire](messages, value=value, schema=schema), models)
 
 
 def score_messages(
-    messages: DataFrame, models: Iterable[ThresholdModel] = PRESETS, wire: str = "json"
+    messages: DataFrame,
+    models: Iterable[ThresholdModel] = PRESETS,
+    wire: str = "json",
+    schema: StructType = TRANSACTION_SCHEMA,
 ) -> DataFrame:
     """Messages as scored messages, in the one column a topic takes.
 
     The plan is map-only: no shuffle, one task for each split of the source.
     """
-    return encode_json(score(messages, models, wire))
+    return encode_json(score(messages, models, wire, schema=schema))
 
 
 def run_batch(
@@ -43,9 +55,10 @@ def run_batch(
     sink: Endpoint,
     models: Iterable[ThresholdModel] = PRESETS,
     wire: str = "json",
+    schema: StructType = TRANSACTION_SCHEMA,
 ) -> None:
     """Score what a source holds now."""
-    sink.write(score_messages(source.read(spark), models, wire))
+    sink.write(score_messages(source.read(spark), models, wire, schema))
 
 
 def start_stream(
@@ -57,7 +70,8 @@ def start_stream(
     wire: str = "json",
     trigger: Mapping[str, object] | None = None,
     name: str | None = None,
+    schema: StructType = TRANSACTION_SCHEMA,
 ) -> StreamingQuery:
     """Start scoring a stream; give ``checkpoint`` a durable folder that all executors share."""
-    scored = score_messages(source.read_stream(spark), models, wire)
+    scored = score_messages(source.read_stream(spark), models, wire, schema)
     return sink.write_stream(scored, checkpoint, trigger, name)

@@ -45,7 +45,13 @@ class Endpoint:
         return (reader.schema(self.schema) if self.schema else reader).load()
 
     def write(self, rows: DataFrame, mode: str = "append") -> None:
-        """K3: write a table."""
+        """K3: write a table.
+
+        Rows are dealt out by the folders they go to, so that these get few files; large
+        folders are split over several tasks.
+        """
+        if self.partition_by:
+            rows = rows.hint("rebalance", *self.partition_by)
         writer = rows.write.format(self.format).options(**self.options).mode(mode)
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).save()
 

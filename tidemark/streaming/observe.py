@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import threading
 from collections import deque
 from collections.abc import Iterable
@@ -11,14 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from tidemark.functions.offsets import reported_latest
+from tidemark.functions.offsets import all_reported, reported_latest
 from tidemark.operators.messages import keyed
-from tidemark.operators.progress import with_latest_offset
+from tidemark.operators.progress import with_field, with_latest_offset
 from tidemark.sources.endpoint import INPUT_TOPIC, Endpoint, literal_rows
 
+logger = logging.getLogger(__name__)
+
 LIFECYCLE_SCHEMA = "event string, id string, runId string"
 # Fixed value: the key of every progress message.
 PROGRESS_KEY = "key"
+LIFECYCLE_KEY = "lifecycle"
+# The field that holds what all sources report.
+ALL_OFFSETS = "latestOffsets"
+# Some 30 MB of messages in one job.
+WRITE_MESSAGES = 10_000
 
 
 class ProgressLog(StreamingQueryListener):
@@ -36,10 +45,12 @@ class ProgressLog(StreamingQueryListener):
         self._changed = threading.Condition()
 
     def onQueryStarted(self, event) -> None:
+        logger.info("query started: %s", event.id)
         with self._changed:
             self._lifecycle.append(("started", str(event.id), str(event.runId)))
 
     def onQueryProgress(self, event) -> None:
+        logger.info("progress: %s", event.progress.json)
         with self._changed:
             self._progress.append(event.progress.json)
 
@@ -47,6 +58,7 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
+        logger.info("query terminated: %s", event.id)
         with self._changed:
             self._lifecycle.append(("terminated", str(event.id), str(event.runId)))
             self._ended.add(str(event.runId))
@@ -56,19 +68,20 @@ class ProgressLog(StreamingQueryListener):
         """Wait until a query's last event has come in; events arrive after the query ends."""
         run_id = str(query.runId)
         with self._changed:
-            return self._changed.wait_for(lambda: run_id in self._ended, timeout)
+            came = self._changed.wait_for(lambda: run_id in self._ended, timeout)
+            self._ended.discard(run_id)
+            return came
 
     @property
     def pending(self) -> int:
         """How many progress messages wait to be written."""
         return len(self._progress)
 
-    def take_progress(self) -> list[str]:
-        """The progress messages noted since the last call."""
+    def take_progress(self, most: int | None = None) -> list[str]:
+        """The oldest progress messages noted since the last call, all or at most so many."""
         with self._changed:
-            taken = list(self._progress)
-            self._progress.clear()
-        return taken
+            count = len(self._progress) if most is None else min(most, len(self._progress))
+            return [self._progress.popleft() for _ in range(count)]
 
     def take_lifecycle(self) -> list[tuple[str, str, str]]:
         """The start and end events noted since the last call."""
@@ -81,26 +94,44 @@ class ProgressLog(StreamingQueryListener):
         self,
         spark: SparkSession,
         sink: Endpoint,
-        topic: str = INPUT_TOPIC,
+        topic: str | None = INPUT_TOPIC,
         partition: int = 0,
     ) -> int:
-        """K5: write the noted progress messages, keyed, in one job; returns how many.
+        """K5: write the noted progress messages, keyed, in jobs of bounded size; returns how many.
 
-        Each message gets the latest offset that its source reports for the given
-        topic partition as a further field. Messages of a failed write are noted
+        Each message gets what its sources report: the latest offset of the given topic
+        partition in ``latestOffset``, unless ``topic`` is None, and that of all sources,
+        topics and partitions in ``latestOffsets``. Messages of a failed write are noted
         again.
         """
-        taken = self.take_progress()
-        if not taken:
-            return 0
-        messages = literal_rows(spark, taken)
-        latest = reported_latest(F.col("value"), topic, partition)
-        try:
-            sink.write(keyed(with_latest_offset(messages, latest), F.lit(PROGRESS_KEY)))
-        except Exception:
-            with self._changed:
-                self._progress.extendleft(reversed(taken))
-            raise
+        written = 0
+        while taken := self.take_progress(WRITE_MESSAGES):
+            messages = literal_rows(spark, taken)
+            if topic is not None:
+                latest = reported_latest(F.col("value"), topic, partition)
+                messages = with_latest_offset(messages, latest)
+            messages = with_field(messages, ALL_OFFSETS, all_reported(F.col("value")))
+            try:
+                sink.write(keyed(messages, F.lit(PROGRESS_KEY)))
+            except Exception:
+                with self._changed:
+                    self._progress.extendleft(reversed(taken))
+                raise
+            written += len(taken)
+        return written
+
+    def flush_lifecycle(self, spark: SparkSession, sink: Endpoint) -> int:
+        """T5: write the noted start and end events as keyed JSON messages; returns how many."""
+        taken = self.take_lifecycle()
+        if taken:
+            names = ("event", "id", "runId")
+            texts = [json.dumps(dict(zip(names, event, strict=True))) for event in taken]
+            try:
+                sink.write(keyed(literal_rows(spark, texts), F.lit(LIFECYCLE_KEY)))
+            except Exception:
+                with self._changed:
+                    self._lifecycle.extendleft(reversed(taken))
+                raise
         return len(taken)
 
 

@@ -8,14 +8,12 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.sources.endpoint import Endpoint
+from tidemark.sources.endpoint import INPUT_TOPIC, Endpoint
 from tidemark.streaming.observe import ProgressLog
 
 logger = logging.getLogger(__name__)
 
 FLUSH_SECONDS = 30
-# Some 300 MB of messages on the driver.
-MAX_PENDING = 100_000
 
 
 def run_available(rows: DataFrame, sink: Endpoint, checkpoint: str) -> StreamingQuery:
@@ -31,28 +29,55 @@ def run_until_stopped(
     log: ProgressLog,
     progress_sink: Endpoint,
     flush_seconds: float = FLUSH_SECONDS,
+    *,
+    topic: str | None = INPUT_TOPIC,
+    partition: int = 0,
+    events_sink: Endpoint | None = None,
+    spill: Endpoint | None = None,
 ) -> None:
     """Block until a query ends, meanwhile writing out its progress from time to time.
 
-    Scoring goes on when progress cannot be written; the notes wait for the next try,
-    until so many wait that the job fails rather than fill the driver's memory.
-    When the query fails, what it did before is written and the failure raised.
+    ``topic`` and ``partition`` are those whose latest offset has a field of its own; all
+    others are in a list. Start and end events go to ``events_sink`` if there is one.
+
+    When progress can't be written, what to do is the caller's choice: with a ``spill``, a
+    sink in a durable folder, it is written there and scoring goes on; without, the query
+    is stopped and the failure raised. When the query itself fails, what it did before is
+    written and the failure raised. A last event that doesn't arrive is an error.
     """
+
+    def write() -> None:
+        if events_sink:
+            _or_spilled(spill, lambda sink: log.flush_lifecycle(spark, sink), events_sink)
+        _or_spilled(spill, lambda sink: log.flush(spark, sink, topic, partition), progress_sink)
+
     try:
         while not query.awaitTermination(flush_seconds):
-            _try_flush(spark, log, progress_sink)
-    except StreamingQueryException:
-        log.wait_ended(query)
-        _try_flush(spark, log, progress_sink)
+            try:
+                write()
+            except Exception:
+                query.stop()
+                raise
+    except StreamingQueryException as failure:
+        complete = log.wait_ended(query)
+        try:
+            write()
+        except Exception as unwritten:
+            failure.add_note(f"{log.pending} progress messages were not written: {unwritten}")
+        if not complete:
+            failure.add_note("the query's last events did not arrive")
         raise
-    log.wait_ended(query)
-    log.flush(spark, progress_sink)
+    complete = log.wait_ended(query)
+    write()
+    if not complete:
+        raise TimeoutError("the query's last events did not arrive")
 
 
-def _try_flush(spark: SparkSession, log: ProgressLog, progress_sink: Endpoint) -> None:
+def _or_spilled(spill: Endpoint | None, write, sink: Endpoint) -> None:
     try:
-        log.flush(spark, progress_sink)
+        write(sink)
     except Exception:
-        if log.pending > MAX_PENDING:
+        if spill is None:
             raise
-        logger.warning("progress was not written, will try again", exc_info=True)
+        logger.warning("progress could not be written and is spilled", exc_info=True)
+        write(spill)
