@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +14,33 @@ from pyspark.sql.types import StructType
 from tidemark.plans.workspace import new_folder
 from tidemark.sources.events import table
 
-__all__ = ["arrow_map", "bound_batches", "stored", "table"]
+__all__ = ["arrow_map", "prepare_workers", "stored", "table"]
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_LIMIT = "16m"
+ARCHIVE = "tidemark-code.zip"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for workers of a few hundred MB, however long the texts."""
+def prepare_workers(spark: SparkSession) -> None:
+    """What Python workers need: this package's code, and Arrow batches of bounded size.
+
+    Batches of ``BATCH_LIMIT`` keep workers small however long the texts. The code goes to
+    the executors through Spark, once per application, so they need no copy of their own.
+    """
     spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
+    context = spark.sparkContext
+    if not any(Path(f).name == ARCHIVE for f in context._python_includes):
+        context.addPyFile(str(_archive()))
+
+
+def _archive() -> Path:
+    """The package's sources as a zip file; only the driver writes and reads it here."""
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / ARCHIVE
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    return archive
 
 
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
@@ -49,7 +70,7 @@ def arrow_map(
                 arrays = [_array(columns[f.name], f.type) for f in kinds]
                 yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
-    bound_batches(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, bound_batches, stored
+from tidemark.llm.common import arrow_map, prepare_workers, stored
 from tidemark.llm.page_blocks import blocks_of, common
 from tidemark.llm.url_filter import url_host, url_path
 
@@ -42,7 +42,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
             new = [pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    bound_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     return given.mapInArrow(parse, schema)
 
 

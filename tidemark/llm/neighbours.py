@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import bound_batches, stored
+from tidemark.llm.common import prepare_workers, stored
 from tidemark.llm.small_world import LINKS, SEARCH_WIDTH, Graph, Points, build
 
 #: Vectors of one shard, and bytes of them at most.
@@ -75,7 +75,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
         arrays = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
-    bound_batches(vectors.sparkSession)
+    prepare_workers(vectors.sparkSession)
     return stored(rows.repartition(shards).mapInArrow(index, schema), "index")
 
 

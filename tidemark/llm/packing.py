@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import bound_batches, stored
+from tidemark.llm.common import prepare_workers, stored
 
 CAPACITY = 2048
 OPEN_BINS = 1 << 16
@@ -105,7 +105,7 @@ def tokenised_pieces(
             ]
             yield pa.RecordBatch.from_arrays([*own.columns, *new], names=schema.names)
 
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return given.mapInArrow(cut, schema)
 
 

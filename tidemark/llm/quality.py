@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from tidemark.llm.additive_model import AdditiveModel, fit
-from tidemark.llm.common import arrow_map, bound_batches
+from tidemark.llm.common import arrow_map, prepare_workers
 from tidemark.llm.labelled import SAMPLE_ROWS, fold, training_sample
 from tidemark.llm.text_features import QUALITY_FEATURES, quality_features
 
@@ -61,7 +61,7 @@ def score_quality(
     ``held_out`` marks the fold that is never learned from, false for a null id. Columns
     called like the added ones are replaced; other columns and repeated rows stay.
     """
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     scored = docs.withColumn("score", quality_score(model, F.col("text")))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     predicted = (F.col("score") >= threshold).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import bound_batches
+from tidemark.llm.common import prepare_workers
 from tidemark.llm.token_transducer import Transducer, Vocabulary
 
 
@@ -45,7 +45,7 @@ def count_tokens(
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series(transducer(model_path).count(texts.tolist()), dtype="int64")
 
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     known = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumns(
         {"n_bytes": F.octet_length(known).cast("long"), "n_tokens": tokens(known)}
