@@ -21,6 +21,9 @@ from tidemark.sources.endpoint import files
 from tidemark.sources.events import envelope, progress_messages, table, transactions
 
 SHUFFLED = {
+    "alerts_per_hour",
+    "fit_by_category",
+    "fit_global",
     "latest_offsets",
     "progress_merge",
     "progress_rows",

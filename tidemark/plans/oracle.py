@@ -133,6 +133,18 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN l_extendedprice > 60000.0 THEN 1 ELSE 0 END AS high_price,
           CASE WHEN l_quantity > 35.0 THEN 1 ELSE 0 END AS high_quantity
         FROM lineitem""",
+    "fit_global": """
+        SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+        FROM events""",
+    "fit_by_category": """
+        SELECT event_type AS category_name, count(value) AS n, round(avg(value), 6) AS mean,
+          round(stddev_samp(value), 6) AS std
+        FROM events GROUP BY event_type""",
+    "alerts_per_hour": """
+        SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS step, count(*) AS rows,
+          CAST(sum(CASE WHEN value > 81.0 THEN 1 ELSE 0 END) AS BIGINT) AS Upper_Warning,
+          CAST(sum(CASE WHEN value > 114.0 THEN 1 ELSE 0 END) AS BIGINT) AS Upper_Action
+        FROM events GROUP BY 1""",
     "decode_json": f"{_TX} SELECT * FROM tx",
     "encode_json": f"{_TX} SELECT {_SCORED_JSON} FROM (SELECT *, {_FLAGS} FROM tx)",
     "encode_csv": f"{_TX} SELECT {_CSV} FROM tx",

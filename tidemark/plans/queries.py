@@ -14,6 +14,7 @@ from tidemark.operators.detect import (
     ThresholdModel,
     flag,
 )
+from tidemark.operators.fitting import alerts_per, fit_moments
 from tidemark.operators.messages import (
     decode_csv,
     decode_json,
@@ -118,6 +119,25 @@ def score_items(spark: SparkSession, data_dir: str) -> DataFrame:
     return flag(_events(spark, data_dir).select("event_id", items), _ITEM_MODELS)
 
 
+def _rounded(moments: DataFrame) -> DataFrame:
+    """Sums of doubles depend on their order in the last digits."""
+    return moments.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+def fit_global(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _rounded(fit_moments(_transactions(spark, data_dir), "trans_amt"))
+
+
+def fit_by_category(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _rounded(fit_moments(_transactions(spark, data_dir), "trans_amt", ["category_name"]))
+
+
+def alerts_per_hour(spark: SparkSession, data_dir: str) -> DataFrame:
+    flagged = flag(transactions(_events(spark, data_dir), keep=["ts"]))
+    hour = F.date_trunc("hour", "ts").cast("string")
+    return alerts_per(flagged, hour, ["Upper_Warning", "Upper_Action"])
+
+
 def decode_json_messages(spark: SparkSession, data_dir: str) -> DataFrame:
     return decode_json(_envelope(spark, data_dir))
 
@@ -303,6 +323,9 @@ QUERIES: dict[str, Query] = {
     "score_orders": score_orders,
     "score_lineitem": score_lineitem,
     "score_items": score_items,
+    "fit_global": fit_global,
+    "fit_by_category": fit_by_category,
+    "alerts_per_hour": alerts_per_hour,
     "decode_json": decode_json_messages,
     "encode_json": encode_json_messages,
     "encode_csv": encode_csv_messages,
