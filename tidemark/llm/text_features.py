@@ -130,7 +130,7 @@ def bare(word: str) -> str:
 
 def forms(word: str) -> tuple[str, ...]:
     """What a lexicon knows a word by: itself, and its beginnings with a ``~``."""
-    return (word, *(word[:k] + "~" for k in (4, 5) if len(word) > k))
+    return (word, *(word[:k] + "~" for k in (4, 5, 6, 7) if len(word) > k))
 
 
 class Lexicon:

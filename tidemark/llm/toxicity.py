@@ -23,7 +23,7 @@ from tidemark.llm.text_features import TOXICITY_FEATURES, Lexicon, bare, forms,
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: A lexicon entry stands in so many surroundings, and is so much likelier (log odds) in toxic text.
-LEAST_SURROUNDINGS, LEAST_WEIGHT = 8, 2.0
+LEAST_SURROUNDINGS, LEAST_WEIGHT = 5, 2.0
 CANDIDATES, ENTRIES = 20_000, 2_000
 
 
