@@ -204,7 +204,7 @@ class Transducer:
                 fresh = np.unique(keys[new]).tolist()
                 if self.filled + len(fresh) > len(self.keys) * 3 // 4:
                     self._grow()
-                    at[open_] = self._slot(keys[open_])
+                    return self._advance(states, symbols)
                 for key in fresh:
                     self._learn(*divmod(key, self.symbols))
             open_ = open_[self.keys[at[open_]] != keys[open_]]
