@@ -35,7 +35,8 @@ def test_broken_markup():
     assert blocks_of("").main == blocks_of("").outside == []
     assert blocks_of("a < b <3").outside == ["a < b <3"]
     assert blocks_of("<p>x<!-- never closed <p>y").outside == ["x"]
-    assert blocks_of('<p title="a>b<c">x</p>').outside[-1] == "x"
+    assert blocks_of('<p title="a>b">x</p>').outside == ["x"]
+    assert blocks_of('<p title="never closed>x</p>').outside == ["x"]
     assert blocks_of("<script>never closed").outside == []
     assert blocks_of("<nav>open<article><p>x</p></article>y").main == ["x"]
     assert blocks_of("</div></p>x &am &bogus;").outside == ["x &am &bogus;"]

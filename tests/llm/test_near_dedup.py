@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from tidemark.llm import queries
+from tidemark.llm import near_dedup, queries
 from tidemark.llm.components import connected_components
 from tidemark.llm.near_dedup import Settings, near_duplicates, without_near_duplicates
 
@@ -20,7 +20,8 @@ class Union:
 
     def find(self, n):
         while self.up[n] != n:
-            n = self.up[n] = self.up[self.up[n]]
+            self.up[n] = self.up[self.up[n]]
+            n = self.up[n]
         return n
 
     def join(self, a, b):
@@ -100,6 +101,30 @@ def test_large_group_of_variants_makes_no_pairs(spark):
     compare(spark, docs, 2)
 
 
+def test_long_lists_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SHARE", 50)
+    chance = random.Random(12)
+    texts = []
+    for _ in range(3):
+        base = [f"w{chance.randrange(3000)}" for _ in range(90)]
+        texts += [varied(chance, base, chance.choice((1, 4, 8, 11))) for _ in range(45)]
+    compare(spark, list(enumerate(texts)), 2)
+
+
+def test_fine_sketch_lets_similar_sets_pass():
+    draws = near_dedup.np.random.Generator(near_dedup.np.random.PCG64(3))
+    for n in (1, 3, 10, 100, 1000, 30_000):
+        lost = 0
+        for _ in range(60):
+            hashes = draws.integers(0, 2**63, n + n // 9, dtype="uint64") * 2 + 1
+            a, b = near_dedup.np.sort(hashes[:n]), near_dedup.np.sort(hashes[n // 9 :])
+            rows = [near_dedup.np.frombuffer(near_dedup.fine_sketch(x), "u1")[None] for x in (a, b)]
+            lost += not near_dedup.fine_enough(*rows, 80)[0]
+        assert lost == 0
+
+
 def test_odd_rows(spark):
     docs = [
         (0, None), (1, ""), (2, " \n\t "), (3, None), (4, "One"), (5, "ONE"), (6, "one two"),
