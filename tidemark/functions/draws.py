@@ -71,17 +71,17 @@ def uniform(drawn: Column, low: float, high: float) -> Column:
 
 
 def pick(drawn: Column, values: Sequence[str]) -> Column:
-    """One of a fixed list of values."""
-    if not values:
-        raise ValueError("no values to pick from")
+    """One of a fixed list of values, as many as a narrow draw can tell apart."""
+    if not 0 < len(values) <= 2**_NARROW_BITS:
+        raise ValueError(f"{len(values)} values to pick from, not 1 to {2**_NARROW_BITS}")
     place = (drawn % F.lit(len(values)) + 1).cast("int")
     return F.element_at(F.array(*map(F.lit, values)), place)
 
 
 def pick_for(drawn: Column, key: Column, values: Mapping[str, Sequence[str]]) -> Column:
     """One of the values listed for the row's own ``key``; null for an unlisted key."""
-    if not all(values.values()):
-        raise ValueError("no values to pick from")
+    if not all(0 < len(items) <= 2**_NARROW_BITS for items in values.values()):
+        raise ValueError(f"a list without values, or with more than {2**_NARROW_BITS}")
     lists = F.create_map(
         *[c for k, items in values.items() for c in (F.lit(k), F.array(*map(F.lit, items)))]
     )

@@ -25,10 +25,13 @@ THROTTLE_SECONDS = 2
 
 
 def offered_rate(properties: str = "") -> int:
-    """Rows per second from the ``concurrency`` and ``throttle`` of a properties text."""
+    """Rows per second from the ``concurrency`` and ``throttle`` of a properties text.
+
+    At least what they ask for: a fraction is rounded up.
+    """
     given = read_properties(properties)
     records = int(given.get("concurrency", CONCURRENCY))
-    return max(1, records // int(given.get("throttle", THROTTLE_SECONDS)))
+    return max(1, -(-records // int(given.get("throttle", THROTTLE_SECONDS))))
 
 
 def feed_messages(
