@@ -7,10 +7,11 @@ at least ``least`` of ``coordinates`` share a pair among the first ``coordinates
 are skipped unless all of a signature is frequent.
 
 Lists aren't expanded into pairs. First every member is compared with its list's smallest
-class; members that link to it form a group around it. What may be left are links between
-groups of the same list: two groups are compared through their centres, and only if those
-are as close as the groups' radii allow, through the members. Candidates must agree in
-``least`` coordinates, and the full sets confirm every link.
+class. What may be left are links between members of one list that are in different parts
+then. Lists of up to ``SHORT_LIST`` members give those few pairs; longer ones are cut into
+blocks of bounded size, parts kept together, and pairs of blocks that hold more than one
+part are compared as matrices, which give only candidates. Candidates must agree in
+``least`` coordinates and in a second, finer sketch, and the full sets confirm every link.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, bound_batches, stored
+from tidemark.llm.common import arrow_map, prepare_workers, stored
 from tidemark.llm.components import connected_components
 
 #: Bytes: A-Z to a-z, all others as they are.
@@ -32,6 +33,12 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: At most so many coordinate-value pairs count as frequent, whatever the number of documents.
 FREQUENT_PAIRS = 1_000_000
 LEAST_FREQUENT = 8
+#: Members of a list that are compared by a join, of a block of longer lists, and rows of a task's share.
+SHORT_LIST, BLOCK, SHARE = 32, 2048, 16_384
+#: Bins of the finer sketch, a byte each.
+BINS = 256
+#: Standard deviations that estimates may lie under what is asked for.
+DEVIATIONS = 4.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,12 +84,28 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The smallest value of every coordinate's hash function, a bijection of 64 bits."""
+    """32 mixed bits of the smallest value of every coordinate's hash function."""
     least = np.full(len(multipliers), np.iinfo(np.uint64).max)
     for low in range(0, len(hashes), 2048):
         block = hashes[low : low + 2048]
         np.minimum(least, (multipliers[:, None] * block).min(axis=1), out=least)
-    return least
+    return ((least * _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def fine_sketch(hashes: np.ndarray) -> bytes:
+    """A byte of the smallest hash of each bin of hashes, 0 for an empty bin."""
+    bins, first = np.unique((hashes >> np.uint64(56)).astype(np.intp), return_index=True)
+    sketch = np.zeros(BINS, np.uint8)
+    sketch[bins] = (hashes[first] >> np.uint64(24)) % np.uint64(255) + np.uint64(1)
+    return sketch.tobytes()
+
+
+def fine_enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches, a row each, agree as similar sets would but for a rare chance."""
+    both = ((a == b) & (a > 0)).sum(axis=1)
+    filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    share = percent / 100
+    return both / filled >= share - DEVIATIONS * np.sqrt(share * (1 - share) / filled)
 
 
 def _set_digest(hashes: np.ndarray) -> bytes:
@@ -94,7 +117,7 @@ def _set_digest(hashes: np.ndarray) -> bytes:
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
     """``doc_id, text_hash, n_shingles, digest, signature`` of every row; nulls without shingles."""
     given = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    added = "n_shingles long, digest binary, signature array<long>"
+    added = "n_shingles long, digest binary, signature array<int>, sketch binary"
     schema = StructType([*given.schema.fields[:2], *StructType.fromDDL(added).fields])
 
     def sign(batch: pa.RecordBatch) -> dict[str, list]:
@@ -104,8 +127,9 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
             hashes = shingle_hashes(words_of(text.as_py() or ""), settings.words)
             rows["n_shingles"].append(len(hashes))
             rows["digest"].append(_set_digest(hashes) if len(hashes) else None)
-            values = signature(hashes, multipliers).view(np.int64) if len(hashes) else None
+            values = signature(hashes, multipliers) if len(hashes) else None
             rows["signature"].append(values)
+            rows["sketch"].append(fine_sketch(hashes) if len(hashes) else None)
         return rows | {"doc_id": batch.column(0), "text_hash": batch.column(1)}
 
     return arrow_map(given, sign, schema)
@@ -113,7 +137,10 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
 
 def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
     """``token, digest, n`` for the first coordinate-value pairs of every class, rare ones first."""
-    tokens = classes.select(F.explode("signature").alias("token"))
+    # A value of one coordinate is another token than the same value of another one.
+    tokens = classes.select(F.posexplode("signature").alias("at", "value"))
+    low = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    tokens = tokens.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(low).alias("token"))
     total = classes.count() * settings.coordinates
     floor = max(LEAST_FREQUENT, total // FREQUENT_PAIRS)
     frequent = tokens.groupBy("token").count().filter(F.col("count") > floor).collect()
@@ -128,7 +155,8 @@ def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
         known, often = shared.value
         for batch in batches:
             values = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            values = values.reshape(-1, settings.coordinates)
+            values = values.reshape(-1, settings.coordinates).view(np.uint32).astype(np.int64)
+            values |= np.arange(settings.coordinates) << 32
             counts = np.zeros(values.shape, np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
@@ -141,15 +169,38 @@ def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
                 [batch.column(0), batch.column(1), lists], names=schema.names
             )
 
-    bound_batches(classes.sparkSession)
+    prepare_workers(classes.sparkSession)
     chosen = classes.select("digest", "n", "signature").mapInArrow(first, schema)
-    # A class may hold a value under two coordinates.
-    return chosen.select("digest", "n", F.explode(F.array_distinct("tokens")).alias("token"))
+    return chosen.select("digest", "n", F.explode("tokens").alias("token"))
+
+
+#: A table of at most so many short rows may be broadcast; larger ones are joined by shuffles.
+SMALL_ROWS = 200_000
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    """In how many coordinates two signatures agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _broadcast_if_small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+
+
+def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
+def _traits(classes: DataFrame) -> DataFrame:
+    """``digest, signature, sketch``, the signature by a byte of each coordinate.
+
+    One in 256 unequal values agrees by chance.
+    """
+    low = F.transform("signature", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte"))
+    return classes.select("digest", low.alias("signature"), "sketch")
+
+
+def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Equally long lists or byte strings as the rows of a matrix."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 class _Sets:
@@ -158,18 +209,32 @@ class _Sets:
     def __init__(self, docs: DataFrame, classes: DataFrame, settings: Settings):
         self.docs, self.classes, self.settings = docs, classes, settings
 
-    def candidates(self, pairs: DataFrame, least: Column | int) -> DataFrame:
-        """Those of ``pairs`` (a, b and others) whose signatures agree often enough."""
-        ends = self.classes.select("digest", "signature")
-        left = ends.withColumnsRenamed({"digest": "a", "signature": "_left"})
-        right = ends.withColumnsRenamed({"digest": "b", "signature": "_right"})
-        near = pairs.join(left, "a").join(right, "b")
-        return near.filter(_agreement(F.col("_left"), F.col("_right")) >= least).drop(
-            "_left", "_right"
-        )
+    def candidates(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose signatures and sketches agree often enough."""
+        settings = self.settings
+        ends = _traits(self.classes)
+        names = [("a", "_sig_a", "_fine_a"), ("b", "_sig_b", "_fine_b")]
+        for name, signature_, sketch in names:
+            renamed = {"digest": name, "signature": signature_, "sketch": sketch}
+            pairs = pairs.join(ends.withColumnsRenamed(renamed), name)
+        schema = StructType.fromDDL("a binary, b binary")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                left, right = (_matrix(batch.column(k), settings.coordinates, np.int8) for k in (2, 4))
+                fine = [_matrix(batch.column(k), BINS, np.uint8) for k in (3, 5)]
+                keep = (left == right).sum(axis=1) >= settings.least
+                keep &= fine_enough(*fine, settings.percent)
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+        prepare_workers(pairs.sparkSession)
+        columns = ["a", "b", "_sig_a", "_fine_a", "_sig_b", "_fine_b"]
+        return pairs.select(*columns).mapInArrow(near, schema)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, distance`` for those of ``pairs`` that are similar enough on their full sets."""
+        """Those of ``pairs`` (a, b) that are similar enough on their full sets."""
         percent = self.settings.percent
         pairs = stored(pairs.select("a", "b"), "candidates")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
@@ -183,13 +248,14 @@ class _Sets:
         )
         union = F.col("sizes") - F.col("common")
         similar = counted.filter(100 * F.col("common").cast("long") >= percent * union.cast("long"))
-        return similar.select("a", "b", (1 - F.col("common") / union).alias("distance"))
+        return similar.select("a", "b")
 
     def _sets(self, needed: DataFrame) -> DataFrame:
         """The sets of classes, made anew from one document's text each."""
         wanted = self.classes.join(needed, "digest").select(
             F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")
         )
+        wanted = _broadcast_if_small(stored(wanted, "wanted"))
         texts = self.docs.select("doc_id", "text")
         chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "_digest")
         schema = StructType.fromDDL("digest binary, hashes array<long>")
@@ -214,63 +280,107 @@ def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame
     sets = _Sets(docs, classes, settings)
     lists = _postings(classes, settings)
     heads = lists.groupBy("token").agg(
-        F.min("digest").alias("head"), F.count("*").alias("members")
+        F.min(F.struct("digest", "n")).alias("head"), F.count("*").alias("members")
     )
     lists = stored(lists.join(heads.filter("members > 1"), "token"), "lists")
+    alike = _sizes_allow(F.col("n"), F.col("head.n"), settings.percent)
     stars = (
-        lists.filter(F.col("digest") != F.col("head"))
-        .groupBy(F.col("head").alias("a"), F.col("digest").alias("b"))
-        .agg(F.lit(1).alias("_one"))
-    )
-    near = stored(sets.confirmed(sets.candidates(stars, settings.least)), "links")
-    groups = near.groupBy(F.col("b").alias("digest")).agg(
-        F.min(F.struct("distance", "a")).alias("_nearest")
+        lists.filter((F.col("digest") != F.col("head.digest")) & alike)
+        .select(F.col("head.digest").alias("a"), F.col("digest").alias("b"))
+        .distinct()
     )
-    groups = groups.select("digest", F.col("_nearest.a").alias("centre"), "_nearest.distance")
+    near = stored(sets.confirmed(sets.candidates(stars)), "links")
     parts = connected_components(near).withColumnsRenamed({"node": "digest", "component": "part"})
-    members = classes.select("digest").join(groups, "digest", "left").join(parts, "digest", "left")
-    members = stored(
-        members.select(
-            "digest",
-            F.coalesce("centre", "digest").alias("centre"),
-            F.coalesce("distance", F.lit(0.0)).alias("distance"),
-            F.coalesce("part", "digest").alias("part"),
-        ),
-        "members",
-    )
     # Lists of two were compared in full; lists inside one part have nothing left to find.
-    open_lists = stored(
-        lists.filter("members > 2").select("token", "digest").join(members, "digest"), "open"
-    )
-    mixed = (
-        open_lists.groupBy("token")
-        .agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
-        .filter("_low <> _high")
-        .select("token")
-    )
-    open_lists = stored(open_lists.join(mixed, "token"), "open")
-    radii = members.groupBy("centre").agg(F.max("distance").alias("radius"))
-    centres = open_lists.select("token", "centre", "part").distinct()
-    other = centres.withColumnsRenamed({"centre": "b", "part": "_part"})
-    pairs = centres.withColumnRenamed("centre", "a").join(other, "token")
-    pairs = pairs.filter("a < b AND part <> _part").select("a", "b").distinct()
-    pairs = pairs.join(radii.withColumnsRenamed({"centre": "a", "radius": "_ra"}), "a")
-    pairs = pairs.join(radii.withColumnsRenamed({"centre": "b", "radius": "_rb"}), "b")
-    # Distance obeys the triangle inequality, so members of far centres can't be near.
-    reach = F.greatest(
-        F.lit(settings.percent / 100) - F.col("_ra") - F.col("_rb"), F.lit(0.0)
+    longer = lists.filter("members > 2").select("token", "members", "digest", "n")
+    longer = longer.join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
+    longer = stored(longer, "open")
+    mixed = longer.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
+    longer = stored(longer.join(mixed.filter("_low <> _high").select("token"), "token"), "open")
+    rest = _short_lists(longer.filter(F.col("members") <= SHORT_LIST), settings)
+    rest = sets.candidates(rest.join(near, ["a", "b"], "left_anti"))
+    rest = rest.union(_long_lists(longer.filter(F.col("members") > SHORT_LIST), classes, settings))
+    return near.union(sets.confirmed(rest.distinct()))
+
+
+def _short_lists(lists: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of a list's members in different parts; some ten for each member at most."""
+    left = lists.select("token", F.col("digest").alias("a"), F.col("n").alias("_n"), F.col("part").alias("_part"))
+    right = lists.select("token", F.col("digest").alias("b"), "n", "part")
+    pairs = left.join(right, "token").filter("a < b AND part <> _part")
+    return pairs.filter(_sizes_allow(F.col("n"), F.col("_n"), settings.percent)).select("a", "b").distinct()
+
+
+def _long_lists(lists: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Candidates (a, b) among a list's members in different parts, found block by block.
+
+    A block holds some ``BLOCK`` members; a part that has more has blocks of its own, and two
+    blocks of the same single part aren't compared. Tasks get shares of some ``SHARE`` rows.
+    """
+    rows = stored(lists, "long")
+    parts = rows.groupBy("token", "part").agg(F.count("*").alias("_count"))
+    spread = F.ceil(F.col("_count") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("digest"), spread)
+    among = F.pmod(F.xxhash64("part"), F.ceil(F.col("members") / BLOCK).cast("int"))
+    alone = F.xxhash64(F.lit("part"), "part", own)
+    rows = rows.join(parts, ["token", "part"]).withColumn(
+        "block", F.when(F.col("_count") > BLOCK, alone).otherwise(F.xxhash64(F.lit("all"), among))
     )
-    deviation = F.sqrt(settings.coordinates * reach * (1 - reach))
-    bound = F.least(F.lit(settings.least), settings.coordinates * reach - 4.1 * deviation)
-    close = stored(sets.candidates(pairs, bound).select("a", "b"), "centres")
-    own = open_lists.select("token", "centre", "digest")
-    left = own.select("token", F.col("centre").alias("a"), F.col("digest").alias("_a"))
-    right = own.select("token", F.col("centre").alias("b"), F.col("digest").alias("_b"))
-    rest = close.join(left, "a").join(right, ["token", "b"])
-    rest = rest.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
-    rest = rest.join(near.select("a", "b"), ["a", "b"], "left_anti")
-    found = sets.confirmed(sets.candidates(rest, settings.least))
-    return near.select("a", "b").union(found.select("a", "b"))
+    rows = stored(rows.select("token", "block", "digest", "n", "part"), "blocks")
+    blocks = rows.groupBy("token", "block").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    other = blocks.withColumnsRenamed({"block": "other", "low": "_low", "high": "_high"})
+    one_part = (F.col("low") == F.col("high")) & (F.col("_low") == F.col("_high")) & (F.col("low") == F.col("_low"))
+    meetings = blocks.join(other, "token").filter((F.col("block") <= F.col("other")) & ~one_part)
+    meetings = meetings.select("token", "block", "other", F.xxhash64("token", "block", "other").alias("meeting"))
+    sides = meetings.select("token", "block", "meeting", F.lit(True).alias("first"))
+    second = meetings.select("token", F.col("other").alias("block"), "meeting", F.lit(False).alias("first"))
+    placed = rows.join(sides.union(second.join(sides, ["token", "block", "meeting"], "left_anti")), ["token", "block"])
+    placed = stored(placed.join(_traits(classes), "digest"), "meetings")
+    shares = max(1, placed.count() // SHARE)
+    share = F.pmod(F.xxhash64("meeting"), F.lit(shares))
+    schema = StructType.fromDDL("a binary, b binary")
+
+    def compare(share_rows: pa.Table) -> pa.Table:
+        found: list[tuple[bytes, bytes]] = []
+        order = share_rows.sort_by("meeting")
+        edges = np.flatnonzero(np.diff(order.column("meeting").to_numpy())) + 1
+        for low, high in zip([0, *edges], [*edges, order.num_rows], strict=True):
+            found += _meet(order.slice(low, high - low), settings)
+        pairs = [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)]
+        return pa.Table.from_arrays(pairs, names=["a", "b"])
+
+    columns = ["meeting", "first", "digest", "n", "part", "signature", "sketch"]
+    shared = placed.select(share.alias("share"), *columns).groupBy("share")
+    return shared.applyInArrow(compare, schema).distinct()
+
+
+def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
+    """Candidates among the members of one block, or between those of two."""
+    rows = rows.combine_chunks()
+    digests = rows.column("digest").to_pylist()
+    sizes = rows.column("n").to_numpy()
+    _, part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)
+    sketches = _matrix(rows.column("sketch").chunk(0), BINS, np.uint8)
+    signatures = _matrix(rows.column("signature").chunk(0), settings.coordinates, np.int8)
+    first = rows.column("first").to_numpy()
+    left = np.flatnonzero(first)
+    right = left if first.all() else np.flatnonzero(~first)
+    found = []
+    for low in range(0, len(left), 256):
+        some = left[low : low + 256]
+        agree = np.zeros((len(some), len(right)), np.int16)
+        for k in range(settings.coordinates):
+            agree += signatures[some, k][:, None] == signatures[right, k][None, :]
+        small, large = sizes[some][:, None], sizes[right][None, :]
+        fits = (100 * small >= settings.percent * large) & (100 * large >= settings.percent * small)
+        fits &= (part[some][:, None] != part[right][None, :]) & (agree >= settings.least)
+        i, j = np.nonzero(fits)
+        for at in range(0, len(i), 8192):
+            a, b = some[i[at : at + 8192]], right[j[at : at + 8192]]
+            keep = fine_enough(sketches[a], sketches[b], settings.percent)
+            pairs = zip(a[keep].tolist(), b[keep].tolist(), strict=True)
+            found += [tuple(sorted((digests[x], digests[y]))) for x, y in pairs]
+    return list(set(found))
 
 
 def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -279,20 +389,13 @@ def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
     ``component`` is the digest that names the row's component, null without shingles.
     """
     rows = stored(_signed(docs, settings), "signed")
-    classes = stored(
-        rows.filter("digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(
-            F.min("doc_id").alias("doc_id"),
-            F.first("n_shingles").alias("n"),
-            F.first("signature").alias("signature"),
-        ),
-        "classes",
-    )
+    named = rows.filter("digest IS NOT NULL").groupBy("digest")
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), *((x, x) for x in ("signature", "sketch")))]
+    classes = stored(named.agg(F.min("doc_id").alias("doc_id"), *first), "classes")
     parts = connected_components(_links(docs, classes, settings))
     moved = parts.filter("node <> component").withColumnRenamed("node", "digest")
     return (
-        rows.drop("signature")
+        rows.drop("signature", "sketch")
         .join(moved, "digest", "left")
         .withColumn("component", F.coalesce("component", "digest"))
     )
@@ -337,7 +440,7 @@ def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) ->
     decided = placed.filter("NOT stays OR rows > 1").select(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "stays"
     )
-    decided = stored(decided, "decided")
+    decided = _broadcast_if_small(stored(decided, "decided"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     untouched = docs.join(decided, same, "left_anti")
     repeated = docs.join(decided.filter("stays"), same).select(*docs.columns, "_hash")
