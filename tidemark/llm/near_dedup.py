@@ -10,7 +10,9 @@ Lists aren't expanded into pairs. First every member is compared with its list's
 class. What may be left are links between members of one list that are in different parts
 then. Lists of up to ``SHORT_LIST`` members give those few pairs; longer ones are cut into
 blocks of bounded size, parts kept together, and pairs of blocks that hold more than one
-part are compared as matrices, which give only candidates. Candidates must agree in
+part are compared as matrices. These give at first only a spanning forest of the likeliest
+candidates, so that a large group of variants is joined by as many pairs as it has members;
+what candidates then remain between different parts are all given. Candidates must agree in
 ``least`` coordinates and in a second, finer sketch, and the full sets confirm every link.
 """
 
@@ -143,10 +145,10 @@ def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
     tokens = tokens.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(low).alias("token"))
     total = classes.count() * settings.coordinates
     floor = max(LEAST_FREQUENT, total // FREQUENT_PAIRS)
-    frequent = tokens.groupBy("token").count().filter(F.col("count") > floor).collect()
-    frequent.sort()
-    known = np.array([r[0] for r in frequent], np.int64)
-    often = np.array([r[1] for r in frequent], np.int64)
+    frequent = tokens.groupBy("token").count().filter(F.col("count") > floor).toArrow()
+    known, often = (frequent.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(known)
+    known, often = known[order], often[order]
     shared = classes.sparkSession.sparkContext.broadcast((known, often))
     schema = StructType.fromDDL("digest binary, n long, tokens array<long>")
     prefix = settings.coordinates - settings.least + 1
@@ -290,17 +292,28 @@ def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame
         .distinct()
     )
     near = stored(sets.confirmed(sets.candidates(stars)), "links")
-    parts = connected_components(near).withColumnsRenamed({"node": "digest", "component": "part"})
-    # Lists of two were compared in full; lists inside one part have nothing left to find.
-    longer = lists.filter("members > 2").select("token", "members", "digest", "n")
-    longer = longer.join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
-    longer = stored(longer, "open")
-    mixed = longer.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
-    longer = stored(longer.join(mixed.filter("_low <> _high").select("token"), "token"), "open")
-    rest = _short_lists(longer.filter(F.col("members") <= SHORT_LIST), settings)
-    rest = sets.candidates(rest.join(near, ["a", "b"], "left_anti"))
-    rest = rest.union(_long_lists(longer.filter(F.col("members") > SHORT_LIST), classes, settings))
-    return near.union(sets.confirmed(rest.distinct()))
+    # Lists of two were compared in full.
+    longer = stored(_mixed(lists.filter("members > 2"), near), "open")
+    short = _short_lists(longer.filter(F.col("members") <= SHORT_LIST), settings)
+    short = sets.candidates(short.join(near, ["a", "b"], "left_anti"))
+    long = longer.filter(F.col("members") > SHORT_LIST)
+    likely = _long_lists(long, classes, settings, forest=True)
+    tried = stored(short.union(likely).distinct(), "tried")
+    near = stored(near.union(sets.confirmed(tried)), "links")
+    rest = _long_lists(_mixed(long.drop("part"), near), classes, settings, forest=False)
+    return near.union(sets.confirmed(rest.join(tried, ["a", "b"], "left_anti")))
+
+
+def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``token, members, digest, n, part`` of the lists whose members are in several parts.
+
+    A list inside one part has nothing left to find.
+    """
+    parts = connected_components(links).withColumnsRenamed({"node": "digest", "component": "part"})
+    rows = lists.select("token", "members", "digest", "n").join(parts, "digest", "left")
+    rows = stored(rows.withColumn("part", F.coalesce("part", "digest")), "open")
+    ends = rows.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
+    return rows.join(ends.filter("_low <> _high").select("token"), "token")
 
 
 def _short_lists(lists: DataFrame, settings: Settings) -> DataFrame:
@@ -311,9 +324,13 @@ def _short_lists(lists: DataFrame, settings: Settings) -> DataFrame:
     return pairs.filter(_sizes_allow(F.col("n"), F.col("_n"), settings.percent)).select("a", "b").distinct()
 
 
-def _long_lists(lists: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+def _long_lists(
+    lists: DataFrame, classes: DataFrame, settings: Settings, *, forest: bool
+) -> DataFrame:
     """Candidates (a, b) among a list's members in different parts, found block by block.
 
+    With ``forest`` only so many that they join the same members, the likeliest ones.
+
     A block holds some ``BLOCK`` members; a part that has more has blocks of its own, and two
     blocks of the same single part aren't compared. Tasks get shares of some ``SHARE`` rows.
     """
@@ -345,7 +362,7 @@ def _long_lists(lists: DataFrame, classes: DataFrame, settings: Settings) -> Dat
         order = share_rows.sort_by("meeting")
         edges = np.flatnonzero(np.diff(order.column("meeting").to_numpy())) + 1
         for low, high in zip([0, *edges], [*edges, order.num_rows], strict=True):
-            found += _meet(order.slice(low, high - low), settings)
+            found += _meet(order.slice(low, high - low), settings, forest)
         pairs = [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)]
         return pa.Table.from_arrays(pairs, names=["a", "b"])
 
@@ -354,7 +371,7 @@ def _long_lists(lists: DataFrame, classes: DataFrame, settings: Settings) -> Dat
     return shared.applyInArrow(compare, schema).distinct()
 
 
-def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
+def _meet(rows: pa.Table, settings: Settings, forest: bool) -> list[tuple[bytes, bytes]]:
     """Candidates among the members of one block, or between those of two."""
     rows = rows.combine_chunks()
     digests = rows.column("digest").to_pylist()
@@ -365,7 +382,8 @@ def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
     first = rows.column("first").to_numpy()
     left = np.flatnonzero(first)
     right = left if first.all() else np.flatnonzero(~first)
-    found = []
+    joined = _Joined(int(part.max()) + 1)
+    found: list[tuple[int, int]] = []
     for low in range(0, len(left), 256):
         some = left[low : low + 256]
         agree = np.zeros((len(some), len(right)), np.int16)
@@ -375,12 +393,33 @@ def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
         fits = (100 * small >= settings.percent * large) & (100 * large >= settings.percent * small)
         fits &= (part[some][:, None] != part[right][None, :]) & (agree >= settings.least)
         i, j = np.nonzero(fits)
-        for at in range(0, len(i), 8192):
-            a, b = some[i[at : at + 8192]], right[j[at : at + 8192]]
+        # Those that agree most first.
+        order = np.argsort(-agree[i, j], kind="stable")
+        for at in range(0, len(order), 8192):
+            a, b = some[i[order[at : at + 8192]]], right[j[order[at : at + 8192]]]
             keep = fine_enough(sketches[a], sketches[b], settings.percent)
             pairs = zip(a[keep].tolist(), b[keep].tolist(), strict=True)
-            found += [tuple(sorted((digests[x], digests[y]))) for x, y in pairs]
-    return list(set(found))
+            found += [p for p in pairs if not forest or joined.join(part[p[0]], part[p[1]])]
+    return list({tuple(sorted((digests[x], digests[y]))) for x, y in found})
+
+
+class _Joined:
+    """Which of a block's parts its candidates have joined so far."""
+
+    def __init__(self, count: int):
+        self.up = list(range(count))
+
+    def _end(self, node: int) -> int:
+        while self.up[node] != node:
+            self.up[node] = self.up[self.up[node]]
+            node = self.up[node]
+        return node
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether this joins two that were apart."""
+        a, b = self._end(a), self._end(b)
+        self.up[b] = a
+        return a != b
 
 
 def _judged(docs: DataFrame, settings: Settings) -> DataFrame:
