@@ -121,7 +121,8 @@ def test_fine_sketch_lets_similar_sets_pass():
             hashes = draws.integers(0, 2**63, n + n // 9, dtype="uint64") * 2 + 1
             a, b = near_dedup.np.sort(hashes[:n]), near_dedup.np.sort(hashes[n // 9 :])
             rows = [near_dedup.np.frombuffer(near_dedup.fine_sketch(x), "u1")[None] for x in (a, b)]
-            lost += not near_dedup.fine_enough(*rows, 80)[0]
+            sizes = [near_dedup.np.array([n])] * 2
+            lost += not near_dedup.fine_enough(*rows, *sizes, 80)[0]
         assert lost == 0
 
 

@@ -102,12 +102,21 @@ def fine_sketch(hashes: np.ndarray) -> bytes:
     return sketch.tobytes()
 
 
-def fine_enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches, a row each, agree as similar sets would but for a rare chance."""
+def fine_enough(
+    a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int
+) -> np.ndarray:
+    """Whether sketches, a row each, agree as similar sets would but for a rare chance.
+
+    The filled bins are a sample of the union without replacement, so the fewer shingles
+    there are for each bin, the surer the estimate.
+    """
     both = ((a == b) & (a > 0)).sum(axis=1)
     filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
     share = percent / 100
-    return both / filled >= share - DEVIATIONS * np.sqrt(share * (1 - share) / filled)
+    union = (sizes_a + sizes_b) / (1 + share)
+    left_out = np.maximum(1 - filled / np.maximum(union, 1), 0.1)
+    deviation = np.sqrt(share * (1 - share) / filled * left_out)
+    return both / filled >= share - DEVIATIONS * deviation
 
 
 def _set_digest(hashes: np.ndarray) -> bytes:
@@ -190,12 +199,12 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 
 def _traits(classes: DataFrame) -> DataFrame:
-    """``digest, signature, sketch``, the signature by a byte of each coordinate.
+    """``digest, signature, sketch, n``, the signature by a byte of each coordinate.
 
     One in 256 unequal values agrees by chance.
     """
     low = F.transform("signature", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("byte"))
-    return classes.select("digest", low.alias("signature"), "sketch")
+    return classes.select("digest", low.alias("signature"), "sketch", "n")
 
 
 def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -215,9 +224,9 @@ class _Sets:
         """Those of ``pairs`` (a, b) whose signatures and sketches agree often enough."""
         settings = self.settings
         ends = _traits(self.classes)
-        names = [("a", "_sig_a", "_fine_a"), ("b", "_sig_b", "_fine_b")]
-        for name, signature_, sketch in names:
-            renamed = {"digest": name, "signature": signature_, "sketch": sketch}
+        for name in "ab":
+            traits = ("signature", "sketch", "n")
+            renamed = {"digest": name} | {x: f"_{x}_{name}" for x in traits}
             pairs = pairs.join(ends.withColumnsRenamed(renamed), name)
         schema = StructType.fromDDL("a binary, b binary")
 
@@ -228,11 +237,12 @@ class _Sets:
                 left, right = (_matrix(batch.column(k), settings.coordinates, np.int8) for k in (2, 4))
                 fine = [_matrix(batch.column(k), BINS, np.uint8) for k in (3, 5)]
                 keep = (left == right).sum(axis=1) >= settings.least
-                keep &= fine_enough(*fine, settings.percent)
+                sizes = (batch.column(k).to_numpy() for k in (6, 7))
+                keep &= fine_enough(*fine, *sizes, settings.percent)
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
         prepare_workers(pairs.sparkSession)
-        columns = ["a", "b", "_sig_a", "_fine_a", "_sig_b", "_fine_b"]
+        columns = ["a", "b", *(f"_{x}_{y}" for y in "ab" for x in ("signature", "sketch")), "_n_a", "_n_b"]
         return pairs.select(*columns).mapInArrow(near, schema)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -352,7 +362,7 @@ def _long_lists(
     sides = meetings.select("token", "block", "meeting", F.lit(True).alias("first"))
     second = meetings.select("token", F.col("other").alias("block"), "meeting", F.lit(False).alias("first"))
     placed = rows.join(sides.union(second.join(sides, ["token", "block", "meeting"], "left_anti")), ["token", "block"])
-    placed = stored(placed.join(_traits(classes), "digest"), "meetings")
+    placed = stored(placed.join(_traits(classes).drop("n"), "digest"), "meetings")
     shares = max(1, placed.count() // SHARE)
     share = F.pmod(F.xxhash64("meeting"), F.lit(shares))
     schema = StructType.fromDDL("a binary, b binary")
@@ -397,7 +407,7 @@ def _meet(rows: pa.Table, settings: Settings, forest: bool) -> list[tuple[bytes,
         order = np.argsort(-agree[i, j], kind="stable")
         for at in range(0, len(order), 8192):
             a, b = some[i[order[at : at + 8192]]], right[j[order[at : at + 8192]]]
-            keep = fine_enough(sketches[a], sketches[b], settings.percent)
+            keep = fine_enough(sketches[a], sketches[b], sizes[a], sizes[b], settings.percent)
             pairs = zip(a[keep].tolist(), b[keep].tolist(), strict=True)
             found += [p for p in pairs if not forest or joined.join(part[p[0]], part[p[1]])]
     return list({tuple(sorted((digests[x], digests[y]))) for x, y in found})
