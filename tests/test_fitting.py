@@ -12,7 +12,7 @@ from tidemark.operators.fitting import alerts_per, fit_moments
 
 def test_moments_of_what_parses(spark):
     texts = ["1.5", "2.5", "x", None, "9", "4", ""]
-    rows = spark.createDataFrame([(k % 2, t) for k, t in enumerate(texts)], "a.b int, amt string")
+    rows = spark.createDataFrame([(k % 2, t) for k, t in enumerate(texts)], "`a.b` int, amt string")
     got = fit_moments(rows, "amt").first()
     values = [1.5, 2.5, 9.0, 4.0]
     assert got.n == 4
