@@ -43,6 +43,20 @@ def test_broken_markup():
     assert blocks_of("<p>" * 50_000 + "x" + '<a "' * 20_000).outside[0].startswith("x")
 
 
+def test_only_exact_attributes_rule_out():
+    for kept in (
+        'style="overflow:hidden"', 'aria-hidden="false"', 'data-id="ad"', 'title="x hidden"',
+        'id="related-work"', 'class="search-trees social-history"', "data-x='class=\"ad\"'",
+    ):
+        assert blocks_of(f"<article><div {kept}>x</div></article>").main == ["x"], kept
+        assert blocks_of(f"<article {kept}>x</article>").main == ["x"], kept
+    for dropped in ("hidden", "HIDDEN/", 'class="a comments"', "id=share", "ROLE = 'ad'"):
+        found = blocks_of(f"<article>x<div {dropped}>y</div></article>")
+        assert found.main == ["x"], dropped
+    assert blocks_of('<body style="overflow-x:hidden" class="no-sidebar">x</body>').outside == ["x"]
+    assert blocks_of('<body><div class="post-footer">y</div>x</body>').outside == ["x"]
+
+
 def longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

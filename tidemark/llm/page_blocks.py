@@ -34,9 +34,11 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>",
     re.S,
 )
+#: Name and value of an attribute; a quoted text without a name gives neither.
 ATTRIBUTE = re.compile(
-    r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I
+    r"\"[^\"]*\"|'[^']*'|([^\s\"'=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?"
 )
+NAMED = frozenset(("class", "id", "role"))
 
 
 @dataclass
@@ -47,11 +49,25 @@ class Blocks:
     outside: list[str] = field(default_factory=list)
 
 
-def _ruled_out(name: str, attributes: str) -> bool:
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
+def _ruled_out(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's attributes say that it is hidden, or that it surrounds articles.
+
+    Articles and what is in them need a whole word (``related``, not ``related-work``); the
+    page as a whole surrounds nothing.
+    """
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
-    for _, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-        if hidden or MARKED.search(a or b or c):
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key == "hidden":
+            return True
+        if key not in NAMED or name in ("html", "body"):
+            continue
+        value = a or b or c
+        if inside or name in MAIN:
+            if any(MARKED.fullmatch(word) for word in value.split()):
+                return True
+        elif MARKED.search(value):
             return True
     return False
 
@@ -96,7 +112,9 @@ def blocks_of(page: str) -> Blocks:
             at = raw_end.end() if raw_end else len(page)
             continue
         else:
-            out = name in SKIPPED or name == "header" and not inside or _ruled_out(name, match[3])
+            out = name in SKIPPED or name == "header" and not inside or _ruled_out(
+                name, match[3], inside
+            )
             begins = name in MAIN and not out
             # An article ends whatever was left open before it.
             stack.append((name, out or skipped and not begins, inside or begins))
