@@ -54,6 +54,25 @@ def test_shards_and_query_blocks_are_merged(spark, monkeypatch):
     assert recall(rows, vectors, range(0, 900, 45)) >= 0.95
 
 
+def test_copies_tie_by_id(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 400)
+    draws = np.random.Generator(np.random.PCG64(7))
+    hot = draws.normal(size=6).tolist()
+    # Shuffled, so that small ids are nowhere near each other.
+    places = draws.permutation(1200).tolist()
+    vectors = [(k, hot if p % 3 == 0 else draws.normal(size=6).tolist()) for k, p in enumerate(places)]
+    # An id of its own copies only, and one that stands beside others.
+    vectors += [(5000, [9.0] * 6)] * 12 + [(5001, [9.0] * 5 + [8.0])] * 12
+    frame = spark.createDataFrame([(*v, 0) for v in vectors], VECTORS)
+    copies = [k for k, v in vectors if v is hot]
+    asked = [*copies[:3], copies[-1], 5000]
+    rows = nearest_neighbours(frame, frame.filter(frame.vec_id.isin(asked))).collect()
+    for q in asked[:-1]:
+        own = sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == q)
+        assert own == [(n, i, 0.0) for n, i in enumerate([c for c in copies if c != q][:10], 1)]
+    assert [r.vec_id for r in rows if r.query_id == 5000] == [5001] * 10
+
+
 def test_clumps_stay_reachable():
     draws = np.random.Generator(np.random.PCG64(6))
     clumps = [c + draws.normal(scale=1e-4, size=(400, 16)) for c in draws.normal(size=(5, 16))]

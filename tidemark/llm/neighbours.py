@@ -20,7 +20,10 @@ SHARD_ROWS, SHARD_BYTES = 8192, 8 << 20
 #: Bytes of query vectors that every task gets at a time.
 QUERY_BYTES = 8 << 20
 BLOCK = 256
-INDEX = "shard int, dim int, ids binary, vectors binary, layers array<struct<size:int,links:binary>>"
+INDEX = (
+    "shard int, dim int, ids binary, ends binary, vectors binary,"
+    " layers array<struct<size:int,links:binary>>"
+)
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -35,13 +38,29 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(sound & F.exists("embedding", lambda x: x != 0))
 
 
-def build_index(vectors: DataFrame) -> DataFrame:
+def equal_groups(vectors: DataFrame, k: int) -> DataFrame:
+    """``ids, embedding``: every vector once, with the smallest ids that have it.
+
+    There are the ``k + 1`` smallest ids in order, each as often as it repeats but ``k`` times
+    at most: more can't be among ``k`` hits, one of the ids being the query's own. The limit
+    applies before rows are dealt out, so a vector that most rows share is no hot key.
+    """
+    counted = usable(vectors).groupBy("embedding", "vec_id").agg(F.count("*").alias("copies"))
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    ranked = counted.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= k + 1)
+    copies = F.least("copies", F.lit(k)).cast("int").alias("copies")
+    ids = F.sort_array(F.collect_list(F.struct("vec_id", copies)))
+    repeated = F.flatten(F.transform(ids, lambda x: F.array_repeat(x.vec_id, x.copies)))
+    return ranked.groupBy("embedding").agg(repeated.alias("ids")).select("ids", "embedding")
+
+
+def build_index(groups: DataFrame) -> DataFrame:
     """One row per shard and dimension: ids, vectors, and the graph as flat neighbour arrays.
 
-    Rows are dealt out evenly, so no key can be hot. The index is stored.
+    ``groups`` are ``ids, embedding``; ``ends`` tells where each one's ids end. Rows are dealt
+    out evenly, so no key can be hot. The index is stored.
     """
-    rows = usable(vectors)
-    count, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    count, dim = groups.agg(F.count("*"), F.max(F.size("embedding"))).first()
     size = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (dim or 1))))
     shards = max(1, -(-count // size))
 
@@ -50,15 +69,14 @@ def build_index(vectors: DataFrame) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, list] = defaultdict(list)
         for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for ids, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 vector = v.values.to_numpy(zero_copy_only=False)
-                by_dim[len(vector)].append((k, vector))
+                by_dim[len(vector)].append((ids, vector))
         made = []
         for dim, members in sorted(by_dim.items()):
-            ids = np.array([m[0] for m in members], np.int64)
             values = np.array([m[1] for m in members], np.float64)
             # Levels are drawn from the place in the shard, so a repeated task draws the same.
-            draws = np.random.Generator(np.random.PCG64(dim)).random(len(ids))
+            draws = np.random.Generator(np.random.PCG64(dim)).random(len(values))
             levels = np.floor(-np.log(1 - draws) / np.log(LINKS)).astype(int)
             order = np.argsort(-levels, kind="stable")
             graph = build(values[order], levels[order])
@@ -66,22 +84,28 @@ def build_index(vectors: DataFrame) -> DataFrame:
                 {"size": len(nodes), "links": links.astype("<i4").tobytes()}
                 for nodes, links in graph.layers
             ]
-            made.append((dim, ids[order].tobytes(), values[order].tobytes(), layers))
+            own = [members[k][0] for k in order]
+            ids, ends = np.concatenate(own), np.cumsum([len(x) for x in own])
+            parts = [x.tobytes() for x in (ids.astype(np.int64), ends, values[order])]
+            made.append((dim, *parts, layers))
         shard = TaskContext.get().partitionId()
-        columns = [[shard] * len(made), *map(list, zip(*made, strict=True))] if made else [[]] * 5
+        columns = [[shard] * len(made), *map(list, zip(*made, strict=True))] if made else [[]] * 6
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
         arrays = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
-    prepare_workers(vectors.sparkSession)
-    return stored(rows.repartition(shards).mapInArrow(index, schema), "index")
+    prepare_workers(groups.sparkSession)
+    return stored(groups.repartition(shards).mapInArrow(index, schema), "index")
 
 
 class _Shard:
-    def __init__(self, dim: int, ids: bytes, vectors: bytes, layers: list[dict]):
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, dim: int, ids: bytes, ends: bytes, vectors: bytes, layers: list[dict]):
+        self.ids, self.ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
+        self.starts = np.r_[0, self.ends[:-1]]
+        #: Whether all ids of a vector are the same one.
+        self.sole = self.ids[self.starts] == self.ids[self.ends - 1]
         self.values = np.frombuffer(vectors, np.float64).reshape(-1, dim)
         self.points = Points(self.values)
         flat = [np.frombuffer(x["links"], "<i4").reshape(x["size"], -1) for x in layers]
@@ -90,20 +114,30 @@ class _Shard:
     def search(
         self, query_ids: np.ndarray, queries: np.ndarray, k: int, width: int
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query ids, ids and exact distances of up to ``k`` near vectors of each query."""
-        if len(self.ids) <= width:
-            found = np.tile(np.arange(len(self.ids)), (len(queries), 1))
+        """Query ids, ids and exact distances of up to ``k`` near rows of each query."""
+        if len(self.ends) <= width:
+            found = np.tile(np.arange(len(self.ends)), (len(queries), 1))
         else:
             found = self.graph.search(self.points, queries.astype(np.float32), width)
-        ids = np.where(found >= 0, self.ids[found], np.iinfo(np.int64).max)
         gaps = np.sqrt(((self.values[found] - queries[:, None, :]) ** 2).sum(axis=2))
-        own = (found < 0) | (ids == query_ids[:, None])
+        first = self.ids[self.starts[found]]
+        own = (found < 0) | self.sole[found] & (first == query_ids[:, None])
         gaps = np.where(own, np.inf, gaps)
-        order = np.lexsort((ids, gaps), axis=1)[:, :k]
-        rows = np.arange(len(queries))[:, None]
-        taken = ~own[rows, order]
-        who = np.broadcast_to(query_ids[:, None], order.shape)
-        return who[taken], ids[rows, order][taken], gaps[rows, order][taken]
+        # Each of the k nearest vectors, and of those that tie with them, has a row at least.
+        last = min(k, gaps.shape[1]) - 1
+        taken = ~own & (gaps <= np.partition(gaps, last, axis=1)[:, last : last + 1])
+        who, _ = np.nonzero(taken)
+        spot, gap = found[taken], gaps[taken]
+        counts = self.ends[spot] - self.starts[spot]
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids = self.ids[np.repeat(self.starts[spot], counts) + nth]
+        who, gap = np.repeat(who, counts), np.repeat(gap, counts)
+        other = ids != query_ids[who]
+        who, ids, gap = who[other], ids[other], gap[other]
+        order = np.lexsort((ids, gap, who))
+        who, ids, gap = who[order], ids[order], gap[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        return query_ids[who[rank < k]], ids[rank < k], gap[rank < k]
 
 
 def _hits(index: DataFrame, queries: list, k: int, width: int) -> DataFrame:
@@ -143,12 +177,12 @@ def nearest_neighbours(
     candidate. Every shard's graph is searched with a beam of ``width``; shards no larger
     than that are compared whole, so few vectors give all candidates. Rows with a null id or
     a vector that is null, empty, zero or has null or non-finite components take no part;
-    vectors of another dimension are no candidates. Repeated vectors are candidates each; an
-    id that is queried repeatedly is searched once, by its smallest vector.
+    vectors of another dimension are no candidates. Equal vectors are searched as one and are
+    candidates each, so that any number of copies ties by vec_id; an id that is queried repeatedly is searched once, by its smallest vector.
 
     Queries reach the tasks in blocks of at most about ``QUERY_BYTES``, one after another.
     """
-    index = build_index(vectors)
+    index = build_index(stored(equal_groups(vectors, k), "groups"))
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = stored(asked, "queries")
     size = asked.agg(F.sum(8 * F.size("embedding"))).first()[0] or 0
