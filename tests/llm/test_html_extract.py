@@ -95,6 +95,19 @@ def test_nearest_url_decides_what_is_shared(spark):
     assert texts(spark, pages) == expected
 
 
+def paragraphs(*lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_pages_with_an_article_are_aligned_too(spark):
+    def page(k):
+        own = paragraphs(f"own {k}", "licence")
+        return f"<p>top</p><article>{own}</article><p>licence</p><p>note {k}</p>"
+
+    found = texts(spark, [(f"http://a.com/{k}", page(k)) for k in (1, 2)])
+    assert found == ["own 1 licence note 1", "own 2 licence note 2"]
+
+
 def test_odd_pages_and_empty_table(spark):
     long = "<article><p>" + "word &amp; " * 100_000 + "</p></article>"
     pages = [

@@ -43,10 +43,18 @@ NAMED = frozenset(("class", "id", "role"))
 
 @dataclass
 class Blocks:
-    """Blocks inside an article or main element, and those outside that nothing rules out."""
+    """Blocks that nothing rules out, in page order, and whether an article or main holds each."""
 
-    main: list[str] = field(default_factory=list)
-    outside: list[str] = field(default_factory=list)
+    lines: list[str] = field(default_factory=list)
+    marked: list[bool] = field(default_factory=list)
+
+    @property
+    def main(self) -> list[str]:
+        return [x for x, own in zip(self.lines, self.marked, strict=True) if own]
+
+    @property
+    def outside(self) -> list[str]:
+        return [x for x, own in zip(self.lines, self.marked, strict=True) if not own]
 
 
 def _ruled_out(name: str, attributes: str, inside: bool) -> bool:
@@ -84,7 +92,8 @@ def blocks_of(page: str) -> Blocks:
             block = " ".join("".join(text).split())
             text.clear()
             if block:
-                (found.main if inside else found.outside).append(block)
+                found.lines.append(block)
+                found.marked.append(inside)
 
     while True:
         match = TAG.search(page, at)
@@ -123,9 +132,9 @@ def blocks_of(page: str) -> Blocks:
     return found
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
-    ids: dict[str, int] = {}
+    ids: dict = {}
     x = [ids.setdefault(s, len(ids)) for s in a]
     y = [ids.setdefault(s, len(ids)) for s in b]
     marks: set[int] = set()
