@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from tidemark.llm import page_blocks, queries
+from tidemark.llm import html_extract, page_blocks, queries
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.page_blocks import blocks_of, common
 
@@ -108,6 +108,23 @@ def test_pages_with_an_article_are_aligned_too(spark):
     assert found == ["own 1 licence note 1", "own 2 licence note 2"]
 
 
+def test_copies_and_near_copies_are_no_pairs(spark, monkeypatch):
+    same = [f"paragraph {k} of a text that many pages repeat" for k in range(20)]
+    menu = ["home", "news"]
+    pages = [(f"http://a.com/n{k}", paragraphs(*menu, *same, f"day {k}", "end")) for k in range(9)]
+    pages += [("http://a.com/n4x", paragraphs(*menu, "exact", "end"))] * 3
+    pages += [("http://a.com/z", paragraphs(*menu, "other text", "end"))]
+    # All lines of this one stand in the page beside it, not in the next.
+    pages += [("http://b.com/p/aa", paragraphs("top", "short", "end"))]
+    pages += [("http://b.com/p/ab", paragraphs("top", "short", "end", "much more text than that", "and more"))]
+    pages += [("http://b.com/q", paragraphs("top", "else", "end"))]
+    wanted = [" ".join([*same, f"day {k}"]) for k in range(9)]
+    wanted += ["exact"] * 3 + ["other text", "short", "much more text than that and more", "else"]
+    for waiting in (html_extract.WAITING, 1):
+        monkeypatch.setattr(html_extract, "WAITING", waiting)
+        assert texts(spark, pages) == wanted
+
+
 def test_odd_pages_and_empty_table(spark):
     long = "<article><p>" + "word &amp; " * 100_000 + "</p></article>"
     pages = [

@@ -4,6 +4,9 @@ Elements that can't be part of an article go first. Every page is then aligned,
 with the page of the nearest URL path on the same host, and the lines of the longest common
 subsequence are deleted as boilerplate, except those that the page marks as its article:
 copies and licence lines are part of articles.
+
+A page that is much the same as a whole tells nothing about what is boilerplate. Equal pages
+of a host count once, and of near copies none is compared with another.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from tidemark.llm.url_filter import url_host, url_path
 PARSED = "_text string, _lines array<string>, _keys binary, _list binary"
 #: Bytes of a line's key: 16 of its digest, 4 of its length, and whether an article holds it.
 KEY = 21
+#: Pages of one host with so much in common, by length of all their lines, are near copies.
+COPY_PERCENT = 80
 #: Near copies that wait in a task for the next page; more are left to joins.
 WAITING = 4096
 #: Pages on either side in the first join, and how many times more in each one after it.
@@ -49,6 +54,12 @@ class Page:
         self.marked = [bool(r[20]) for r in rows]
         self.sizes = {r[:16]: int.from_bytes(r[16:20], "little") for r in rows}
 
+    def copies(self, other: Page) -> bool:
+        """Whether the two are near copies of each other."""
+        both = sum(n for line, n in self.sizes.items() if line in other.sizes)
+        union = sum(self.sizes.values()) + sum(other.sizes.values()) - both
+        return 100 * both >= COPY_PERCENT * union
+
 
 def deleted(
     page: Page, before: list[Page], after: list[Page], ends: tuple[bool, bool]
@@ -75,14 +86,20 @@ def deleted(
         if limit is not None and limit > -alike:
             return None
         other = sides[side][k]
+        if page.copies(other):
+            continue
         shared = common(page.lines, other.lines)
         gone = sorted(x for x in shared if not page.marked[x])
-        return (gone if len(gone) < len(page.lines) else []), len(shared) - len(gone)
+        if len(gone) < len(page.lines):
+            return gone, len(shared) - len(gone)
     return ([], 0) if all(ends) else None
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """``pages`` without html, plus keys of all lines, and ``_text`` where an article is all there is, else ``_lines``."""
+    """``pages`` without html, plus the keys of all lines and ``_text`` or ``_lines``.
+
+    ``_text`` is for pages whose lines are all an article's.
+    """
     columns = [c for c in pages.columns if c != "html"]
     given = pages.select(*columns, F.coalesce("html", F.lit("")).alias("_html"))
     schema = StructType(given.schema.fields[:-1] + StructType.fromDDL(PARSED).fields)
@@ -127,7 +144,8 @@ def _in_url_order(lists: DataFrame) -> DataFrame:
 
         def settle(after: list[Page], ended: bool) -> None:
             for row, page in waiting:
-                found = deleted(page, [before] if before else [], after, (begun and not before, ended))
+                ends = (begun and not before, ended)
+                found = deleted(page, [before] if before else [], after, ends)
                 done.append((*row, *(found or (None, None))))
             waiting.clear()
 
@@ -144,7 +162,7 @@ def _in_url_order(lists: DataFrame) -> DataFrame:
                     settle([], True)
                     # Pages of a task's first host may have others in the task before.
                     begun, before, host, first, run = run >= 0, None, values[0], page, run + 1
-                else:
+                elif not page.copies(first):
                     settle([page], False)
                     before, first, run = last, page, run + 1
                 last = page
@@ -176,7 +194,8 @@ def alignment(lists: DataFrame) -> DataFrame:
     """
     placed = _in_url_order(lists)
     settled = placed.select("_host", "_list", "_gone", "_held").filter("_gone IS NOT NULL")
-    left = stored(placed.filter("_gone IS NULL").select("_host", "_path", "_list", "_keys", "_place"), "left")
+    left = placed.filter("_gone IS NULL").select("_host", "_path", "_list", "_keys", "_place")
+    left = stored(left, "left")
     if left.isEmpty():
         return settled
     end = F.struct("_path", "_keys")
@@ -191,7 +210,8 @@ def alignment(lists: DataFrame) -> DataFrame:
         asked = left.select("_host", "_list", "_place", step).filter("_step <> 0")
         met = asked.withColumn("_at", F.col("_place") + F.col("_step")).join(runs, ["_at", "_host"])
         near = F.when(F.col("_step") < 0, F.col("_last")).otherwise(F.col("_first"))
-        found = met.groupBy("_host", "_list").agg(F.collect_list(F.struct("_step", near.alias("page"))).alias("_near"))
+        others = F.collect_list(F.struct("_step", near.alias("page"))).alias("_near")
+        found = met.groupBy("_host", "_list").agg(others)
 
         def settle(batch: pa.RecordBatch, reach: int = reach) -> dict[str, list]:
             rows = {n: batch.column(n) for n in batch.schema.names if n != "_near"}
@@ -206,7 +226,8 @@ def alignment(lists: DataFrame) -> DataFrame:
                 results.append(deleted(Page(keys, path), *sides, ends) or (None, None))
             return rows | {"_gone": [r[0] for r in results], "_held": [r[1] for r in results]}
 
-        tried = stored(arrow_map(left.join(found, ["_host", "_list"], "left").select(*left.columns, "_near"), settle, schema), "tried")
+        given = left.join(found, ["_host", "_list"], "left").select(*left.columns, "_near")
+        tried = stored(arrow_map(given, settle, schema), "tried")
         settled = settled.union(tried.filter("_gone IS NOT NULL").select(*settled.columns))
         left = tried.filter("_gone IS NULL").select(*left.columns)
         reach *= GROWTH
