@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -126,6 +127,18 @@ def test_fine_sketch_lets_similar_sets_pass():
         assert lost == 0
 
 
+def test_screens_lose_hardly_a_link():
+    np, settings = near_dedup.np, Settings()
+    n = settings.coordinates
+    fewer = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(settings.least))
+    assert fewer < 5e-6
+    # 5.4 deviations under 80 percent: at most 27 of 20 million simulated pairs lie 5 under.
+    a = np.ones((1, near_dedup.BINS), np.uint8)
+    b = a.copy()
+    b[0, :86] = 2
+    assert near_dedup.fine_enough(a, b, np.array([90_000]), np.array([90_000]), 80)[0]
+
+
 def test_odd_rows(spark):
     docs = [
         (0, None), (1, ""), (2, " \n\t "), (3, None), (4, "One"), (5, "ONE"), (6, "one two"),

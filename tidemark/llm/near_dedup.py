@@ -40,7 +40,7 @@ SHORT_LIST, BLOCK, SHARE = 32, 2048, 16_384
 #: Bins of the finer sketch, a byte each.
 BINS = 256
 #: Standard deviations that estimates may lie under what is asked for.
-DEVIATIONS = 4.1
+DEVIATIONS = 6.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,14 +48,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """Shingles of ``words`` words, linked from ``percent`` similarity on.
 
-    Of ``coordinates`` equal ones, ``least`` make a candidate: about four standard
-    deviations under what is expected at 80 percent.
+    Of ``coordinates`` equal ones, ``least`` make a candidate: 4.7 standard deviations
+    under what is expected at 80 percent, where fewer agree with a chance of 4.2 in a million.
     """
 
     words: int = 5
     percent: int = 80
     coordinates: int = 64
-    least: int = 38
+    least: int = 36
 
     @property
     def multipliers(self) -> np.ndarray:
