@@ -144,6 +144,26 @@ def test_events_as_a_folder_of_files(spark, data_dir):
     assert sum(r.rows_read for r in queries.stream_progress(spark, folder).collect()) == 1000
 
 
+def test_large_types_stay_one_batch_each(spark, data_dir):
+    folder = new_folder(spark, "data")
+    events = table(spark, data_dir, "events")
+    events.repartition(6).write.parquet(f"{folder}/events.parquet")
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.files.maxPartitionBytes": "8k",
+        "spark.sql.files.openCostInBytes": "8k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = queries.stream_progress(spark, folder).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == events.select("event_type").distinct().count()
+
+
 def test_events_in_limited_batches(spark, data_dir):
     folder = new_folder(spark, "data")
     table(spark, data_dir, "events").repartition(3).write.parquet(f"{folder}/events.parquet")

@@ -273,8 +273,9 @@ def _observed(spark: SparkSession, data_dir: str) -> tuple[Endpoint, Endpoint, s
     topic = new_folder(spark, "topic")
     rows = _transactions(spark, data_dir)
     messages = rows.select("category_name", json_value(TRANSACTION_COLUMNS).alias("value"))
-    # One file for each type.
-    files(topic, partition_by=["category_name"]).write(messages)
+    # One file for each type, however large: a rebalance would split large ones.
+    dealt = messages.repartition("category_name")
+    dealt.write.partitionBy("category_name").parquet(topic)
     source = files(
         topic, schema="value string, category_name string", max_files_per_trigger=1
     )
