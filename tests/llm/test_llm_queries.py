@@ -14,7 +14,7 @@ from tidemark.llm import oracle, queries
 
 def test_registered_once_each():
     numbers = [int(name[2:].split("_")[0]) for name in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(oracle.ORACLE_SQL) <= set(queries.QUERIES)
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
 

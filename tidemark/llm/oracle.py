@@ -79,8 +79,49 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+_COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), walks AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words FROM pieces
+), grams AS (
+    SELECT lang, size, list_slice(words, k, k + size - 1) AS gram
+    FROM walks, (VALUES (1), (2), (3)) sizes(size), unnest(range(1, len(words) - size + 2)) AS starts(k)
+), counted AS (
+    SELECT lang, size, gram, count(*) AS f FROM grams GROUP BY ALL
+), candidates AS (
+    SELECT * FROM counted WHERE size >= 2 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.gram, c.size, c.f AS a, k, l.f AS l, r.f AS r,
+           (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+    FROM candidates c, (VALUES (1), (2)) places(k), counted l, counted r
+    WHERE k < c.size AND l.lang = c.lang AND r.lang = c.lang
+      AND l.gram = list_slice(c.gram, 1, k) AND r.gram = list_slice(c.gram, k + 1, c.size)
+), weakest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), around AS (
+    SELECT lang, gram, max(f) AS f FROM (
+        SELECT lang, list_slice(gram, k, k + 1) AS gram, f
+        FROM candidates, (VALUES (1), (2)) places(k) WHERE size = 3
+    ) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang
+), ranked AS (
+    SELECT w.*, array_to_string(w.gram, ' ') AS phrase,
+           row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM weakest w LEFT JOIN around USING (lang, gram)
+    WHERE around.f IS NULL OR 100 * around.f < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _URL_FILTER,
     "op5_decontaminate": _DECONTAMINATE,
     "op10_chat_format": _CHAT_FORMAT,
+    "op12_collocations": _COLLOCATIONS,
 }
