@@ -16,10 +16,13 @@ def text_of(name: str) -> Column:
     return named(name).cast("string")
 
 
-def exceeds(value: Column, threshold: float) -> Column:
+def exceeds(value: Column, threshold: float | Column) -> Column:
     """1 where ``value`` is above ``threshold``, otherwise 0, never null.
 
+    Nothing is above a null threshold.
+
     The cast must be a ``try_cast``: under ANSI mode a plain one would fail the
     whole query, or every restart of a stream, on the first bad amount.
     """
-    return F.when(value.try_cast("double") > F.lit(float(threshold)), 1).otherwise(0)
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return F.when(value.try_cast("double") > limit, 1).otherwise(0)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.columns import exceeds, named
 from tidemark.schema import UPPER_ACTION, UPPER_WARNING
@@ -51,6 +52,7 @@ class ThresholdModel:
 UPPER_WARNING_MODEL = ThresholdModel.of(AMOUNT_COLUMN, UPPER_WARNING, *WARNING_COEFFICIENTS)
 UPPER_ACTION_MODEL = ThresholdModel.of(AMOUNT_COLUMN, UPPER_ACTION, *ACTION_COEFFICIENTS)
 PRESETS = (UPPER_WARNING_MODEL, UPPER_ACTION_MODEL)
+PRESET_COEFFICIENTS = {UPPER_WARNING: WARNING_COEFFICIENTS, UPPER_ACTION: ACTION_COEFFICIENTS}
 
 
 def flag(
@@ -76,3 +78,31 @@ def flag(
         pending[model.output_col] = exceeds(named(model.input_col), model.threshold)
         present = [c for c in present if c not in taken] + [model.output_col]
     return rows.withColumns(pending) if pending else rows
+
+
+def flag_by_key(
+    rows: DataFrame,
+    moments: DataFrame,
+    by: Sequence[str],
+    models: Iterable[ThresholdModel] = PRESETS,
+    coefficients: Mapping[str, tuple[float, float]] = PRESET_COEFFICIENTS,
+) -> DataFrame:
+    """Flags by each key's own moments (``by``, mean, std) in place of the models' fixed ones.
+
+    ``coefficients`` has those of the mean and the deviation by output column. A key
+    without moments, or with no deviation yet, is not flagged: nothing is known about it.
+    Null keys match null keys. ``moments`` has one row a key and no size that is known
+    beforehand, so there is no broadcast hint; adaptive execution decides by its real size.
+    """
+    known = moments.select(
+        *(named(c).alias(f"_key_{k}") for k, c in enumerate(by)),
+        F.col("mean").alias("_mean"),
+        F.col("std").alias("_std"),
+    )
+    same = [named(c).eqNullSafe(F.col(f"_key_{k}")) for k, c in enumerate(by)]
+    joined = rows.join(known, same, "left")
+    flags = {}
+    for model in models:
+        mean, std = coefficients[model.output_col]
+        flags[model.output_col] = exceeds(named(model.input_col), mean * F.col("_mean") + std * F.col("_std"))
+    return joined.withColumns(flags).select(*map(named, rows.columns), *flags)

@@ -15,7 +15,7 @@ from tidemark.schema import SCORED_SCHEMA, TRANSACTION_COLUMNS, TRANSACTION_SCHE
 # The parser's own limits would turn a whole record into nulls for one very long
 # field. Options rule out pruning of unused fields, so pass a smaller schema instead.
 _NO_LIMIT = str(2**31 - 1)
-_WHOLE_TEXTS = {
+WHOLE_TEXTS = {
     "maxStringLen": _NO_LIMIT,
     "maxNumLen": _NO_LIMIT,
     "maxNestingDepth": _NO_LIMIT,
@@ -30,7 +30,7 @@ def decode_json(
     A message that is not a JSON object gives a row of nulls; none is dropped and
     none fails the query. Texts of any length are read whole.
     """
-    parsed = messages.select(F.from_json(text_of(value), schema, _WHOLE_TEXTS).alias("data"))
+    parsed = messages.select(F.from_json(text_of(value), schema, WHOLE_TEXTS).alias("data"))
     return parsed.select("data.*")
 
 

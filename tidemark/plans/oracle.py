@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.plans.stateful_oracle import oracle
 from tidemark.schema import TRANSACTION_COLUMNS
 
 _COLUMNS = ", ".join(TRANSACTION_COLUMNS)
@@ -231,6 +232,7 @@ ORACLE_SQL: dict[str, str] = {
     "stream_progress": """
         SELECT 'counted' AS name, count(*) AS rows_read, 1 AS sources FROM events GROUP BY event_type""",
     "stream_lifecycle": """
-        SELECT event, count(*) AS events FROM (VALUES ('started'), ('terminated')) AS seen(event)
-        JOIN (SELECT DISTINCT event_type FROM events LIMIT 1) ON true GROUP BY event""",
+        SELECT event, 1 AS events, count(DISTINCT event_type) AS batches, count(*) AS rows_read
+        FROM events, (VALUES ('started'), ('terminated')) AS seen(event) GROUP BY event""",
+    **oracle(_TX, _JSON, _CSV),
 }

@@ -33,6 +33,7 @@ from tidemark.operators.progress import (
     with_field,
     with_latest_offset,
 )
+from tidemark.plans import stateful
 from tidemark.plans.feeding import feed_messages
 from tidemark.plans.scoring import score, score_messages
 from tidemark.plans.workspace import new_folder
@@ -309,11 +310,16 @@ def stream_progress(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def stream_lifecycle(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Its start and end events, as they were written."""
-    _, events, query_id = _observed(spark, data_dir)
+    """Its start and end events, with the batches and rows that were reported between them."""
+    progress, events, query_id = _observed(spark, data_dir)
     fields = F.from_json("value", "event string, id string")
     rows = events.read(spark).select(fields.alias("e")).select("e.*").filter(F.col("id") == query_id)
-    return rows.groupBy("event").agg(F.count("*").alias("events"))
+    reported = progress_rows(progress.read(spark)).filter(F.col("id") == query_id).filter("numInputRows > 0")
+    batches = reported.agg(F.countDistinct("batchId")).scalar()
+    read = reported.agg(F.coalesce(F.sum("numInputRows"), F.lit(0).cast("long"))).scalar()
+    return rows.groupBy("event").agg(F.count("*").alias("events")).select(
+        "event", "events", batches.alias("batches"), read.alias("rows_read")
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -351,4 +357,5 @@ QUERIES: dict[str, Query] = {
     "stream_chart_points": stream_chart_points,
     "stream_progress": stream_progress,
     "stream_lifecycle": stream_lifecycle,
+    **stateful.QUERIES,
 }

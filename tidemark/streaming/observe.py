@@ -6,13 +6,14 @@ import json
 import logging
 import threading
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from tidemark.functions.columns import named, text_of
 from tidemark.functions.offsets import all_reported, reported_latest
 from tidemark.operators.messages import keyed
 from tidemark.operators.progress import with_field, with_latest_offset
@@ -147,3 +148,41 @@ def progress_messages(spark: SparkSession, query: StreamingQuery) -> DataFrame:
 def lifecycle_rows(spark: SparkSession, events: Iterable[tuple[str, str, str]]) -> DataFrame:
     """T5: start and end events as a table."""
     return spark.createDataFrame(list(events), LIFECYCLE_SCHEMA)
+
+
+def counted(flagged: DataFrame, name: str, flags: Sequence[str], *more: Column) -> DataFrame:
+    """``flagged``, which counts its rows and flags into its own progress events.
+
+    Spark adds up ``rows`` and the flags, and ``more`` aliased aggregates, while a batch is
+    written, without a second pass; :func:`observed` reads them back. A retried task is
+    counted once.
+    """
+    marked = [F.coalesce(F.sum(named(f)), F.lit(0)).cast("long").alias(f) for f in flags]
+    return flagged.observe(name, F.count(F.lit(1)).alias("rows"), *marked, *more)
+
+
+def observed(progress: DataFrame, name: str, fields: str, value: str = "value") -> DataFrame:
+    """``id, batchId`` and the metrics ``fields`` (a schema) of every event that has them."""
+    schema = f"id string, batchId long, observedMetrics struct<`{name}`: struct<{fields}>>"
+    events = progress.select(F.from_json(text_of(value), schema).alias("e")).select("e.*")
+    metrics = F.col("observedMetrics").getField(name)
+    return events.filter(metrics.isNotNull()).select("id", "batchId", metrics.alias("m")).select("id", "batchId", "m.*")
+
+
+def state_rows(progress: DataFrame, value: str = "value") -> DataFrame:
+    """``id, batchId, operator, rows, late``: what each stateful operator keeps after a batch.
+
+    ``late`` counts rows that came behind the watermark and were dropped; an aggregation
+    counts its partial sums there, an operator on single rows the rows.
+    """
+    state = "operatorName: string, numRowsTotal: long, numRowsDroppedByWatermark: long"
+    schema = f"id string, batchId long, stateOperators array<struct<{state}>>"
+    events = progress.select(F.from_json(text_of(value), schema).alias("e")).select("e.*")
+    rows = events.select("id", "batchId", F.explode("stateOperators").alias("s"))
+    return rows.select(
+        "id",
+        "batchId",
+        F.col("s.operatorName").alias("operator"),
+        F.col("s.numRowsTotal").alias("rows"),
+        F.col("s.numRowsDroppedByWatermark").alias("late"),
+    )
