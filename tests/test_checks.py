@@ -1,0 +1,200 @@
+"""Quarantine, record rules, thinned charts and folded moments."""
+
+from __future__ import annotations
+
+import random
+import statistics
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.helpers import bag, plan
+from tidemark.operators.detect import ThresholdModel, flag_by_key
+from tidemark.operators.fitting import fit_moments, merge_states, moment_states, moments_of
+from tidemark.operators.points import thinned
+from tidemark.operators.quarantine import Quarantine, judge
+from tidemark.operators.rules import RULES_SCHEMA, Rule, check, read_rules
+from tidemark.plans.workspace import new_folder
+from tidemark.schema import TRANSACTION_COLUMNS, TRANSACTION_SCHEMA
+from tidemark.sources.endpoint import files, literal_rows
+
+MESSAGES = {
+    '{"trans_amt":"1"}': None, '{"zip":5}': None, None: "null", "": "empty", "   ": "empty", "{}": "no fields",
+    '{"other":1}': "no fields", "1,2,3": "malformed", '{"trans_amt":': "malformed", "prose": "malformed",
+    "x" * 100_000: "malformed",
+}
+
+
+def test_every_message_is_a_record_or_has_a_reason(spark):
+    messages = literal_rows(spark, [*MESSAGES, "{}"])
+    rows = judge(messages).collect()
+    assert Counter(r.reason for r in rows) == Counter([*MESSAGES.values(), "no fields"])
+    for r in rows:
+        if r.reason:
+            assert MESSAGES[r.raw] == r.reason
+            assert all(r[c] is None for c in TRANSACTION_COLUMNS)
+        else:
+            assert r.raw is None
+
+
+def test_good_and_bad_are_all_and_the_source_is_read_once(spark):
+    messages = literal_rows(spark, list(MESSAGES)).repartition(3)
+    source = files(new_folder(spark, "messages"), schema="value string")
+    source.write(messages)
+    kept = Quarantine(new_folder(spark, "quarantine"))
+    kept.write(source.read(spark))
+    good, bad = kept.good(spark), kept.bad(spark)
+    assert good.count() + bad.count() == len(MESSAGES)
+    assert good.columns == list(TRANSACTION_COLUMNS)
+    assert bag(bad) == Counter((reason, raw) for raw, reason in MESSAGES.items() if reason)
+    judged = plan(judge(source.read(spark)))
+    assert judged.count("Scan parquet") <= 2
+    assert "Exchange" not in judged
+    # Readers of one kind skip the other's folder.
+    assert "verdict" in plan(good).split("PartitionFilters:")[1][:120]
+
+
+def test_quarantine_of_a_stream(spark):
+    source = files(new_folder(spark, "messages"), schema="value string", max_files_per_trigger=1)
+    source.write(literal_rows(spark, list(MESSAGES)).repartition(3))
+    kept = Quarantine(new_folder(spark, "quarantine"))
+    kept.start(source.read_stream(spark), new_folder(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
+    assert kept.good(spark).count() == sum(r is None for r in MESSAGES.values())
+    assert kept.bad(spark).count() == sum(r is not None for r in MESSAGES.values())
+
+
+def test_reserved_names_are_refused(spark):
+    schema = type(TRANSACTION_SCHEMA)().add("reason", "string")
+    with pytest.raises(ValueError, match="not for records"):
+        judge(literal_rows(spark, ["{}"]), schema)
+
+
+def four(points, width):
+    buckets: dict[int, set] = {}
+    for x, y in points:
+        buckets.setdefault(x // width, set()).add((x, y))
+    rows = set()
+    for bucket, own in buckets.items():
+        up = sorted(own, key=lambda p: (p[1], p[0]))
+        rows |= {(bucket, *p) for p in (min(own), max(own), up[0], up[-1])}
+    return Counter(rows)
+
+
+@pytest.mark.parametrize("salts", [1, 16])
+def test_thinned_charts(spark, salts):
+    draws = random.Random(3)
+    points = [(draws.randint(-50, 50), float(draws.randint(-5, 5))) for _ in range(400)]
+    rows = spark.createDataFrame([(str(x), str(y)) for x, y in points] + [(None, "1"), ("5", None), ("x", "1"), ("5", "y")], "x string, y string")
+    got = thinned(rows, 7, salts)
+    assert bag(got) == four(points, 7)
+    assert got.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 4
+    assert thinned(rows.limit(0), 7).collect() == []
+
+
+def test_a_hot_bucket_is_spread(spark):
+    rows = spark.range(10_000).select(F.when(F.col("id") >= 0, "5").alias("x"), (F.col("id") % 100).cast("string").alias("y"))
+    assert bag(thinned(rows, 10)) == Counter([(0, 5, 0.0), (0, 5, 99.0)])
+    shown = plan(thinned(rows, 10))
+    assert "hashpartitioning(bucket" in shown
+    assert "salt" in shown.split("hashpartitioning(")[1].split(")")[0]
+    with pytest.raises(ValueError, match="at least 1"):
+        thinned(rows, 0)
+
+
+RULES = [
+    Rule("given", "a", "given"), Rule("one", "a", "one_of", '["x", 7]'), Rule("long", "a", "length", "[1, 3]"),
+    Rule("low", "b", "range", "[0, null]"), Rule("high", "b", "range", "[null, 10]"),
+    Rule("like", "a", "pattern", '"^[x7]"'), Rule("pair", "b", "goes_with", '["a", {"x": [1, 2], "7": ["3"]}]'),
+]
+
+
+def test_rules(spark):
+    rows = {
+        ("x", "1"): [], ("7", "3"): [], ("x", "3"): ["pair"], (None, "3"): ["given"], ("x", None): [],
+        ("xyzw", "11"): ["one", "long", "high", "pair"], ("q", "-1"): ["one", "low", "like", "pair"],
+        ("7", "odd"): ["low", "high", "pair"], (None, None): ["given"], ("", "1"): ["one", "long", "like", "pair"],
+    }
+    table = spark.createDataFrame(list(rows), "a string, b string")
+    got = check(table, RULES)
+    assert {(r.a, r.b): r.violations for r in got.collect()} == rows
+    assert got.count() == len(rows)
+    assert "Exchange" not in plan(got)
+    assert [r.violations for r in check(table, []).collect()] == [[]] * len(rows)
+
+
+def test_rules_come_from_a_table(spark):
+    listed = [("b", "zip", "length", "[1, 9]"), ("a", "zip", "given", None)]
+    table = spark.createDataFrame(listed, RULES_SCHEMA)
+    assert [r.name for r in read_rules(table)] == ["a", "b"]
+    with pytest.raises(ValueError, match="more than 1"):
+        read_rules(table, most=1)
+
+
+@pytest.mark.parametrize(
+    ("rule", "said"),
+    [
+        (Rule("r", "zip", "odd"), "kind"),
+        (Rule("r", "zip", "length", "[1]"), "setting"),
+        (Rule("r", "zip", "length", "no json"), "setting"),
+        (Rule("r", "zip", "one_of", "5"), "setting"),
+        (Rule("r", "there", "given"), "not among"),
+    ],
+)
+def test_rules_that_make_no_sense(spark, rule, said):
+    with pytest.raises(ValueError, match=said):
+        check(spark.createDataFrame([("a",)], "zip string"), [rule])
+    with pytest.raises(ValueError, match="already"):
+        check(spark.createDataFrame([("a",)], "zip string"), [], "ZIP")
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from("ab"), st.floats(-1e3, 1e3), st.integers(0, 4)), min_size=1, max_size=40),
+    st.sampled_from([0.0, 1e9, -1e12]),
+)
+def test_moments_of_any_split(spark, rows, far):
+    """Batches folded one after the other give the moments of all rows, also far from 0."""
+    table = spark.createDataFrame([(k, str(v + far), b) for k, v, b in rows], "k string, v string, batch int")
+    state = moment_states(table.filter("batch < 0"), "v", ["k"])
+    for batch in sorted({b for _, _, b in rows}):
+        own = moment_states(table.filter(F.col("batch") == batch), "v", ["k"])
+        merged = merge_states(state.union(own), ["k"])
+        state = spark.createDataFrame(merged.collect(), merged.schema)
+    got = {r.k: r for r in moments_of(state, ["k"]).collect()}
+    for key in {k for k, _, _ in rows}:
+        values = [v + far for k, v, _ in rows if k == key]
+        assert got[key].n == len(values)
+        assert got[key]["mean"] == pytest.approx(statistics.mean(values), rel=1e-12, abs=1e-9)
+        if len(values) > 1:
+            spread = statistics.stdev(values)
+            assert got[key]["std"] == pytest.approx(spread, rel=1e-6, abs=max(1e-6, abs(far) * 1e-15 * 1e3))
+        else:
+            assert got[key]["std"] is None
+
+
+def test_states_without_amounts_and_without_keys(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", None), ("b", "2"), (None, "4"), (None, "6")], "k string, v string")
+    merged = moments_of(merge_states(moment_states(rows, "v", ["k"]), ["k"]), ["k"])
+    got = {r.k: tuple(r)[1:] for r in merged.collect()}
+    assert got.keys() == {"b", None}
+    assert got["b"] == (1, 2.0, None)
+    assert got[None] == (2, 5.0, pytest.approx(2**0.5))
+    (whole,) = moments_of(merge_states(moment_states(rows, "v"))).collect()
+    assert (whole.n, whole["mean"], whole["std"]) == (3, 4.0, 2.0)
+
+
+def test_flags_by_key(spark):
+    rows = spark.createDataFrame(
+        [(k, v) for k in ("a", "b", None, "new") for v in ("5", "50", "x", None)], "k string, amt string"
+    )
+    known = spark.createDataFrame([("a", 1.0, 2.0), ("b", 40.0, 5.0), (None, 100.0, None)], "k string, mean double, std double")
+    models = [ThresholdModel.of("amt", "high", 0, 0)]
+    got = flag_by_key(rows, known, ["k"], models, {"high": (1.0, 1.0)})
+    assert got.columns == ["k", "amt", "high"]
+    assert {(r.k, r.amt) for r in got.collect() if r.high} == {("a", "5"), ("a", "50"), ("b", "50")}
+    assert got.count() == rows.count()
+    fitted = fit_moments(rows, "amt", ["k"])
+    assert flag_by_key(rows, fitted, ["k"], models, {"high": (1.0, 0.5)}).agg(F.sum("high")).first()[0] == 4

@@ -112,6 +112,31 @@ def test_kafka_streams_start_at_the_end_and_are_limited():
     assert other.options["failOnDataLoss"] == "false"
 
 
+def test_positions_and_topics_reach_both_readers():
+    """A table read starts where it is told to; a limit per trigger is for streams alone."""
+
+    def source(*options, stream=True):
+        given = [x for o in options for x in ("--source-option", o)]
+        argv = ["score", "--source", "kafka", *given, "--sink", "noop", *(["--checkpoint", "x"] if stream else [])]
+        return _source(_parser().parse_args(argv), "value string")
+
+    start = '{"input":{"0":5}}'
+    for stream in (False, True):
+        found = source(f"startingOffsets={start}", "minPartitions=9", "maxOffsetsPerTrigger=7", stream=stream)
+        batch, streaming = ({**found.options, **o} for o in (found.batch_options, found.stream_options))
+        assert batch["startingOffsets"] == streaming["startingOffsets"] == start
+        assert batch["minPartitions"] == streaming["minPartitions"] == "9"
+        assert streaming["maxOffsetsPerTrigger"] == "7"
+        assert "maxOffsetsPerTrigger" not in batch
+    assert source(stream=False).batch_options == {}
+    for name in ("subscribePattern", "assign"):
+        found = source(f"{name}=x.*")
+        assert found.options[name] == "x.*"
+        assert "subscribe" not in found.options
+    with pytest.raises(ValueError, match="one of"):
+        source("subscribe=a", "subscribePattern=b")
+
+
 @pytest.mark.parametrize(
     ("argv", "said"),
     [

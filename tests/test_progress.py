@@ -8,9 +8,10 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tests.helpers import bag
+from tests.helpers import bag, plan
 from tidemark.functions.offsets import all_reported, reported_latest
 from tidemark.operators.progress import (
     input_lag,
@@ -20,6 +21,7 @@ from tidemark.operators.progress import (
     progress_rows,
     with_latest_offset,
 )
+from tidemark.plans import reporting
 from tidemark.sources.endpoint import literal_rows
 
 
@@ -285,3 +287,28 @@ def test_lag_as_of_the_events_time(spark):
         latest = max(seen, default=None)
         assert r.latest_offset == (None if latest is None else latest + 1)
         assert r.lag == (None if latest is None else max(0, latest + 1 - r.end_offset))
+
+
+def test_each_partition_is_read_from_its_own_end(spark):
+    """An idle partition doesn't make the others be read again."""
+    rows = [("t", p, o) for p, n in ((0, 5), (1, 1000), (2, 40)) for o in range(n)] + [("u", 0, 3), (None, 1, 2)]
+    records = spark.createDataFrame(rows, "topic string, `partition` int, offset long")
+    ends = [Row(topic="t", partition=0, end=5), Row(topic="t", partition=1, end=990)]
+    got = reporting.from_ends(records, ends)
+    # A record before each end, all of what isn't known.
+    assert bag(got) == bag(records.filter("topic IS NULL OR topic = 'u' OR `partition` = 2 OR offset >= 989 OR (`partition` = 0 AND offset = 4)"))
+    shown = plan(got)
+    assert "4" in shown
+    assert "989" in shown
+    assert bag(reporting.from_ends(records, [])) == bag(records)
+
+
+def test_newest_ends(spark):
+    def event(batch, ends):
+        return json.dumps({"id": "a", "runId": "b", "batchId": batch, "timestamp": "2024-01-01T00:00:00.000Z",
+                           "sources": [{"endOffset": {"t": ends}}, {"endOffset": None}]})
+
+    progress = spark.createDataFrame([(event(0, {"0": 5, "1": 7}),), (event(1, {"0": 6}),)], "value string")
+    got = {(r.topic, r.partition): r.end for r in reporting.newest_ends(progress)}
+    assert got == {("t", 0): 6, ("t", 1): 7}
+    assert len(reporting.newest_ends(progress, 1)) == 1

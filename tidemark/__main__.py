@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -28,7 +29,9 @@ from tidemark.streaming.run import FLUSH_SECONDS, run_until_stopped
 # The sources that need a schema given; others bring their own.
 FILE_FORMATS = frozenset(("parquet", "orc", "json", "csv", "avro"))
 MESSAGE_SCHEMA = "value string"
-STREAM_OPTIONS = frozenset(("startingOffsets", "maxOffsetsPerTrigger", "minPartitions"))
+STARTING = "startingOffsets"
+# What a table read doesn't know, or has its own default for.
+STREAM_OPTIONS = frozenset((STARTING, "maxOffsetsPerTrigger"))
 PARTITIONED_SCHEMA = "topic string, partition int, offset bigint, timestamp timestamp"
 
 
@@ -62,8 +65,9 @@ def _source(args: argparse.Namespace, schema: str) -> Endpoint:
     options = dict(source.options)
     given = {n: options.pop(n) for n in tuple(options) if n in STREAM_OPTIONS}
     servers = options.pop("kafka.bootstrap.servers", "")
-    defaults = kafka_source(servers, options.pop("subscribe", INPUT_TOPIC))
-    return Endpoint("kafka", {**defaults.options, **options}, {**defaults.stream_options, **given})
+    start = {"starting_offsets": given.pop(STARTING)} if STARTING in given else {}
+    defaults = kafka_source(servers, **start, **options)
+    return replace(defaults, stream_options={**defaults.stream_options, **given})
 
 
 def _trigger(args: argparse.Namespace) -> dict[str, object] | None:

@@ -16,6 +16,8 @@ INPUT_TOPIC = "input"
 OUTPUT_TOPIC = "output"
 PROGRESS_TOPIC = "test"
 MAX_OFFSETS_PER_TRIGGER = 10_000
+# The options that select topics.
+SELECTIONS = ("subscribe", "subscribePattern", "assign")
 
 
 @dataclass(frozen=True)
@@ -23,7 +25,8 @@ class Endpoint:
     """A Spark format with its options.
 
     ``stream_options`` apply only to streaming reads, where alone Spark knows
-    them, such as rate limits and ``startingOffsets=latest``.
+    them, such as rate limits and ``startingOffsets=latest``; ``batch_options`` only to
+    reads of a table.
     """
 
     format: str
@@ -31,10 +34,11 @@ class Endpoint:
     stream_options: Mapping[str, str] = field(default_factory=dict)
     schema: T.StructType | str | None = None
     partition_by: Sequence[str] = ()
+    batch_options: Mapping[str, str] = field(default_factory=dict)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The data there is now, as a table."""
-        reader = spark.read.format(self.format).options(**self.options)
+        reader = spark.read.format(self.format).options(**{**self.options, **self.batch_options})
         return (reader.schema(self.schema) if self.schema else reader).load()
 
     def read_stream(self, spark: SparkSession) -> DataFrame:
@@ -98,18 +102,25 @@ def kafka_source(
     max_offsets_per_trigger: int | None = MAX_OFFSETS_PER_TRIGGER,
     **options: object,
 ) -> Endpoint:
-    """One topic as Kafka's envelope rows.
+    """Topics as Kafka's envelope rows.
 
-    The starting position counts for a new query only; a restarted one goes on
-    from its checkpoint. Raise the rate limit to what the cluster can take.
+    One topic, or what ``subscribePattern`` or ``assign`` selects in its place. The starting
+    position of a stream counts for a new query only; a restarted one goes on from its
+    checkpoint. A table read starts there as well, or where the topic does, since the end
+    is no place for it to start. Raise the rate limit to what the cluster can take.
     """
+    selected = [n for n in SELECTIONS if n in options]
+    if len(selected) > 1:
+        raise ValueError(f"topics are selected by one of {', '.join(SELECTIONS)}, not by {selected}")
+    selection = {} if selected else {"subscribe": topic}
     stream_options = {"startingOffsets": starting_offsets}
     if max_offsets_per_trigger is not None:
         stream_options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
     return Endpoint(
         "kafka",
-        {"kafka.bootstrap.servers": servers, "subscribe": topic, **_texts(options)},
+        {"kafka.bootstrap.servers": servers, **selection, **_texts(options)},
         stream_options,
+        batch_options={} if starting_offsets == "latest" else {"startingOffsets": starting_offsets},
     )
 
 
