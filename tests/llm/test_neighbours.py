@@ -102,3 +102,37 @@ def test_odd_rows(spark):
     assert sorted(got) == [(0, 1, 1), (0, 2, 10), (0, 3, 2), (0, 4, 2)]
     assert nearest_neighbours(vectors.limit(0), vectors).collect() == []
     assert nearest_neighbours(vectors, vectors.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["offset", "huge", "tiny", "vast", "mixed", "one far"])
+def test_any_finite_vectors(spark, monkeypatch, kind):
+    """Ten rows for every query and hardly any miss, wherever the vectors lie."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 400)
+    draws = np.random.Generator(np.random.PCG64(11))
+    values = draws.normal(size=(900, 8))
+    scale = {"huge": 1e20, "tiny": 1e-25, "vast": 1e200}.get(kind, 1.0)
+    values = values * scale + (1e5 if kind == "offset" else 0)
+    if kind == "mixed":
+        values *= np.repeat([1e20, 1.0, 1e-25], 300)[:, None]
+    if kind == "one far":
+        values[0] = 1e30
+    vectors = [(k, v.tolist()) for k, v in enumerate(values)]
+    frame = spark.createDataFrame([(*v, 0) for v in vectors], VECTORS)
+    rows = nearest_neighbours(frame, frame.filter("vec_id % 20 = 0")).collect()
+    asked = range(0, 900, 20)
+    assert len(rows) == 10 * len(asked)
+    hits = 0
+    for q in asked:
+        gaps = neighbours.distances(values, values[q])
+        best = sorted((g, k) for k, g in enumerate(gaps) if k != q)[:10]
+        own = sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == q)
+        assert [r[0] for r in own] == list(range(1, 11))
+        for _, k, score in own:
+            assert score == pytest.approx(gaps[k], rel=1e-12)
+        hits += len({r[1] for r in own} & {k for _, k in best})
+    assert hits / (10 * len(asked)) >= 0.95
+
+
+def test_distances_beyond_squares():
+    a = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0]])
+    assert neighbours.distances(a, np.zeros(2)) == pytest.approx([5e200, 5e-200, 5.0, 0.0], rel=1e-15)

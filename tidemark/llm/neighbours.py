@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.common import prepare_workers, stored
-from tidemark.llm.small_world import LINKS, SEARCH_WIDTH, Graph, Points, build
+from tidemark.llm.small_world import LINKS, SEARCH_WIDTH, Frame, Graph, Points, build
 
 #: Vectors of one shard, and bytes of them at most.
 SHARD_ROWS, SHARD_BYTES = 8192, 8 << 20
 #: Bytes of query vectors that every task gets at a time.
 QUERY_BYTES = 8 << 20
 BLOCK = 256
+#: Powers of two that the vectors of one graph span at most.
+SPAN = 16
+#: A query that many times farther off than a graph is wide is compared with all its vectors.
+FAR, WHOLE_CELLS = 1e5, 1 << 22
 INDEX = (
     "shard int, dim int, ids binary, ends binary, vectors binary,"
     " layers array<struct<size:int,links:binary>>"
@@ -73,13 +77,13 @@ def build_index(groups: DataFrame) -> DataFrame:
                 vector = v.values.to_numpy(zero_copy_only=False)
                 by_dim[len(vector)].append((ids, vector))
         made = []
-        for dim, members in sorted(by_dim.items()):
+        for dim, members in _alike(by_dim):
             values = np.array([m[1] for m in members], np.float64)
             # Levels are drawn from the place in the shard, so a repeated task draws the same.
             draws = np.random.Generator(np.random.PCG64(dim)).random(len(values))
             levels = np.floor(-np.log(1 - draws) / np.log(LINKS)).astype(int)
             order = np.argsort(-levels, kind="stable")
-            graph = build(values[order], levels[order])
+            graph = build(Frame(values[order]).place(values[order]), levels[order])
             layers = [
                 {"size": len(nodes), "links": links.astype("<i4").tobytes()}
                 for nodes, links in graph.layers
@@ -100,6 +104,38 @@ def build_index(groups: DataFrame) -> DataFrame:
     return stored(groups.repartition(shards).mapInArrow(index, schema), "index")
 
 
+def _alike(by_dim: dict[int, list]) -> Iterator[tuple[int, list]]:
+    """Members of one dimension and of like size, so that one frame fits them all.
+
+    What usually lies in one shard is of one size. Where it isn't there are some more graphs.
+    """
+    for dim, members in sorted(by_dim.items()):
+        _, powers = np.frexp([np.abs(v).max() for _, v in members])
+        order = np.argsort(powers, kind="stable")
+        start = 0
+        for k in range(1, len(order) + 1):
+            if k == len(order) or powers[order[k]] - powers[order[start]] > SPAN:
+                yield dim, [members[i] for i in sorted(order[start:k])]
+                start = k
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances along the last axis, also where squares leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        gaps = a - b
+        squares = np.einsum("...d,...d->...", gaps, gaps)
+        lost = ~((squares > 1e-280) & (squares < 1e300))
+        if lost.any():
+            own = gaps[lost]
+            _, power = np.frexp(np.abs(own).max(axis=-1))
+            own = np.ldexp(own, -power[:, None])
+            squares[lost] = np.einsum("...d,...d->...", own, own)
+            lengths = np.sqrt(squares)
+            lengths[lost] = np.ldexp(lengths[lost], power)
+            return lengths
+        return np.sqrt(squares)
+
+
 class _Shard:
     def __init__(self, dim: int, ids: bytes, ends: bytes, vectors: bytes, layers: list[dict]):
         self.ids, self.ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
@@ -107,19 +143,46 @@ class _Shard:
         #: Whether all ids of a vector are the same one.
         self.sole = self.ids[self.starts] == self.ids[self.ends - 1]
         self.values = np.frombuffer(vectors, np.float64).reshape(-1, dim)
-        self.points = Points(self.values)
+        self.frame = Frame(self.values)
+        self.points = Points(self.frame.place(self.values))
         flat = [np.frombuffer(x["links"], "<i4").reshape(x["size"], -1) for x in layers]
         self.graph = Graph([(np.arange(len(links)), links.astype(np.int64)) for links in flat])
 
     def search(
         self, query_ids: np.ndarray, queries: np.ndarray, k: int, width: int
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query ids, ids and exact distances of up to ``k`` near rows of each query."""
-        if len(self.ends) <= width:
-            found = np.tile(np.arange(len(self.ends)), (len(queries), 1))
-        else:
-            found = self.graph.search(self.points, queries.astype(np.float32), width)
-        gaps = np.sqrt(((self.values[found] - queries[:, None, :]) ** 2).sum(axis=2))
+        """Query ids, ids and exact distances of up to ``k`` near rows of each query.
+
+        Queries far off, for which the graph's vectors look alike, and those that the graph
+        gives too few vectors are compared with all of them.
+        """
+        count = len(self.ends)
+        whole = np.full(len(queries), count <= width)
+        parts = []
+        if count > width:
+            placed = self.frame.place(queries)
+            whole = ~(np.abs(placed).max(axis=1) < FAR)
+            near = np.flatnonzero(~whole)
+            if near.size:
+                found = self.graph.search(self.points, placed[near].astype(np.float32), width)
+                few = (found >= 0).sum(axis=1) < min(k + 1, count)
+                whole[near[few]] = True
+                parts.append(self._nearest(query_ids[near[~few]], queries[near[~few]], found[~few], k))
+        rest = np.flatnonzero(whole)
+        step = max(1, WHOLE_CELLS // max(1, self.values.size))
+        for low in range(0, len(rest), step):
+            some = rest[low : low + step]
+            found = np.broadcast_to(np.arange(count), (len(some), count))
+            parts.append(self._nearest(query_ids[some], queries[some], found, k))
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _nearest(
+        self, query_ids: np.ndarray, queries: np.ndarray, found: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the vectors ``found`` for each query (-1: none), the rows of the ``k`` nearest."""
+        gaps = distances(self.values[found], queries[:, None, :])
         first = self.ids[self.starts[found]]
         own = (found < 0) | self.sole[found] & (first == query_ids[:, None])
         gaps = np.where(own, np.inf, gaps)
@@ -173,7 +236,8 @@ def nearest_neighbours(
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found of each query.
 
     Both tables have ``vec_id, embedding``. Nearness is Euclidean distance in double
-    precision on the given vectors; ties go to the smaller vec_id, and a query's own id is no
+    precision on the given vectors, of any finite size: graphs are searched after a shift and
+    a scaling of their own, and vectors of very different size are in different graphs. Ties go to the smaller vec_id, and a query's own id is no
     candidate. Every shard's graph is searched with a beam of ``width``; shards no larger
     than that are compared whole, so few vectors give all candidates. Rows with a null id or
     a vector that is null, empty, zero or has null or non-finite components take no part;

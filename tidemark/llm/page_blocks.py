@@ -29,9 +29,12 @@ MARKED = re.compile(
     r"|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
-#: Quoted values end at the next ``<`` at the latest, so that reading stays linear.
+#: A quoted value may hold any sign, but is at most so long: what has no second quote is no value
+#: to its page's end, and reading stays linear.
+QUOTED = 10_000
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)"
+    rf"((?:[^>\"'<]|\"[^\"]{{0,{QUOTED}}}\"|'[^']{{0,{QUOTED}}}'|[\"'])*+)>",
     re.S,
 )
 #: Name and value of an attribute; a quoted text without a name gives neither.

@@ -33,6 +33,21 @@ class Graph:
         return beam(points, self.layers[0][1], len(points.values), queries, entry, width)[0]
 
 
+class Frame:
+    """Where a graph's vectors lie: single precision tells them apart once shifted and scaled."""
+
+    def __init__(self, values: np.ndarray):
+        _, self.power = np.frexp(np.abs(values).max(initial=0.0))
+        scaled = np.ldexp(values, -self.power)
+        self.center = scaled.mean(axis=0)
+        self.extent = float(np.abs(scaled - self.center).max(initial=0.0)) or 1.0
+
+    def place(self, values: np.ndarray) -> np.ndarray:
+        """``values`` with the graph's own vectors between -1 and 1; infinite where too far off."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return (np.ldexp(values, -self.power) - self.center) / self.extent
+
+
 class Points:
     """Vectors in single precision, with squared lengths."""
 
