@@ -152,3 +152,31 @@ def test_query_reads_every_article(spark, data_dir):
         assert r.url == pages[r.page_id].url
         assert r.text == " ".join(blocks_of(inner).outside)
         assert r.text
+
+
+def test_valid_pages_keep_their_text():
+    """What the standard lets a page leave out, and what its attributes may hold."""
+    assert blocks_of("<html><head><title>t</title><body><article><p>x</article>").main == ["x"]
+    assert blocks_of("<head><meta charset=a><style>s</style><p>x<p>y").outside == ["x", "y"]
+    assert blocks_of('<article><p title="a<b">T</p><p title=\'<p>"\'>U</p></article>').main == ["T", "U"]
+    assert blocks_of("<ul><li hidden>a<li>b</ul><p>c").outside == ["b", "c"]
+
+
+def test_comments_teasers_and_hidden_elements_go():
+    for page in (
+        '<article><p>x</p></article><section id="comments"><article class="comment-body">c</article></section>',
+        '<aside><article class="teaser">c</article></aside><article><p>x</p></article>',
+        '<nav><main>c</main></nav><footer><article>c</article></footer><article>x</article>',
+        '<div class="related"><article>c</article></div><article>x</article>',
+        '<article>x<div class="comment-list"><p>c</p></div><div id="comments-section">c</div></article>',
+        '<article>x<p class="advert">c</p></article>',
+        "<article>x<p hidden>c<b>c</b></p></article>",
+        "<article>x<span hidden>c <i>c</i></span></article>",
+    ):
+        assert blocks_of(page).main == ["x"], page
+    assert blocks_of("<article>a <span hidden>b</span> c<p hidden>d<p>e</article>").main == ["a c", "e"]
+    # Left open, or no whole word: nothing surrounds the article.
+    assert blocks_of("<aside>open<article><p>x</p></article>").main == ["x"]
+    assert blocks_of('<div class="has-sidebar"><article><p>x</p></article></div>').main == ["x"]
+    assert blocks_of("<p hidden>a<div>x</div>").outside == ["x"]
+    assert blocks_of("<aside>" * 3000 + "<article>c</article></aside>" + "<p>y").outside == []

@@ -20,6 +20,13 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dl dt dd tr td th thead tbody tfoot caption blockquote pre hr "
     "address figure figcaption details summary fieldset legend br".split()
 )
+#: What may stand in a head; all else ends it.
+HEAD_PARTS = frozenset("head title meta link script style base noscript template".split())
+#: Elements that end what is left open of a paragraph, and those that repeat side by side.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 address summary figcaption legend".split())
+ITEMS = frozenset("li dt dd tr td th caption tbody thead tfoot".split())
+#: Elements whose articles are teasers or comments, if they are closed behind them.
+AROUND = frozenset("aside nav footer form dialog menu".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Words in class, id or role of what surrounds an article.
 MARKED = re.compile(
@@ -29,6 +36,10 @@ MARKED = re.compile(
     r"|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
+#: What readers' comments are called inside an article.
+COMMENTS = re.compile(
+    r"comments?[_-](?:list|section|thread|area|body|form|box|wrap|wrapper|container|item|items|replies)", re.I
+)
 #: A quoted value may hold any sign, but is at most so long: what has no second quote is no value
 #: to its page's end, and reading stays linear.
 QUOTED = 10_000
@@ -76,19 +87,73 @@ def _ruled_out(name: str, attributes: str, inside: bool) -> bool:
             continue
         value = a or b or c
         if inside or name in MAIN:
-            if any(MARKED.fullmatch(word) for word in value.split()):
+            if any(MARKED.fullmatch(word) or COMMENTS.fullmatch(word) for word in value.split()):
                 return True
         elif MARKED.search(value):
             return True
     return False
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An element that isn't closed yet, and what holds inside it."""
+
+    name: str
+    start: int
+    skipped: bool = False
+    inside: bool = False
+    #: Whether it keeps even articles out, if it is closed behind them.
+    around: bool = False
+
+
+class _Closings:
+    """Where elements are closed, found for a name when it is asked for."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.found: dict[str, dict[int, int]] = {}
+
+    def of(self, element: _Open) -> int:
+        """Where ``element`` is closed, -1 if it never is."""
+        if element.name not in self.found:
+            ends, waiting = self.found.setdefault(element.name, {}), []
+            for tag in re.finditer(rf"<(/?){element.name}(?=[\s/>])", self.page, re.I):
+                if not tag[1]:
+                    waiting.append(tag.start())
+                elif waiting:
+                    ends[waiting.pop()] = tag.start()
+        return self.found[element.name].get(element.start, -1)
+
+
+def _unwind(stack: list[_Open], name: str, ends: bool) -> None:
+    """Leave what a tag ends: elements that only hold text, and the element of an end tag."""
+    while stack and stack[-1].name not in CONTAINERS:
+        top = stack[-1].name
+        closed = ends and top == name
+        if not closed and (top in ITEMS and top != name or name not in BLOCKS):
+            break
+        stack.pop()
+        if closed:
+            return
+    if not ends:
+        if stack and stack[-1].name == "head" and name not in HEAD_PARTS:
+            stack.pop()
+        return
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k].name == name:
+            del stack[k:]
+            return
+        if name not in CONTAINERS and stack[k].name in CONTAINERS:
+            return
+
+
 def blocks_of(page: str) -> Blocks:
     """The blocks of a page in order, character references decoded, white space collapsed."""
     found, text = Blocks(), []
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped, inside an article
+    stack: list[_Open] = []
+    closings = _Closings(page)
     skipped = inside = False
-    at, raw_end = 0, None
+    at = 0
 
     def close_block() -> None:
         if text:
@@ -112,29 +177,39 @@ def blocks_of(page: str) -> Blocks:
             continue
         if name in BLOCKS:
             close_block()
-        if name in VOID or name not in CONTAINERS:
-            continue
-        if match[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name in RAW:
-            raw_end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = raw_end.end() if raw_end else len(page)
-            continue
-        else:
-            out = name in SKIPPED or name == "header" and not inside or _ruled_out(
-                name, match[3], inside
-            )
-            begins = name in MAIN and not out
-            # An article ends whatever was left open before it.
-            stack.append((name, out or skipped and not begins, inside or begins))
-        skipped, inside = stack[-1][1:] if stack else (False, False)
+        if stack:
+            _unwind(stack, name, bool(match[1]))
+        if not match[1] and name not in VOID:
+            if name in RAW:
+                raw_end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = raw_end.end() if raw_end else len(page)
+            else:
+                opened = _opened(name, match, stack, closings)
+                if opened:
+                    stack.append(opened)
+        top = stack[-1] if stack else None
+        skipped, inside = (top.skipped, top.inside) if top else (False, False)
     close_block()
     return found
 
 
+def _opened(name: str, tag: re.Match, stack: list[_Open], closings: _Closings) -> _Open | None:
+    """What a start tag opens; None for what holds text alone and isn't ruled out."""
+    skipped, inside = (stack[-1].skipped, stack[-1].inside) if stack else (False, False)
+    start = tag.start()
+    if name not in CONTAINERS:
+        if skipped or not _ruled_out(name, tag[3], True):
+            return None
+        return _Open(name, start, True, inside)
+    out = name in SKIPPED or name == "header" and not inside or _ruled_out(name, tag[3], inside)
+    begins = name in MAIN and not out
+    if begins and skipped:
+        # An article ends whatever was left open before it, but not what surrounds it.
+        begins = not any(e.around and closings.of(e) > start for e in stack)
+    around = out and (name in AROUND or name in ("section", "div") and _ruled_out(name, tag[3], True))
+    return _Open(name, start, out or skipped and not begins, inside or begins, around)
+
+
 def common(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
     ids: dict = {}
