@@ -27,7 +27,7 @@ ORACLE_SQL = None
 def _with_own_columns(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``work`` on ``docs``, whose other columns can't clash with what it adds."""
     aside = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    done = work(docs.withColumnsRenamed(aside))
+    done = work(docs.toDF(*(aside.get(c, c) for c in docs.columns)))
     return done.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
