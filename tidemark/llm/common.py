@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.plans.workspace import new_folder
 from tidemark.sources.events import table
 
-__all__ = ["arrow_map", "prepare_workers", "stored", "table"]
+__all__ = ["arrow_map", "other_columns_aside", "prepare_workers", "stored", "table"]
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_LIMIT = "16m"
@@ -55,6 +57,30 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def other_columns_aside(*used: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Makes an operator keep the caller's other columns, whatever they are called.
+
+    All but ``used`` have names of their own while the operator works, so none can clash
+    with its helpers. Those called like a column that it adds are replaced by it.
+    """
+
+    def around(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(work)
+        def run(rows: DataFrame, *args: object, **options: object) -> DataFrame:
+            others = [c for c in rows.columns if c not in used]
+            aside = {c: f"_own_{k}" for k, c in enumerate(others)}
+            # All at once: a column may be called like another one's new name.
+            done = work(rows.toDF(*(aside.get(c, c) for c in rows.columns)), *args, **options)
+            names = {a: c for c, a in aside.items()}
+            added = {c.lower() for c in done.columns if c not in names}
+            kept = [c for c in done.columns if names.get(c, "").lower() not in added]
+            return done.select(*(F.col(c).alias(names.get(c, c)) for c in kept))
+
+        return run
+
+    return around
+
+
 def arrow_map(
     rows: DataFrame, work: Callable[[pa.RecordBatch], dict[str, list]], schema: StructType
 ) -> DataFrame:

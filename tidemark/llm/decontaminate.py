@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, stored
+from tidemark.llm.common import arrow_map, other_columns_aside, stored
 
 WINDOW = 10
 #: Bytes of items' text and ids in one automaton; more items make more automatons, one after another.
@@ -108,6 +108,7 @@ def _item_classes(benchmark: DataFrame) -> DataFrame:
     return words.groupBy("words").agg(F.collect_set("item_id").alias("ids"))
 
 
+@other_columns_aside("text")
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, prepare_workers, stored
+from tidemark.llm.common import arrow_map, other_columns_aside, prepare_workers, stored
 from tidemark.llm.page_blocks import blocks_of, common
 from tidemark.llm.url_filter import url_host, url_path
 
@@ -246,6 +246,7 @@ def _alike(a: str, b: str) -> int:
     return sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))
 
 
+@other_columns_aside("url", "html")
 def extract_text(pages: DataFrame) -> DataFrame:
     """``pages`` (``url, html`` and others) without ``html``, plus ``text, n_chars``.
 

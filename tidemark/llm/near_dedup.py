@@ -27,14 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, prepare_workers, stored
+from tidemark.llm.common import arrow_map, other_columns_aside, prepare_workers, stored
 from tidemark.llm.components import connected_components
 
 #: Bytes: A-Z to a-z, all others as they are.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: At most so many coordinate-value pairs count as frequent, whatever the number of documents.
 FREQUENT_PAIRS = 1_000_000
-LEAST_FREQUENT = 8
+#: A value is frequent that comes so often among one in so many classes.
+LEAST_FREQUENT, COUNTED_SHARE = 2, 16
+#: Lists whose smallest class a class is compared with first.
+STARS = 4
 #: Members of a list that are compared by a join, of a block of longer lists, and rows of a task's share.
 SHORT_LIST, BLOCK, SHARE = 32, 2048, 16_384
 #: Bins of the finer sketch, a byte each.
@@ -147,26 +150,31 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
-    """``token, digest, n`` for the first coordinate-value pairs of every class, rare ones first."""
+    """``digest, n, posted, tokens``: the first coordinate-value pairs of every class, stored.
+
+    Rare ones come first. How often values occur is counted over a share of the classes, told
+    by a hash: any order that all classes have in common gives the same links, so the share
+    decides how long lists are and nothing else. ``posted`` has a bit for each coordinate posted.
+    """
     # A value of one coordinate is another token than the same value of another one.
-    tokens = classes.select(F.posexplode("signature").alias("at", "value"))
+    share = F.pmod(F.xxhash64("digest"), F.lit(COUNTED_SHARE)) == 0
+    tokens = classes.filter(share).select(F.posexplode("signature").alias("at", "value"))
     low = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     tokens = tokens.select(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(low).alias("token"))
-    total = classes.count() * settings.coordinates
+    total = classes.count() * settings.coordinates // COUNTED_SHARE
     floor = max(LEAST_FREQUENT, total // FREQUENT_PAIRS)
-    frequent = tokens.groupBy("token").count().filter(F.col("count") > floor).toArrow()
+    frequent = tokens.groupBy("token").count().filter(F.col("count") >= floor).toArrow()
     known, often = (frequent.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(known)
     known, often = known[order], often[order]
     shared = classes.sparkSession.sparkContext.broadcast((known, often))
-    schema = StructType.fromDDL("digest binary, n long, tokens array<long>")
+    schema = StructType.fromDDL("digest binary, n long, posted long, tokens array<long>")
     prefix = settings.coordinates - settings.least + 1
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for batch in batches:
-            values = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            values = values.reshape(-1, settings.coordinates).view(np.uint32).astype(np.int64)
+            values = _matrix(batch.column(2), settings.coordinates, np.uint32).astype(np.int64)
             values |= np.arange(settings.coordinates) << 32
             counts = np.zeros(values.shape, np.int64)
             if len(known):
@@ -174,15 +182,15 @@ def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
                 counts = np.where(known[at] == values, often[at], 0)
             order = np.lexsort((values, counts), axis=1)[:, :prefix]
             chosen = np.take_along_axis(values, order, 1)
+            posted = np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64), axis=1).view(np.int64)
             offsets = np.arange(0, chosen.size + 1, prefix, dtype=np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(chosen.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), lists], names=schema.names
+                [batch.column(0), batch.column(1), pa.array(posted), lists], names=schema.names
             )
 
     prepare_workers(classes.sparkSession)
-    chosen = classes.select("digest", "n", "signature").mapInArrow(first, schema)
-    return chosen.select("digest", "n", F.explode("tokens").alias("token"))
+    return stored(classes.select("digest", "n", "signature").mapInArrow(first, schema), "postings")
 
 
 #: A table of at most so many short rows may be broadcast; larger ones are joined by shuffles.
@@ -210,7 +218,9 @@ def _traits(classes: DataFrame) -> DataFrame:
 def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
     """Equally long lists or byte strings as the rows of a matrix."""
     if pa.types.is_list(column.type):
-        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        same = values.dtype.itemsize == np.dtype(kind).itemsize
+        return (values.view(kind) if same else values.astype(kind)).reshape(-1, width)
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
@@ -289,28 +299,30 @@ class _Sets:
 
 def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """``a, b``: links that connect all classes that similar pairs connect."""
+    if settings.coordinates > 64:
+        raise ValueError("at most 64 coordinates have a bit each")
     sets = _Sets(docs, classes, settings)
-    lists = _postings(classes, settings)
+    postings = _postings(classes, settings)
+    lists = postings.select("digest", "n", F.explode("tokens").alias("token"))
     heads = lists.groupBy("token").agg(
         F.min(F.struct("digest", "n")).alias("head"), F.count("*").alias("members")
     )
     lists = stored(lists.join(heads.filter("members > 1"), "token"), "lists")
     alike = _sizes_allow(F.col("n"), F.col("head.n"), settings.percent)
-    stars = (
-        lists.filter((F.col("digest") != F.col("head.digest")) & alike)
-        .select(F.col("head.digest").alias("a"), F.col("digest").alias("b"))
-        .distinct()
-    )
+    stars = lists.filter((F.col("digest") != F.col("head.digest")) & alike)
+    # Of a class's few lists some give it a partner at once; what they miss, the lists find below.
+    stars = stars.groupBy(F.col("digest").alias("b")).agg(F.collect_set("head.digest").alias("heads"))
+    stars = stars.select(F.explode(F.slice(F.sort_array("heads"), 1, STARS)).alias("a"), "b")
     near = stored(sets.confirmed(sets.candidates(stars)), "links")
-    # Lists of two were compared in full.
-    longer = stored(_mixed(lists.filter("members > 2"), near), "open")
+    longer = stored(_mixed(lists, near), "open")
     short = _short_lists(longer.filter(F.col("members") <= SHORT_LIST), settings)
     short = sets.candidates(short.join(near, ["a", "b"], "left_anti"))
     long = longer.filter(F.col("members") > SHORT_LIST)
-    likely = _long_lists(long, classes, settings, forest=True)
+    traits = classes.select("digest", "signature", "sketch").join(postings.select("digest", "posted"), "digest")
+    likely = _long_lists(long, traits, settings, forest=True)
     tried = stored(short.union(likely).distinct(), "tried")
     near = stored(near.union(sets.confirmed(tried)), "links")
-    rest = _long_lists(_mixed(long.drop("part"), near), classes, settings, forest=False)
+    rest = _long_lists(_mixed(long.drop("part"), near), traits, settings, forest=False)
     return near.union(sets.confirmed(rest.join(tried, ["a", "b"], "left_anti")))
 
 
@@ -335,10 +347,12 @@ def _short_lists(lists: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _long_lists(
-    lists: DataFrame, classes: DataFrame, settings: Settings, *, forest: bool
+    lists: DataFrame, traits: DataFrame, settings: Settings, *, forest: bool
 ) -> DataFrame:
     """Candidates (a, b) among a list's members in different parts, found block by block.
 
+    A pair that shares several lists is a candidate of the first one's alone.
+
     With ``forest`` only so many that they join the same members, the likeliest ones.
 
     A block holds some ``BLOCK`` members; a part that has more has blocks of its own, and two
@@ -362,7 +376,7 @@ def _long_lists(
     sides = meetings.select("token", "block", "meeting", F.lit(True).alias("first"))
     second = meetings.select("token", F.col("other").alias("block"), "meeting", F.lit(False).alias("first"))
     placed = rows.join(sides.union(second.join(sides, ["token", "block", "meeting"], "left_anti")), ["token", "block"])
-    placed = stored(placed.join(_traits(classes).drop("n"), "digest"), "meetings")
+    placed = stored(placed.join(traits, "digest"), "meetings")
     shares = max(1, placed.count() // SHARE)
     share = F.pmod(F.xxhash64("meeting"), F.lit(shares))
     schema = StructType.fromDDL("a binary, b binary")
@@ -376,7 +390,7 @@ def _long_lists(
         pairs = [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)]
         return pa.Table.from_arrays(pairs, names=["a", "b"])
 
-    columns = ["meeting", "first", "digest", "n", "part", "signature", "sketch"]
+    columns = ["meeting", "token", "first", "digest", "n", "part", "signature", "sketch", "posted"]
     shared = placed.select(share.alias("share"), *columns).groupBy("share")
     return shared.applyInArrow(compare, schema).distinct()
 
@@ -388,7 +402,10 @@ def _meet(rows: pa.Table, settings: Settings, forest: bool) -> list[tuple[bytes,
     sizes = rows.column("n").to_numpy()
     _, part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)
     sketches = _matrix(rows.column("sketch").chunk(0), BINS, np.uint8)
-    signatures = _matrix(rows.column("signature").chunk(0), settings.coordinates, np.int8)
+    signatures = _matrix(rows.column("signature").chunk(0), settings.coordinates, np.int32)
+    posted = rows.column("posted").to_numpy().view(np.uint64)
+    bits = np.uint64(1) << np.arange(settings.coordinates, dtype=np.uint64)
+    coordinate = rows.column("token")[0].as_py() >> 32
     first = rows.column("first").to_numpy()
     left = np.flatnonzero(first)
     right = left if first.all() else np.flatnonzero(~first)
@@ -408,6 +425,8 @@ def _meet(rows: pa.Table, settings: Settings, forest: bool) -> list[tuple[bytes,
         for at in range(0, len(order), 8192):
             a, b = some[i[order[at : at + 8192]]], right[j[order[at : at + 8192]]]
             keep = fine_enough(sketches[a], sketches[b], sizes[a], sizes[b], settings.percent)
+            shared = (signatures[a] == signatures[b]) & ((posted[a] & posted[b])[:, None] & bits > 0)
+            keep &= shared.argmax(axis=1) == coordinate
             pairs = zip(a[keep].tolist(), b[keep].tolist(), strict=True)
             found += [p for p in pairs if not forest or joined.join(part[p[0]], part[p[1]])]
     return list({tuple(sorted((digests[x], digests[y]))) for x, y in found})
@@ -472,6 +491,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+@other_columns_aside("doc_id", "text")
 def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` less all but one of each component, with all their columns.
 

@@ -7,6 +7,7 @@ different surroundings a word stands, so that copies of one document count once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,10 +109,12 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
     """The score (0 to 1) of each whole text; null counts as empty."""
 
     @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        lexicon = _lexicon(model)
-        rows = np.array([toxicity_features(t, lexicon) for t in texts], float)
-        return pd.Series(model.trees.score(rows.reshape(len(texts), len(TOXICITY_FEATURES))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # The words that a task has met are forgotten with it.
+        lexicon = Lexicon(model.weights)
+        for texts in batches:
+            rows = np.array([toxicity_features(t, lexicon) for t in texts], float)
+            yield pd.Series(model.trees.score(rows.reshape(len(texts), len(TOXICITY_FEATURES))))
 
     return score(F.coalesce(text, F.lit("")))
 
@@ -132,14 +135,3 @@ def score_toxicity(
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.withColumns({"held_out": held, "predicted": predicted})
 
-
-_LEXICONS: dict[int, Lexicon] = {}
-
-
-def _lexicon(model: ToxicityModel) -> Lexicon:
-    """The model's lexicon with the words it has met; a worker keeps the last one."""
-    key = hash(frozenset(model.weights.items()))
-    if key not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(model.weights)
-    return _LEXICONS[key]

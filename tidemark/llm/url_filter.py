@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import other_columns_aside
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_DIGITS = 8
 
@@ -38,6 +40,7 @@ def _host_suffixes(host: Column) -> Column:
     )
 
 
+@other_columns_aside("url")
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` (a ``url`` column and any others) plus ``host, path, rule, verdict``.
 
