@@ -36,8 +36,6 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FREQUENT_PAIRS = 1_000_000
 #: A value is frequent that comes so often among one in so many classes.
 LEAST_FREQUENT, COUNTED_SHARE = 2, 16
-#: Lists whose smallest class a class is compared with first.
-STARS = 4
 #: Members of a list that are compared by a join, of a block of longer lists, and rows of a task's share.
 SHORT_LIST, BLOCK, SHARE = 32, 2048, 16_384
 #: Bins of the finer sketch, a byte each.
@@ -309,12 +307,14 @@ def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame
     )
     lists = stored(lists.join(heads.filter("members > 1"), "token"), "lists")
     alike = _sizes_allow(F.col("n"), F.col("head.n"), settings.percent)
-    stars = lists.filter((F.col("digest") != F.col("head.digest")) & alike)
-    # Of a class's few lists some give it a partner at once; what they miss, the lists find below.
-    stars = stars.groupBy(F.col("digest").alias("b")).agg(F.collect_set("head.digest").alias("heads"))
-    stars = stars.select(F.explode(F.slice(F.sort_array("heads"), 1, STARS)).alias("a"), "b")
+    stars = (
+        lists.filter((F.col("digest") != F.col("head.digest")) & alike)
+        .select(F.col("head.digest").alias("a"), F.col("digest").alias("b"))
+        .distinct()
+    )
     near = stored(sets.confirmed(sets.candidates(stars)), "links")
-    longer = stored(_mixed(lists, near), "open")
+    # Lists of two were compared in full.
+    longer = stored(_mixed(lists.filter("members > 2"), near), "open")
     short = _short_lists(longer.filter(F.col("members") <= SHORT_LIST), settings)
     short = sets.candidates(short.join(near, ["a", "b"], "left_anti"))
     long = longer.filter(F.col("members") > SHORT_LIST)
