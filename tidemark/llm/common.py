@@ -19,7 +19,7 @@ from tidemark.sources.events import table
 __all__ = ["arrow_map", "other_columns_aside", "prepare_workers", "stored", "table"]
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_LIMIT = "16m"
+BATCH_LIMIT = "8m"
 ARCHIVE = "tidemark-code.zip"
 
 
@@ -95,6 +95,8 @@ def arrow_map(
                 columns = work(batch)
                 arrays = [_array(columns[f.name], f.type) for f in kinds]
                 yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
+        # Workers live on; what Arrow keeps for its next batch would stay with them.
+        pa.default_memory_pool().release_unused()
 
     prepare_workers(rows.sparkSession)
     return rows.mapInArrow(run, schema)
