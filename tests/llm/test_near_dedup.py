@@ -114,6 +114,52 @@ def test_long_lists_are_compared_block_by_block(spark, monkeypatch):
     compare(spark, list(enumerate(texts)), 2)
 
 
+def test_blocks_are_bounded_by_shingles_too(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(near_dedup, "SHARE_SHINGLES", 2000)
+    chance = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    # Some linked, most just under the threshold, one far longer than a block.
+    texts = [varied(chance, base, chance.choice((2, 7, 9, 10, 11))) for _ in range(60)]
+    long = [f"l{k}" for k in range(900)]
+    texts += [" ".join(base + long), " ".join(base + long[:880]), " ".join(base)]
+    compare(spark, list(enumerate(texts)), 2)
+
+
+def test_a_meeting_gives_fewer_links_than_parts():
+    np, pa, settings = near_dedup.np, near_dedup.pa, Settings(words=2)
+    chance = random.Random(14)
+    base = [f"w{k}" for k in range(100)]
+    texts = sorted({varied(chance, base, chance.choice((1, 6, 7, 8))) for _ in range(80)})
+    sets = [near_dedup.shingle_hashes(near_dedup.words_of(t), 2) for t in texts]
+    signed = [near_dedup.signature(h, settings.multipliers) for h in sets]
+    value = max({s[0] for s in signed}, key=[s[0] for s in signed].count)
+    rows = [
+        {"token": 0, "first": k % 2 == 0, "digest": b"%03d" % k, "n": len(h), "part": b"%03d" % k,
+         "signature": s, "posted": 1, "hashes": h.view(np.int64)}
+        for k, (h, s) in enumerate(zip(sets, signed, strict=True)) if s[0] == value
+    ]
+    kinds = {"signature": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64())}
+    columns = {n: pa.array([r[n] for r in rows], kinds.get(n)) for n in rows[0]}
+    links = near_dedup._meet(pa.table(columns), settings)
+    assert 0 < len(links) < len(rows)
+
+    def similar(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
+
+    assert all(similar(int(a), int(b)) for a, b in links)
+    joined = near_dedup._Joined(len(texts))
+    for a, b in links:
+        joined.join(int(a), int(b))
+    for r in rows:
+        for q in rows:
+            if r["first"] and not q["first"] and similar(int(r["digest"]), int(q["digest"])):
+                agree = (r["signature"] == q["signature"]).sum()
+                assert agree < settings.least or not joined.apart(int(r["digest"]), int(q["digest"]))
+
+
 def test_fine_sketch_lets_similar_sets_pass():
     draws = near_dedup.np.random.Generator(near_dedup.np.random.PCG64(3))
     for n in (1, 3, 10, 100, 1000, 30_000):

@@ -10,10 +10,11 @@ Lists aren't expanded into pairs. First every member is compared with its list's
 class. What may be left are links between members of one list that are in different parts
 then. Lists of up to ``SHORT_LIST`` members give those few pairs; longer ones are cut into
 blocks of bounded size, parts kept together, and pairs of blocks that hold more than one
-part are compared as matrices. These give at first only a spanning forest of the likeliest
-candidates, so that a large group of variants is joined by as many pairs as it has members;
-what candidates then remain between different parts are all given. Candidates must agree in
-``least`` coordinates and in a second, finer sketch, and the full sets confirm every link.
+part are compared as matrices, with the full sets at hand. They give links only, and of
+those only what joins parts that were apart, so neither a large group of variants nor one
+just under the threshold makes more pairs than it has members. Candidates must agree in
+``least`` coordinates, outside blocks in a second, finer sketch as well, and the full sets
+confirm every link.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ FREQUENT_PAIRS = 1_000_000
 LEAST_FREQUENT, COUNTED_SHARE = 2, 16
 #: Members of a list that are compared by a join, of a block of longer lists, and rows of a task's share.
 SHORT_LIST, BLOCK, SHARE = 32, 2048, 16_384
+#: Shingles of a block's sets and of a task's share, 8 bytes each; a larger set is alone.
+BLOCK_SHINGLES, SHARE_SHINGLES = 1_000_000, 2_000_000
 #: Bins of the finer sketch, a byte each.
 BINS = 256
 #: Standard deviations that estimates may lie under what is asked for.
@@ -258,7 +261,7 @@ class _Sets:
         percent = self.settings.percent
         pairs = stored(pairs.select("a", "b"), "candidates")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        sets = stored(self._sets(needed), "sets")
+        sets = self.of(needed)
         left = sets.withColumnsRenamed({"digest": "a", "hashes": "_left"})
         right = sets.withColumnsRenamed({"digest": "b", "hashes": "_right"})
         both = pairs.join(left, "a").join(right, "b")
@@ -270,8 +273,8 @@ class _Sets:
         similar = counted.filter(100 * F.col("common").cast("long") >= percent * union.cast("long"))
         return similar.select("a", "b")
 
-    def _sets(self, needed: DataFrame) -> DataFrame:
-        """The sets of classes, made anew from one document's text each."""
+    def of(self, needed: DataFrame) -> DataFrame:
+        """``digest, hashes`` of the classes ``needed``, made anew from one document's text each."""
         wanted = self.classes.join(needed, "digest").select(
             F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")
         )
@@ -292,7 +295,7 @@ class _Sets:
                     rows["hashes"].append(hashes.view(np.int64))
             return rows
 
-        return arrow_map(chosen, build, schema).dropDuplicates(["digest"])
+        return stored(arrow_map(chosen, build, schema).dropDuplicates(["digest"]), "sets")
 
 
 def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -303,7 +306,9 @@ def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame
     postings = _postings(classes, settings)
     lists = postings.select("digest", "n", F.explode("tokens").alias("token"))
     heads = lists.groupBy("token").agg(
-        F.min(F.struct("digest", "n")).alias("head"), F.count("*").alias("members")
+        F.min(F.struct("digest", "n")).alias("head"),
+        F.count("*").alias("members"),
+        F.sum("n").alias("weight"),
     )
     lists = stored(lists.join(heads.filter("members > 1"), "token"), "lists")
     alike = _sizes_allow(F.col("n"), F.col("head.n"), settings.percent)
@@ -316,23 +321,18 @@ def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame
     # Lists of two were compared in full.
     longer = stored(_mixed(lists.filter("members > 2"), near), "open")
     short = _short_lists(longer.filter(F.col("members") <= SHORT_LIST), settings)
-    short = sets.candidates(short.join(near, ["a", "b"], "left_anti"))
-    long = longer.filter(F.col("members") > SHORT_LIST)
-    traits = classes.select("digest", "signature", "sketch").join(postings.select("digest", "posted"), "digest")
-    likely = _long_lists(long, traits, settings, forest=True)
-    tried = stored(short.union(likely).distinct(), "tried")
-    near = stored(near.union(sets.confirmed(tried)), "links")
-    rest = _long_lists(_mixed(long.drop("part"), near), traits, settings, forest=False)
-    return near.union(sets.confirmed(rest.join(tried, ["a", "b"], "left_anti")))
+    short = sets.confirmed(sets.candidates(short.join(near, ["a", "b"], "left_anti")))
+    long = _long_lists(longer.filter(F.col("members") > SHORT_LIST), sets, postings, settings)
+    return near.union(short).union(long)
 
 
 def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """``token, members, digest, n, part`` of the lists whose members are in several parts.
+    """``token, members, weight, digest, n, part`` of the lists whose members are in several parts.
 
     A list inside one part has nothing left to find.
     """
     parts = connected_components(links).withColumnsRenamed({"node": "digest", "component": "part"})
-    rows = lists.select("token", "members", "digest", "n").join(parts, "digest", "left")
+    rows = lists.select("token", "members", "weight", "digest", "n").join(parts, "digest", "left")
     rows = stored(rows.withColumn("part", F.coalesce("part", "digest")), "open")
     ends = rows.groupBy("token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"))
     return rows.join(ends.filter("_low <> _high").select("token"), "token")
@@ -346,26 +346,29 @@ def _short_lists(lists: DataFrame, settings: Settings) -> DataFrame:
     return pairs.filter(_sizes_allow(F.col("n"), F.col("_n"), settings.percent)).select("a", "b").distinct()
 
 
-def _long_lists(
-    lists: DataFrame, traits: DataFrame, settings: Settings, *, forest: bool
-) -> DataFrame:
-    """Candidates (a, b) among a list's members in different parts, found block by block.
+def _blocks(count: Column, weight: Column) -> Column:
+    """How many blocks so many members with so many shingles make."""
+    return F.ceil(F.greatest(count / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
 
-    A pair that shares several lists is a candidate of the first one's alone.
 
-    With ``forest`` only so many that they join the same members, the likeliest ones.
+def _long_lists(lists: DataFrame, sets: _Sets, postings: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join what a list's members in different parts join, found block by block.
 
-    A block holds some ``BLOCK`` members; a part that has more has blocks of its own, and two
-    blocks of the same single part aren't compared. Tasks get shares of some ``SHARE`` rows.
+    A pair that shares several lists is looked at in the first one alone. Every block gives at
+    most one link fewer than it has parts.
+
+    A block holds some ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles; a part that has more
+    has blocks of its own, and two blocks of the same single part aren't compared. Tasks get
+    shares of some ``SHARE`` rows and ``SHARE_SHINGLES`` shingles.
     """
     rows = stored(lists, "long")
-    parts = rows.groupBy("token", "part").agg(F.count("*").alias("_count"))
-    spread = F.ceil(F.col("_count") / BLOCK).cast("int")
+    parts = rows.groupBy("token", "part").agg(F.count("*").alias("_count"), F.sum("n").alias("_weight"))
+    spread = _blocks(F.col("_count"), F.col("_weight"))
     own = F.pmod(F.xxhash64("digest"), spread)
-    among = F.pmod(F.xxhash64("part"), F.ceil(F.col("members") / BLOCK).cast("int"))
+    among = F.pmod(F.xxhash64("part"), _blocks(F.col("members"), F.col("weight")))
     alone = F.xxhash64(F.lit("part"), "part", own)
     rows = rows.join(parts, ["token", "part"]).withColumn(
-        "block", F.when(F.col("_count") > BLOCK, alone).otherwise(F.xxhash64(F.lit("all"), among))
+        "block", F.when(spread > 1, alone).otherwise(F.xxhash64(F.lit("all"), among))
     )
     rows = stored(rows.select("token", "block", "digest", "n", "part"), "blocks")
     blocks = rows.groupBy("token", "block").agg(F.min("part").alias("low"), F.max("part").alias("high"))
@@ -376,9 +379,12 @@ def _long_lists(
     sides = meetings.select("token", "block", "meeting", F.lit(True).alias("first"))
     second = meetings.select("token", F.col("other").alias("block"), "meeting", F.lit(False).alias("first"))
     placed = rows.join(sides.union(second.join(sides, ["token", "block", "meeting"], "left_anti")), ["token", "block"])
-    placed = stored(placed.join(traits, "digest"), "meetings")
-    shares = max(1, placed.count() // SHARE)
+    placed = stored(placed.drop("block"), "meetings")
+    held = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shares = max(1, held[0] // SHARE, held[1] // SHARE_SHINGLES)
     share = F.pmod(F.xxhash64("meeting"), F.lit(shares))
+    traits = sets.classes.select("digest", "signature").join(postings.select("digest", "posted"), "digest")
+    traits = traits.join(sets.of(rows.select("digest").distinct()), "digest")
     schema = StructType.fromDDL("a binary, b binary")
 
     def compare(share_rows: pa.Table) -> pa.Table:
@@ -386,26 +392,29 @@ def _long_lists(
         order = share_rows.sort_by("meeting")
         edges = np.flatnonzero(np.diff(order.column("meeting").to_numpy())) + 1
         for low, high in zip([0, *edges], [*edges, order.num_rows], strict=True):
-            found += _meet(order.slice(low, high - low), settings, forest)
+            found += _meet(order.slice(low, high - low), settings)
         pairs = [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)]
         return pa.Table.from_arrays(pairs, names=["a", "b"])
 
-    columns = ["meeting", "token", "first", "digest", "n", "part", "signature", "sketch", "posted"]
-    shared = placed.select(share.alias("share"), *columns).groupBy("share")
-    return shared.applyInArrow(compare, schema).distinct()
+    prepare_workers(rows.sparkSession)
+    columns = ["meeting", "token", "first", "digest", "n", "part", "signature", "posted", "hashes"]
+    shared = placed.join(traits, "digest").select(share.alias("share"), *columns).groupBy("share")
+    return stored(shared.applyInArrow(compare, schema).distinct(), "links")
 
 
-def _meet(rows: pa.Table, settings: Settings, forest: bool) -> list[tuple[bytes, bytes]]:
-    """Candidates among the members of one block, or between those of two."""
+def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
+    """Links among the members of one block, or between those of two, that join their parts."""
     rows = rows.combine_chunks()
     digests = rows.column("digest").to_pylist()
     sizes = rows.column("n").to_numpy()
     _, part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)
-    sketches = _matrix(rows.column("sketch").chunk(0), BINS, np.uint8)
     signatures = _matrix(rows.column("signature").chunk(0), settings.coordinates, np.int32)
     posted = rows.column("posted").to_numpy().view(np.uint64)
     bits = np.uint64(1) << np.arange(settings.coordinates, dtype=np.uint64)
     coordinate = rows.column("token")[0].as_py() >> 32
+    hashes = rows.column("hashes").chunk(0).flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(sizes)
+    of = [hashes[end - size : end] for end, size in zip(ends, sizes, strict=True)]
     first = rows.column("first").to_numpy()
     left = np.flatnonzero(first)
     right = left if first.all() else np.flatnonzero(~first)
@@ -419,21 +428,35 @@ def _meet(rows: pa.Table, settings: Settings, forest: bool) -> list[tuple[bytes,
         small, large = sizes[some][:, None], sizes[right][None, :]
         fits = (100 * small >= settings.percent * large) & (100 * large >= settings.percent * small)
         fits &= (part[some][:, None] != part[right][None, :]) & (agree >= settings.least)
-        i, j = np.nonzero(fits)
-        # Those that agree most first.
-        order = np.argsort(-agree[i, j], kind="stable")
-        for at in range(0, len(order), 8192):
-            a, b = some[i[order[at : at + 8192]]], right[j[order[at : at + 8192]]]
-            keep = fine_enough(sketches[a], sketches[b], sizes[a], sizes[b], settings.percent)
-            shared = (signatures[a] == signatures[b]) & ((posted[a] & posted[b])[:, None] & bits > 0)
-            keep &= shared.argmax(axis=1) == coordinate
-            pairs = zip(a[keep].tolist(), b[keep].tolist(), strict=True)
-            found += [p for p in pairs if not forest or joined.join(part[p[0]], part[p[1]])]
-    return list({tuple(sorted((digests[x], digests[y]))) for x, y in found})
+        if right is left:
+            fits &= some[:, None] < right[None, :]
+        for i in np.flatnonzero(fits.any(axis=1)):
+            near = np.flatnonzero(fits[i])
+            # Those that agree most first.
+            others = right[near[np.argsort(-agree[i, near], kind="stable")]]
+            a = some[i]
+            for at in range(0, len(others), 128):
+                b = others[at : at + 128]
+                b = b[[joined.apart(part[a], part[x]) for x in b]]
+                shared = (signatures[a] == signatures[b]) & (posted[a] & posted[b] & bits[:, None] > 0).T
+                b = b[shared.argmax(axis=1) == coordinate]
+                if len(b):
+                    similar = b[_similar(of[a], [of[x] for x in b], settings.percent)]
+                    found += [(a, x) for x in similar if joined.join(part[a], part[x])]
+    return [tuple(sorted((digests[x], digests[y]))) for x, y in found]
+
+
+def _similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets, sorted and none of them empty, are similar enough to this one."""
+    sizes = np.array([len(x) for x in others])
+    together = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, together), len(own) - 1)
+    common = np.add.reduceat((own[at] == together).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (len(own) + sizes - common)
 
 
 class _Joined:
-    """Which of a block's parts its candidates have joined so far."""
+    """Which of a block's parts its links have joined so far."""
 
     def __init__(self, count: int):
         self.up = list(range(count))
@@ -444,6 +467,9 @@ class _Joined:
             node = self.up[node]
         return node
 
+    def apart(self, a: int, b: int) -> bool:
+        return self._end(a) != self._end(b)
+
     def join(self, a: int, b: int) -> bool:
         """Whether this joins two that were apart."""
         a, b = self._end(a), self._end(b)
