@@ -10,16 +10,16 @@ Lists aren't expanded into pairs. First every member is compared with its list's
 class. What may be left are links between members of one list that are in different parts
 then. Lists of up to ``SHORT_LIST`` members give those few pairs; longer ones are cut into
 blocks of bounded size, parts kept together, and pairs of blocks that hold more than one
-part are compared as matrices, with the full sets at hand. They give links only, and of
-those only what joins parts that were apart, so neither a large group of variants nor one
-just under the threshold makes more pairs than it has members. Candidates must agree in
-``least`` coordinates, outside blocks in a second, finer sketch as well, and the full sets
-confirm every link.
+part are compared as matrices: by signatures to tell which members have candidates at all,
+then those with the full sets at hand. They give links only, and of those only what joins
+parts that were apart, so neither a large group of variants nor one just under the
+threshold makes more pairs than it has members. Candidates must agree in ``least``
+coordinates and in a second, finer sketch, and the full sets confirm every link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -261,7 +261,7 @@ class _Sets:
         percent = self.settings.percent
         pairs = stored(pairs.select("a", "b"), "candidates")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        sets = self.of(needed)
+        sets = stored(self.of(needed), "sets")
         left = sets.withColumnsRenamed({"digest": "a", "hashes": "_left"})
         right = sets.withColumnsRenamed({"digest": "b", "hashes": "_right"})
         both = pairs.join(left, "a").join(right, "b")
@@ -295,7 +295,7 @@ class _Sets:
                     rows["hashes"].append(hashes.view(np.int64))
             return rows
 
-        return stored(arrow_map(chosen, build, schema).dropDuplicates(["digest"]), "sets")
+        return arrow_map(chosen, build, schema).dropDuplicates(["digest"])
 
 
 def _links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -380,46 +380,69 @@ def _long_lists(lists: DataFrame, sets: _Sets, postings: DataFrame, settings: Se
     second = meetings.select("token", F.col("other").alias("block"), "meeting", F.lit(False).alias("first"))
     placed = rows.join(sides.union(second.join(sides, ["token", "block", "meeting"], "left_anti")), ["token", "block"])
     placed = stored(placed.drop("block"), "meetings")
-    held = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    posted = postings.select("digest", "posted")
+    traits = sets.classes.select("digest", "signature", "sketch").join(posted, "digest")
+
+    def screen(rows: pa.Table) -> pa.Table:
+        active = np.zeros(rows.num_rows, bool)
+        for a, others in _agreeing(rows, settings):
+            active[a] = active[others] = True
+        return rows.select(MEMBER).filter(pa.array(active))
+
+    screened = _by_meeting(placed.join(traits, "digest"), placed, screen, placed.select(*MEMBER).schema)
+    active = stored(screened, "active")
+    needed = active.select("digest").distinct()
+    # Joined as they are dealt, so the sets are shuffled once to their class and once to a meeting.
+    full = sets.of(needed).join(traits.drop("sketch"), "digest")
+
+    def link(rows: pa.Table) -> pa.Table:
+        found = _meet(rows, settings)
+        return pa.Table.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    linked = _by_meeting(active.join(full, "digest"), active, link, StructType.fromDDL("a binary, b binary"))
+    return stored(linked.distinct(), "links")
+
+
+#: What is known of a member of a meeting.
+MEMBER = ["meeting", "token", "first", "digest", "n", "part"]
+
+
+def _by_meeting(
+    rows: DataFrame, members: DataFrame, work: Callable[[pa.Table], pa.Table], schema: StructType
+) -> DataFrame:
+    """What ``work`` makes of every meeting's rows; ``members`` tells how many shares that takes."""
+    held = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shares = max(1, held[0] // SHARE, held[1] // SHARE_SHINGLES)
-    share = F.pmod(F.xxhash64("meeting"), F.lit(shares))
-    traits = sets.classes.select("digest", "signature").join(postings.select("digest", "posted"), "digest")
-    traits = traits.join(sets.of(rows.select("digest").distinct()), "digest")
-    schema = StructType.fromDDL("a binary, b binary")
-
-    def compare(share_rows: pa.Table) -> pa.Table:
-        found: list[tuple[bytes, bytes]] = []
-        order = share_rows.sort_by("meeting")
+
+    def run(share_rows: pa.Table) -> pa.Table:
+        order = share_rows.drop_columns("share").sort_by("meeting")
         edges = np.flatnonzero(np.diff(order.column("meeting").to_numpy())) + 1
-        for low, high in zip([0, *edges], [*edges, order.num_rows], strict=True):
-            found += _meet(order.slice(low, high - low), settings)
-        pairs = [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)]
-        return pa.Table.from_arrays(pairs, names=["a", "b"])
+        met = zip([0, *edges], [*edges, order.num_rows], strict=True)
+        return pa.concat_tables([work(order.slice(low, high - low)) for low, high in met])
 
     prepare_workers(rows.sparkSession)
-    columns = ["meeting", "token", "first", "digest", "n", "part", "signature", "posted", "hashes"]
-    shared = placed.join(traits, "digest").select(share.alias("share"), *columns).groupBy("share")
-    return stored(shared.applyInArrow(compare, schema).distinct(), "links")
+    shared = rows.withColumn("share", F.pmod(F.xxhash64("meeting"), F.lit(shares))).groupBy("share")
+    return shared.applyInArrow(run, schema)
 
 
-def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
-    """Links among the members of one block, or between those of two, that join their parts."""
+def _agreeing(rows: pa.Table, settings: Settings) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and its candidates, likeliest first, in one block or between two.
+
+    A candidate is in another part, and this list is the first that the two share.
+    """
     rows = rows.combine_chunks()
-    digests = rows.column("digest").to_pylist()
     sizes = rows.column("n").to_numpy()
     _, part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)
+    sketches = None
+    if "sketch" in rows.column_names:
+        sketches = _matrix(rows.column("sketch").chunk(0), BINS, np.uint8)
     signatures = _matrix(rows.column("signature").chunk(0), settings.coordinates, np.int32)
     posted = rows.column("posted").to_numpy().view(np.uint64)
     bits = np.uint64(1) << np.arange(settings.coordinates, dtype=np.uint64)
     coordinate = rows.column("token")[0].as_py() >> 32
-    hashes = rows.column("hashes").chunk(0).flatten().to_numpy().view(np.uint64)
-    ends = np.cumsum(sizes)
-    of = [hashes[end - size : end] for end, size in zip(ends, sizes, strict=True)]
     first = rows.column("first").to_numpy()
     left = np.flatnonzero(first)
     right = left if first.all() else np.flatnonzero(~first)
-    joined = _Joined(int(part.max()) + 1)
-    found: list[tuple[int, int]] = []
     for low in range(0, len(left), 256):
         some = left[low : low + 256]
         agree = np.zeros((len(some), len(right)), np.int16)
@@ -431,18 +454,33 @@ def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
         if right is left:
             fits &= some[:, None] < right[None, :]
         for i in np.flatnonzero(fits.any(axis=1)):
-            near = np.flatnonzero(fits[i])
-            # Those that agree most first.
-            others = right[near[np.argsort(-agree[i, near], kind="stable")]]
-            a = some[i]
-            for at in range(0, len(others), 128):
-                b = others[at : at + 128]
-                b = b[[joined.apart(part[a], part[x]) for x in b]]
-                shared = (signatures[a] == signatures[b]) & (posted[a] & posted[b] & bits[:, None] > 0).T
-                b = b[shared.argmax(axis=1) == coordinate]
-                if len(b):
-                    similar = b[_similar(of[a], [of[x] for x in b], settings.percent)]
-                    found += [(a, x) for x in similar if joined.join(part[a], part[x])]
+            a, near = some[i], np.flatnonzero(fits[i])
+            b = right[near[np.argsort(-agree[i, near], kind="stable")]]
+            shared = (signatures[a] == signatures[b]) & ((posted[a] & posted[b])[:, None] & bits > 0)
+            b = b[shared.argmax(axis=1) == coordinate]
+            if sketches is not None and len(b):
+                b = b[fine_enough(sketches[[a]], sketches[b], sizes[a], sizes[b], settings.percent)]
+            if len(b):
+                yield a, b
+
+
+def _meet(rows: pa.Table, settings: Settings) -> list[tuple[bytes, bytes]]:
+    """Links among the members of one block, or between those of two, that join their parts."""
+    rows = rows.combine_chunks()
+    digests, sizes = rows.column("digest").to_pylist(), rows.column("n").to_numpy()
+    _, part = np.unique(np.array(rows.column("part").to_pylist(), object), return_inverse=True)
+    hashes = rows.column("hashes").chunk(0).flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(sizes)
+    of = [hashes[end - size : end] for end, size in zip(ends, sizes, strict=True)]
+    joined = _Joined(int(part.max()) + 1)
+    found: list[tuple[int, int]] = []
+    for a, others in _agreeing(rows, settings):
+        for at in range(0, len(others), 128):
+            b = others[at : at + 128]
+            b = b[[joined.apart(part[a], part[x]) for x in b]]
+            if len(b):
+                similar = b[_similar(of[a], [of[x] for x in b], settings.percent)]
+                found += [(a, x) for x in similar if joined.join(part[a], part[x])]
     return [tuple(sorted((digests[x], digests[y]))) for x, y in found]
 
 
