@@ -109,7 +109,7 @@ def accuracy(rows, labels, folds, held_out):
 
 @pytest.mark.parametrize(
     ("query", "label", "folds", "held_out", "least"),
-    [(queries.op2_quality, "quality", 5, 0, 0.95), (queries.op6_toxicity, "toxic", 4, 2, 0.85)],
+    [(queries.op2_quality, "quality", 5, 0, 0.95), (queries.op6_toxicity, "toxic", 4, 2, 0.88)],
 )
 def test_held_out_accuracy(spark, query, label, folds, held_out, least):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
@@ -118,6 +118,38 @@ def test_held_out_accuracy(spark, query, label, folds, held_out, least):
     assert accuracy(rows, labels, folds, held_out) >= least
 
 
+def test_toxic_documents_are_found_and_clean_ones_left(spark):
+    data = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    held = [r for r in queries.op6_toxicity(spark, data).collect() if r.held_out and r.doc_id in labels]
+    toxic = [r.predicted for r in held if labels[r.doc_id] == 1]
+    caught = sum(toxic)
+    assert len(toxic) > 50
+    assert caught / len(toxic) >= 0.9
+    assert caught / sum(r.predicted for r in held) >= 0.9
+
+
+def test_near_people_by_brute_force():
+    draws = np.random.Generator(np.random.PCG64(5))
+    lexicon = Lexicon({"bad": 3.0, "worse~": 2.0})
+    place = TOXICITY_FEATURES.index("second_person_near_hits")
+    for _ in range(200):
+        words = draws.choice(["bad", "you", "a", "b", "worsening"], size=draws.integers(1, 40)).tolist()
+        hits = [k for k, w in enumerate(words) if w in ("bad", "worsening")]
+        near = sum("you" in words[max(0, k - 5) : k + 6] for k in hits)
+        got = toxicity_features(" ".join(words), lexicon)
+        assert got[place] == near / max(1, len(hits))
+        assert got[1] == len(hits) / len(words)
+
+
+def test_lexicon_keeps_a_rare_toxic_word_among_many_ordinary_ones(spark):
+    ordinary = " ".join(f"w{k:05}" for k in range(21_000))
+    rows = [(f"u{k} vile v{k} {ordinary}", 1) for k in range(6)] + [(ordinary, 0)] * 12
+    rows += [(f"x{k} {ordinary} y{k}", 1) for k in range(6)]
+    weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert set(weights) == {"vile"}
+
+
 def test_sample_leaves_out_what_it_must(spark):
     docs = spark.createDataFrame([(k, f"t{k}", "") for k in [*range(60), 1, 2, 2]] + [(None, "n", "")], DOCS)
     labels = [(k, k % 2) for k in range(50)] + [(4, 1), (6, None), (8, 7), (1, 1), (None, 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Container, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -129,8 +129,13 @@ def bare(word: str) -> str:
 
 
 def forms(word: str) -> tuple[str, ...]:
-    """What a lexicon knows a word by: itself, and its beginnings with a ``~``."""
-    return (word, *(word[:k] + "~" for k in (4, 5, 6, 7) if len(word) > k))
+    """What a lexicon knows a word by: itself, and its beginnings with a ``~``.
+
+    A word of more than 64 characters, such as a text without spaces, is known by its
+    beginnings only, which keeps a lexicon small.
+    """
+    own = (word,) if len(word) <= 64 else ()
+    return (*own, *(word[:k] + "~" for k in (4, 5, 6, 7) if len(word) > k))
 
 
 class Lexicon:
@@ -170,25 +175,44 @@ def toxicity_features(text: str, lexicon: Lexicon, near: int = 5) -> list[float]
     n = len(words)
     if not n:
         return [0.0] * len(TOXICITY_FEATURES)
-    found = [lexicon.look_up(w) for w in words]
-    hits = [k for k, f in enumerate(found) if f[0]]
-    close = sum(any(f[2] for f in found[max(0, k - near) : k + near + 1]) for k in hits)
-    weights = [found[k][0] for k in hits]
+    # Each different word is looked up once; most say nothing.
+    hits, people = {}, set()
+    masks = persons = capitals = obfuscations = 0
+    for word, often in Counter(words).items():
+        weight, masked, person, capital, obfuscated = lexicon.look_up(word)
+        if weight:
+            hits[word] = weight
+            masks += often * masked
+        if person:
+            people.add(word)
+            persons += often
+        capitals += often * capital
+        obfuscations += often * obfuscated
+    weights = [hits[w] for w in words if w in hits] if hits else []
+    close = _near(words, hits, people, near) if hits and people else 0
     counts = class_counts(text)
     marks = max(1, len(text) - int(counts[SPACE]))
     return [
         float(np.log1p(n)),
-        len(hits) / n,
-        float(np.log1p(len(hits))),
+        len(weights) / n,
+        float(np.log1p(len(weights))),
         max(weights, default=0.0),
         sum(weights) / n,
-        sum(found[k][1] for k in hits) / n,
-        sum(f[2] for f in found) / n,
-        close / max(1, len(hits)),
+        masks / n,
+        persons / n,
+        close / max(1, len(weights)),
         counts[UPPER] / max(1, counts[UPPER] + counts[LOWER]),
-        sum(f[3] for f in found) / n,
+        capitals / n,
         counts[SYMBOL] / marks,
         text.count("!") / n,
-        sum(f[4] for f in found) / n,
+        obfuscations / n,
         (len(text) - int(counts[SPACE])) / n,
     ]
+
+
+def _near(words: list[str], hits: Container[str], people: Container[str], near: int) -> int:
+    """How many hits have a word that addresses someone at most ``near`` words away."""
+    at = np.array([k for k, w in enumerate(words) if w in hits])
+    others = np.array([k for k, w in enumerate(words) if w in people])
+    low, high = (np.searchsorted(others, at + d, s) for d, s in ((-near, "left"), (near, "right")))
+    return int((high > low).sum())

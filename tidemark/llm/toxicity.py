@@ -7,8 +7,10 @@ different surroundings a word stands, so that copies of one document count once.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,8 @@ from tidemark.llm.text_features import TOXICITY_FEATURES, Lexicon, bare, forms,
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: A lexicon entry stands in so many surroundings, and is so much likelier (log odds) in toxic text.
 LEAST_SURROUNDINGS, LEAST_WEIGHT = 5, 2.0
-CANDIDATES, ENTRIES = 20_000, 2_000
+#: Entries of a lexicon, the heaviest of all forms.
+ENTRIES = 2_000
 
 
 @dataclass
@@ -35,49 +38,51 @@ class ToxicityModel:
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Weights of words and beginnings from ``text, label`` rows; at most ``ENTRIES``."""
-    surroundings = StructType.fromDDL("form string, surrounding string")
+    """Weights of words and beginnings from ``text, label`` rows; the ``ENTRIES`` heaviest.
 
-    def stand(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = set()
-        for text in batch.column(0).to_pylist():
+    Forms are counted under both labels and weighed in one Spark aggregation, so no form
+    is left out before its weight is known; only the heaviest reach the driver.
+    """
+    schema = StructType.fromDDL("form string, toxic long, other long, surrounding long")
+
+    def count(batch: pa.RecordBatch) -> dict[str, list]:
+        held: tuple[Counter, Counter] = Counter(), Counter()
+        around = set()
+        texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for text, label in zip(texts, labels, strict=True):
             words = ["", *map(bare, text.split()), ""]
-            for before, word, after in zip(words, words[1:], words[2:], strict=False):
-                if word and len(word) <= Lexicon.LONGEST:
-                    rows.update((f, f"{before[:12]} {after[:12]}") for f in forms(word))
-        return {"form": [r[0] for r in rows], "surrounding": [r[1] for r in rows]}
-
-    toxic = arrow_map(sample.filter("label = 1").select("text"), stand, surroundings)
-    candidates = (
-        toxic.distinct()
+            held[label].update({f for w in set(words) if w for f in forms(w)})
+            if label:
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    if word:
+                        place = _number(f"{before} {after}")
+                        around.update((f, place) for f in forms(word))
+        rows = [(f, 0, n, None) for f, n in held[0].items()]
+        rows += [(f, n, 0, None) for f, n in held[1].items()]
+        rows += [(f, 0, 0, place) for f, place in around]
+        return {n: [r[k] for r in rows] for k, n in enumerate(schema.names)}
+
+    counts = (
+        arrow_map(sample, count, schema)
         .groupBy("form")
-        .count()
-        .filter(F.col("count") >= LEAST_SURROUNDINGS)
-        .orderBy(F.desc("count"), "form")
-        .limit(CANDIDATES)
+        .agg(
+            F.sum("toxic").alias("toxic"),
+            F.sum("other").alias("other"),
+            F.count_distinct("surrounding").alias("places"),
+        )
+        .withColumn("held", F.least("toxic", "places"))
+        .filter(F.col("held") >= LEAST_SURROUNDINGS)
     )
-    support = {r["form"]: r["count"] for r in candidates.collect()}
-    seen = StructType.fromDDL("form string, label int")
+    toxic, other = sample.agg(F.sum("label"), F.count_if(F.col("label") == 0)).first()
+    of_toxic = (F.col("held") + 0.5) / F.lit((toxic or 0) + 1)
+    of_other = (F.col("other") + 0.5) / F.lit(other + 1)
+    weighed = counts.select("form", (F.log(of_toxic) - F.log(of_other)).alias("weight"))
+    heaviest = weighed.filter(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc("weight"), "form")
+    return {r.form: r.weight for r in heaviest.limit(ENTRIES).collect()}
 
-    def hold(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = []
-        texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for text, label in zip(texts, labels, strict=True):
-            words = {bare(w) for w in text.split()}
-            held = {f for w in words if w for f in forms(w) if f in support}
-            rows.extend((f, label) for f in held)
-        return {"form": [r[0] for r in rows], "label": [r[1] for r in rows]}
-
-    counted = arrow_map(sample, hold, seen).groupBy("form")
-    counts = counted.agg(F.sum("label").alias("toxic"), F.count_if(F.col("label") == 0).alias("other"))
-    total = sample.agg(F.sum("label"), F.count_if(F.col("label") == 0)).first()
-    weights = {}
-    for form, toxic_docs, other_docs in counts.collect():
-        held = min(toxic_docs, support[form])
-        odds = np.log((held + 0.5) / (total[0] + 1)) - np.log((other_docs + 0.5) / (total[1] + 1))
-        if held >= LEAST_SURROUNDINGS and odds >= LEAST_WEIGHT:
-            weights[form] = float(odds)
-    return dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+
+def _number(words: str) -> int:
+    return int.from_bytes(blake2b(words.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def fit_toxicity(
@@ -125,7 +130,8 @@ def score_toxicity(
     """``docs`` plus ``held_out, score, predicted``, from each whole ``text`` alone.
 
     ``score`` (0 to 1) is higher the likelier label 1 is; ``predicted`` is 1 from
-    ``threshold`` on. Null and empty texts are scored alike, by features that are all 0.
+    ``threshold`` on. Null and empty texts are scored alike, by features that are all 0;
+    equal texts get equal scores, and very long ones are read whole, one at a time.
     ``held_out`` marks the fold that is never learned from, false for a null id. Columns
     called like the added ones are replaced; other columns and repeated rows stay.
     """
