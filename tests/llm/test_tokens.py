@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tidemark.llm import queries
+from tidemark.llm import packing, queries
 from tidemark.llm.packing import OpenBins, pack, pack_documents, sequences
 from tidemark.llm.token_count import count_tokens, transducer
 from tidemark.llm.token_transducer import SLICE
@@ -174,3 +174,19 @@ def test_bins_are_bounded_and_best_fit():
     assert bins.place(5) == (1, 5)
     assert bins.place(1) == (3, 9)
     assert (bins.open, bins.free) == (0, 0)
+
+
+def test_bins_close_for_the_bound_at_production_settings():
+    draws = np.random.Generator(np.random.PCG64(8))
+    lengths = draws.integers(200, 1400, size=40_000)
+    # As many pieces as one task gets, longest first.
+    lengths = np.sort(lengths[np.cumsum(lengths) <= packing.TASK_SEQUENCES * packing.CAPACITY])[::-1]
+    peaks = []
+    for limit in (1 << 20, packing.OPEN_BINS):
+        bins, most = packing.OpenBins(packing.CAPACITY, limit, 0), 0
+        for length in lengths.tolist():
+            bins.place(length)
+            most = max(most, bins.open)
+        peaks.append(most)
+    assert peaks[0] > packing.OPEN_BINS
+    assert peaks[1] == packing.OPEN_BINS

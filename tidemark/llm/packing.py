@@ -23,7 +23,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tidemark.llm.common import prepare_workers, stored
 
 CAPACITY = 2048
-OPEN_BINS = 1 << 16
+#: Open bins of a task. Without the bound some 7,000 of 16,384 sequences are open at once;
+#: the bound costs about one sequence in a thousand.
+OPEN_BINS = 6_144
 #: Sequences that one task fills.
 TASK_SEQUENCES = 1 << 14
 END_ID = 0
