@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from tidemark.llm import decontaminate
+from tidemark.llm.common import stored
 from tidemark.llm.decontaminate import find_contamination
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -65,6 +67,29 @@ def test_many_automatons_find_the_same(spark):
     compare(spark, texts, items, automaton_bytes=64, window=4)
 
 
+def test_large_benchmark_stores_hits_only(spark, monkeypatch):
+    chance = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(5_000)]
+    items = [(k, " ".join(chance.choices(vocabulary, k=30))) for k in range(300)]
+    texts = [" ".join(chance.choices(vocabulary, k=300)) for _ in range(60)]
+    # Copies of one hit text, which is hit by items of several automatons.
+    texts += [None, "", *[" ".join(t for _, t in items[:40])] * 20]
+    rows = []
+
+    def counted(found, purpose):
+        kept = stored(found, purpose)
+        if purpose == "hits":
+            rows.append(kept.count())
+            assert "text" not in kept.columns
+        return kept
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    compare(spark, texts, items, automaton_bytes=8_000)
+    assert len(rows) > 5
+    assert rows[-1] == 1
+    assert max(rows[:-1]) == 20
+
+
 def test_odd_rows(spark):
     passage = "One TWO three, four; five six seven eight nine ten eleven"
     items = [(1, passage), (2, passage), (2, passage), (11, "short item"), (None, "w"), (5, None), (6, "..")]

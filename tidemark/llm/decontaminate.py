@@ -9,20 +9,23 @@ window are hit. So the automaton is no larger than the items' text, and matches
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_map, other_columns_aside, stored
+from tidemark.llm.common import arrow_map, other_columns_aside, prepare_workers, stored
 
 WINDOW = 10
-#: Bytes of items' text and ids in one automaton; more items make more automatons, one after another.
+#: Bytes of items' text and ids in one automaton; more items make more automatons and passes.
 AUTOMATON_BYTES = 2 << 20
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Bytes: A-Z to a-z, all other ASCII but digits and a-z to a space, UTF-8's others as they are.
@@ -126,66 +129,109 @@ def find_contamination(
     words, take no part; without items nothing is hit. Columns called like the added ones
     are replaced, other columns and repeated rows stay.
 
-    The automaton holds at most ``automaton_bytes`` of item text. A larger benchmark is
-    split into such parts by hash, and the documents, stored in between, are scanned by
-    one part after another. No shuffle of documents, so no key can be hot.
+    Texts are scanned whole, however long; equal texts get equal results.
+
+    The automaton holds at most ``automaton_bytes`` of item text; up to there one pass
+    without a shuffle does it. A larger benchmark is split into such parts by hash, and
+    each part reads the texts once and stores its hits only. Hits are kept once for each
+    different text, by its SHA-256, and joined to the documents in the end: without a
+    shuffle of documents if Spark finds the stored hits small enough to broadcast.
     """
     docs = docs.drop("n_words", "n_hit", "item_ids", "spans", "contaminated")
     classes = stored(_item_classes(benchmark), "items")
     ids_size = F.aggregate("ids", F.lit(0), lambda n, i: n + F.octet_length(i))
     size = classes.agg(F.sum(F.octet_length("words") + ids_size)).first()[0] or 0
     parts = max(1, -(-size // automaton_bytes))
-    found = docs.withColumns(
-        {
-            "_runs": F.lit(None).cast(SPANS),
-            "item_ids": F.lit(None).cast("array<string>"),
-            "spans": F.lit(None).cast(SPANS),
-            "n_words": F.lit(0).cast("long"),
-            "n_hit": F.lit(0).cast("long"),
-        }
-    )
+    if parts == 1:
+        return _scanned(docs, _items(classes), window)
     part_of = F.pmod(F.xxhash64("words"), F.lit(parts))
-    for part in range(parts):
-        rows = classes.filter(part_of == part).collect()
-        items = [(list(r.ids), r.words.encode().split()) for r in rows]
-        found = _scanned(found if part == 0 else stored(found, "scanned"), items, window)
-    found = found.drop("_runs").withColumn("contaminated", F.col("n_hit") > 0)
-    added = ["n_words", "n_hit", "item_ids", "spans", "contaminated"]
-    return found.select(*docs.columns, *added)
+    hits = [
+        stored(_hits(docs, _items(classes.filter(part_of == part)), window), "hits")
+        for part in range(parts)
+    ]
+    # At most one row of a text from each part.
+    by_text = reduce(DataFrame.unionAll, (h.dropDuplicates(["_key"]) for h in hits)).groupBy("_key")
+    lists = (F.flatten(F.collect_list(c)).alias(c) for c in ("_runs", "_items"))
+    known = stored(by_text.agg(*lists), "hits")
+    joined = docs.withColumn("_key", F.sha2("text", 256)).join(known, "_key", "left").drop("_key")
+    return _mapped(joined, docs.columns, lambda: _earlier_hits)
 
 
-def _scanned(docs: DataFrame, items: list, window: int) -> DataFrame:
-    """One pass over the documents with one automaton, added to what earlier passes found."""
+def _items(classes: DataFrame) -> list[tuple[list[str], list[bytes]]]:
+    return [(list(r.ids), r.words.encode().split()) for r in classes.collect()]
+
+
+def _earlier_hits(words: list[bytes], batch: pa.RecordBatch, k: int) -> tuple[list, set]:
+    runs, ids = (batch.column(n)[k].as_py() or [] for n in ("_runs", "_items"))
+    return _united([(r["start"], r["end"]) for r in runs]), set(ids)
+
+
+def _searching(docs: DataFrame, items: list, window: int) -> Callable[[], Callable]:
+    """What tasks search with: an automaton of these items, from a broadcast."""
     shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-    schema = docs.schema
 
-    def scan(batches):
+    def start() -> Callable[[list[bytes], pa.RecordBatch, int], tuple[list, set]]:
         matcher = _matcher(name, shared.value, window)
+
+        def search(words: list[bytes], batch: pa.RecordBatch, k: int) -> tuple[list, set]:
+            runs, occurring = matcher.find(words)
+            return runs, {i for item in occurring for i in matcher.items[item][0]}
+
+        return search
+
+    return start
+
+
+def _scanned(docs: DataFrame, items: list, window: int) -> DataFrame:
+    """One pass over the documents with one automaton."""
+    return _mapped(docs, docs.columns, _searching(docs, items, window))
+
+
+def _mapped(rows: DataFrame, kept: list[str], start: Callable[[], Callable]) -> DataFrame:
+    """``kept`` of ``rows`` and the added columns, from the runs and ids that a search gives."""
+    added = f"n_words long, n_hit long, item_ids array<string>, spans {SPANS}, contaminated boolean"
+    new = StructType.fromDDL(added)
+    schema = StructType([rows.schema[c] for c in kept] + new.fields)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        search, kinds = start(), to_arrow_schema(new)
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
-            results: dict[str, list] = {
-                n: [] for n in ("_runs", "item_ids", "spans", "n_words", "n_hit")
-            }
+            results: list[list] = [[] for _ in kinds]
+            texts = batch.column("text")
             for k in range(batch.num_rows):
-                text = batch.column(at["text"])[k].as_py() or ""
+                text = texts[k].as_py() or ""
                 words = words_of(text)
-                runs, occurring = matcher.find(words)
-                earlier = batch.column(at["_runs"])[k].as_py() or []
-                ids = set(batch.column(at["item_ids"])[k].as_py() or [])
-                if earlier:
-                    runs = _united(runs + [(r["start"], r["end"]) for r in earlier])
-                ids.update(i for item in occurring for i in matcher.items[item][0])
-                results["_runs"].append([{"start": a, "end": b} for a, b in runs])
-                results["item_ids"].append(sorted(ids))
-                results["spans"].append(_offsets(text, runs))
-                results["n_words"].append(len(words))
-                results["n_hit"].append(sum(b - a for a, b in runs))
-            columns = list(batch.columns)
-            for added, values in results.items():
-                columns[at[added]] = pa.array(values, batch.schema.field(added).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(scan, schema)
+                runs, ids = search(words, batch, k)
+                n_hit = sum(b - a for a, b in runs)
+                row = (len(words), n_hit, sorted(ids), _offsets(text, runs), n_hit > 0)
+                for values, value in zip(results, row, strict=True):
+                    values.append(value)
+            columns = [batch.column(c) for c in kept]
+            columns += [pa.array(v, f.type) for v, f in zip(results, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    prepare_workers(rows.sparkSession)
+    return rows.mapInArrow(scan, schema)
+
+
+def _hits(docs: DataFrame, items: list, window: int) -> DataFrame:
+    """``_key, _runs, _items`` of the texts that hold any of these items, and of no other."""
+    schema = StructType.fromDDL(f"_key string, _runs {SPANS}, _items array<string>")
+    start = _searching(docs, items, window)
+
+    def find(batch: pa.RecordBatch) -> dict[str, list]:
+        search = start()
+        rows = []
+        for k, text in enumerate(batch.column(0).to_pylist()):
+            runs, ids = search(words_of(text), batch, k)
+            if runs:
+                key = hashlib.sha256(text.encode()).hexdigest()
+                rows.append((key, [{"start": a, "end": b} for a, b in runs], sorted(ids)))
+        return {n: [r[k] for r in rows] for k, n in enumerate(schema.names)}
+
+    return arrow_map(docs.select("text").filter("text <> ''"), find, schema)
 
 
 _MATCHERS: dict[str, Matcher] = {}
