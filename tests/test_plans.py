@@ -25,6 +25,8 @@ SHUFFLED = {
     "fit_by_category",
     "fit_global",
     "latest_offsets",
+    "latest_offsets_stored",
+    "chart_thinned",
     "progress_merge",
     "progress_rows",
     "input_lag",

@@ -156,6 +156,7 @@ ORACLE_SQL: dict[str, str] = {
     "chart_points": f"{_TX} SELECT trans_time AS x, trans_amt AS y FROM tx",
     "chart_points_json": f"{_TX} SELECT {_POINT} FROM tx",
     "latest_offsets": f"WITH {_OFFSETS} SELECT topic, partition, latest_offset FROM offsets",
+    "latest_offsets_stored": f"WITH {_OFFSETS} SELECT topic, partition, latest_offset FROM offsets",
     "progress_merge": f"""
         WITH {_OFFSETS}, {_BATCHES}
         SELECT regexp_replace(CAST(to_json(struct_pack(

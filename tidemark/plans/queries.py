@@ -46,6 +46,7 @@ from tidemark.sources.events import (
     table,
     transactions,
 )
+from tidemark.sources.footers import TOPIC_FOLDERS, stored_ends
 from tidemark.streaming.observe import ALL_OFFSETS, ProgressLog
 from tidemark.streaming.run import run_available, run_until_stopped
 
@@ -183,6 +184,13 @@ def latest_offsets_rows(spark: SparkSession, data_dir: str) -> DataFrame:
     return latest_offsets(_envelope(spark, data_dir))
 
 
+def latest_offsets_stored(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The same of a topic stored by topic and partition, from the footers of its files."""
+    topic = files(new_folder(spark, "topic"), partition_by=TOPIC_FOLDERS)
+    topic.write(_envelope(spark, data_dir))
+    return stored_ends(spark, topic)
+
+
 def progress_merge(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every progress message with the latest offsets of the input topic, all partitions."""
     latest = latest_offsets(_envelope(spark, data_dir))
@@ -343,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "chart_points": chart_points_rows,
     "chart_points_json": chart_points_messages,
     "latest_offsets": latest_offsets_rows,
+    "latest_offsets_stored": latest_offsets_stored,
     "progress_merge": progress_merge,
     "progress_rows": progress_table,
     "input_lag": input_lag_rows,
